@@ -14,17 +14,20 @@ def named(name: str, default: str = "unknown") -> Column:
     return F.coalesce(F.col(name), F.lit(default))
 
 
-def any_phrase(value: Column, phrases: list[str]) -> Column:
-    """True if ``value`` contains one of the phrases (case-sensitive)."""
-    test = F.lit(False)
-    for phrase in phrases:
-        test = test | value.contains(phrase)
-    return test
+def _quoted(phrase: str) -> str:
+    return "'" + phrase.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def phrases_found(value: Column, phrases: list[str]) -> Column:
-    """The phrases contained in ``value``, in list order."""
-    return F.array_compact(F.array(*[F.when(value.contains(p), F.lit(p)) for p in phrases]))
+def any_phrase(column: str, phrases: list[str]) -> Column:
+    """True if the named column contains one of the phrases (case-sensitive)."""
+    return F.expr(" or ".join(f"contains({column}, {_quoted(p)})" for p in phrases))
+
+
+def phrases_found(column: str, phrases: list[str], at_most: int) -> Column:
+    """The first phrases, in list order, that the named column contains."""
+    tests = ", ".join(f"case when contains({column}, {_quoted(p)}) then {_quoted(p)} end" for p in phrases)
+    found = F.expr(f"concat_ws('\x1f', {tests})")
+    return F.when(found == "", F.array().cast("array<string>")).otherwise(F.slice(F.split(found, "\x1f"), 1, at_most))
 
 
 def stable_id(*parts: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from watchkeep.functions.text import stable_id, text
 from watchkeep.operators.thresholds import threshold_firings
-from watchkeep.plans.rules import CARRIED, Rule, default_rules
+from watchkeep.plans.rules import CARRIED, Rule, default_rules, readable
+from watchkeep.session import materialise
 
 SNIPPET = 200  # characters of the raw log kept in an alert
 
@@ -50,8 +51,25 @@ def _alert(hit: str = "hit") -> list[Column]:
 def stateless_alerts(logs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Alerts of the rules that look at one log at a time: one pass, no shuffle."""
     active = [r for r in rules or default_rules() if r.threshold is None]
-    matches = F.array_compact(F.array(*[F.when(r.when, _match(r)) for r in active]))
-    return logs.withColumn("hit", F.explode(matches)).select(*_alert())
+    return _matched(logs, active, {r.name: _match(r) for r in active}, "hit").select(*_alert())
+
+
+def _matched(logs: DataFrame, rules: list[Rule], entries: dict[str, Column], name: str) -> DataFrame:
+    """One row per (log, matching rule) with the rule's entry as a struct.
+
+    Each entry is a column of its own and the explode only lines them up, so
+    all predicates stay in generated code.  Filtering by the predicates first,
+    or exploding a ready-made array column, makes the optimizer push copies of
+    them below ``readable`` and repeat its texts in every test.
+    """
+    columns = {f"{name}_{i}": F.when(r.when, entries[r.name]) for i, r in enumerate(rules)}
+    return (
+        readable(logs)
+        .withColumns(columns)
+        .withColumn(name, F.explode(F.array(*columns)))
+        .where(F.col(name).isNotNull())
+        .drop(*columns)
+    )
 
 
 def qualifying(logs: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -63,16 +81,18 @@ def qualifying(logs: DataFrame, rules: list[Rule]) -> DataFrame:
         (r.distinct_value if r.distinct_value is not None else F.lit(None)).cast("string").alias("value"),
     )
     kept = [F.substring("raw_log", 1, SNIPPET).alias("raw_log") if c == "raw_log" else F.col(c) for c in [*CARRIED, *extra]]
-    any_rule = reduce(Column.__or__, [r.when for r in rules])
-    found = F.explode(F.array_compact(F.array(*[F.when(r.when, entry(r)) for r in rules])))
-    return logs.where(any_rule).select(*kept, found.alias("q")).select("*", "q.*").drop("q")
+    return _matched(logs, rules, {r.name: entry(r) for r in rules}, "q").select(*kept, "q.*")
 
 
 def threshold_alerts(logs: DataFrame, rules: list[Rule] | None = None, partitions: int | None = None) -> DataFrame:
-    """Alerts of the rules that count over time; all of them share one shuffle."""
+    """Alerts of the rules that count over time; all of them share one shuffle.
+
+    The narrow qualifying rows are stored first: a range partitioning reads its
+    input twice, and the logs should be read once.
+    """
     active = [r for r in rules or default_rules() if r.threshold is not None]
     fired = threshold_firings(
-        qualifying(logs, active), {r.name: r.threshold for r in active},
+        materialise(qualifying(logs, active)), {r.name: r.threshold for r in active},
         "rule", "key", "created_at", "log_id", "value", partitions,
     )
     return with_matches(fired, active)

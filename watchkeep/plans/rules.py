@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from watchkeep import constants as C
 from watchkeep.functions.text import any_phrase, named, phrases_found, text
@@ -20,6 +20,21 @@ from watchkeep.operators.thresholds import Threshold
 CARRIED = ["log_id", "created_at", "source_ip", "hostname", "username", "dest_ip", "raw_log"]
 
 
+def readable(logs: DataFrame) -> DataFrame:
+    """Logs with the lower-cased texts that rules search, each computed once.
+
+    Rules may use these four columns next to the columns of the log.
+    """
+    return logs.withColumns(
+        {
+            "message_lower": F.lower(text("message")),
+            "signature_lower": F.lower(text("signature")),
+            "process_lower": F.lower(text("process")),
+            "command_lower": F.lower(F.concat(text("raw_log"), text("message"), text("powershell_payload"))),
+        }
+    )
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -92,7 +107,7 @@ def privilege_escalation() -> Rule:
         tags=["privilege_escalation", "persistence", "credential_access"],
         when=F.col("event_id").isin(C.PRIVILEGE_IDS)
         | (F.col("event_type") == "privilege_escalation")
-        | any_phrase(F.lower(text("message")), C.PRIVILEGE_PHRASES),
+        | any_phrase("message_lower", C.PRIVILEGE_PHRASES),
         title=_sentence("Privilege Escalation on ", named("hostname")),
         description=_sentence(
             "User ", named("username"), " performed a privilege escalation action (EventID ",
@@ -102,10 +117,9 @@ def privilege_escalation() -> Rule:
 
 
 def suspicious_powershell() -> Rule:
-    read = F.lower(F.concat(text("raw_log"), text("message"), text("powershell_payload")))
     gate = (
-        F.lower(text("process")).isin(C.POWERSHELL_PROCESSES)
-        | F.lower(text("message")).contains("powershell")
+        F.col("process_lower").isin(C.POWERSHELL_PROCESSES)
+        | F.col("message_lower").contains("powershell")
         | (text("event_type") == "suspicious_powershell")
     )
     return Rule(
@@ -113,11 +127,11 @@ def suspicious_powershell() -> Rule:
         severity="critical",
         techniques=["T1059.001", "T1027", "T1140"],
         tags=["powershell", "execution", "defense_evasion"],
-        when=gate & any_phrase(read, C.POWERSHELL_PATTERNS),
+        when=gate & any_phrase("command_lower", C.POWERSHELL_PATTERNS),
         title=_sentence("Suspicious PowerShell Activity on ", named("hostname")),
         description=_sentence(
             "Suspicious PowerShell patterns detected: [",
-            F.concat_ws(", ", F.slice(phrases_found(read, C.POWERSHELL_PATTERNS), 1, 3)),
+            F.concat_ws(", ", phrases_found("command_lower", C.POWERSHELL_PATTERNS, at_most=3)),
             "] by ", named("username"), " on ", named("hostname"),
         ),
     )
@@ -144,7 +158,7 @@ def data_exfiltration() -> Rule:
         tags=["data_exfiltration", "exfiltration", "insider_threat"],
         when=(F.col("event_type") == "data_exfiltration")
         | (F.col("bytes_out") >= C.EXFILTRATION_BYTES)
-        | F.lower(text("message")).contains("exfil"),
+        | F.col("message_lower").contains("exfil"),
         title=_sentence("Data Exfiltration Detected from ", named("hostname")),
         description=_sentence(
             "Large outbound data transfer detected: ", megabytes.cast("string"), "MB from ",
@@ -154,7 +168,7 @@ def data_exfiltration() -> Rule:
 
 
 def malware_indicators() -> Rule:
-    process, signature = F.lower(text("process")), F.lower(text("signature"))
+    process, signature = F.col("process_lower"), F.col("signature_lower")
     known = process.isin(C.MALWARE_PROCESSES)
     indicator = F.when(known, process).when(signature != "", F.substring(signature, 1, 40)).otherwise("malware pattern")
     return Rule(
@@ -163,8 +177,8 @@ def malware_indicators() -> Rule:
         techniques=["T1059", "T1055", "T1036", "T1071"],
         tags=["malware", "execution", "c2", "edr"],
         when=known
-        | any_phrase(F.lower(text("message")), C.MALWARE_PHRASES)
-        | any_phrase(signature, C.MALWARE_PHRASES)
+        | any_phrase("message_lower", C.MALWARE_PHRASES)
+        | any_phrase("signature_lower", C.MALWARE_PHRASES)
         | (F.col("event_type") == "malware_execution"),
         title=_sentence("Malware Indicator Detected on ", named("hostname")),
         description=_sentence(

@@ -6,12 +6,19 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTINGS = {
+# Settings a running session accepts as well.
+RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM never compiles methods above 8,000 bytes of bytecode.  Wide rule
+    # projections exceed that, and run faster operator by operator.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+SETTINGS = {
+    **RUNTIME,
     "spark.checkpoint.compress": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
@@ -30,6 +37,13 @@ def session(app: str = "watchkeep", master: str | None = None, **extra: str) ->
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session made elsewhere."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
