@@ -654,3 +654,83 @@ def message_envelope(spark, folder):
     found = alerts(spark, folder).select(
         "alert_id", "severity", "title", F.col("log_id").cast("string").alias("log_id"))
     return envelope(found, "alert").select("value")
+
+
+# Streaming: the events file as a stream, run to its end
+
+
+def _stream(spark, folder, name):
+    from watchkeep.schemas import EVENTS_INPUT
+    from watchkeep.streaming.ingest import read_stream
+
+    return D.derive(read_stream(spark, folder, EVENTS_INPUT, "events.parquet"), name)
+
+
+def _place(spark):
+    """A new folder next to the checkpoints, reachable by all executors."""
+    import uuid
+
+    from watchkeep.session import checkpoint_folder
+
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _drained(spark, stream):
+    from watchkeep.streaming.rates import to_files
+
+    place = _place(spark)
+    to_files(stream, f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+
+
+@query
+def stream_eps(spark, folder):
+    from watchkeep.streaming.rates import events_per_second
+
+    return _drained(spark, events_per_second(_stream(spark, folder, "burst"), "10 seconds"))
+
+
+@query
+def stream_user_hours(spark, folder):
+    from watchkeep.streaming.rates import events_per_hour
+
+    return _drained(spark, events_per_hour(_stream(spark, folder, "logs"), "10 minutes"))
+
+
+def _ingested(spark, folder):
+    from watchkeep.streaming.ingest import Ingest
+
+    place = _place(spark)
+    stream, job = _stream(spark, folder, "burst"), Ingest(spark, f"{place}/tables")
+    job.start(stream, f"{place}/checkpoint", available_now=True).awaitTermination()
+    job.finish(stream.schema)
+    return job
+
+
+@query
+def stream_alerts(spark, folder):
+    """Every alert of the live pipeline, with its message counted as published."""
+    found = _ingested(spark, folder).table("alerts")
+    return found.select("alert_id", "log_id", "rule_name", "severity", "title", "description")
+
+
+@query
+def stream_messages(spark, folder):
+    from watchkeep.streaming.publish import opened
+
+    sent = opened(_ingested(spark, folder).table("messages"), "type string, data struct<severity: string>")
+    return sent.groupBy("type", "severity").agg(F.count("*").alias("n"))
+
+
+@query
+def stream_risk_history(spark, folder):
+    from watchkeep.streaming.rates import merge_history, risk_history
+
+    place = _place(spark)
+    writer = risk_history(_stream(spark, folder, "logs")).writeStream.outputMode("update").trigger(availableNow=True)
+    save = lambda df, batch: df.write.mode("overwrite").parquet(f"{place}/shares/batch={batch}")
+    writer.foreachBatch(save).option("checkpointLocation", f"{place}/checkpoint").start().awaitTermination()
+    rows = spark.read.parquet(f"{place}/shares")
+    names = [c for c in rows.columns if c not in ("username", "share", "batch")]
+    latest = rows.groupBy("username", "share").agg(F.max_by(F.struct(*names), "batch").alias("row")).select("username", "share", "row.*")
+    return merge_history(latest)
