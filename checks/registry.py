@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,8 +12,12 @@ from watchkeep import constants as C
 from watchkeep.functions import text as T
 from watchkeep.operators import behaviour, cases, filters, forest, intel, metrics, updates
 from watchkeep.plans import detection, rules
-from watchkeep.session import tune
+from watchkeep.schemas import EVENTS_INPUT
+from watchkeep.session import checkpoint_folder, tune
 from watchkeep.sources import derived as D, tables
+from watchkeep.streaming.ingest import Ingest, read_stream
+from watchkeep.streaming.publish import envelope, opened, to_notify, unread
+from watchkeep.streaming.rates import events_per_hour, events_per_second, merge_history, risk_history, to_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -635,22 +640,16 @@ def severity_order(spark, folder):
 
 @query
 def notify_alerts(spark, folder):
-    from watchkeep.streaming.publish import to_notify
-
     return to_notify(alerts(spark, folder)).select("alert_id", "severity", "title")
 
 
 @query
 def unread_alerts(spark, folder):
-    from watchkeep.streaming.publish import unread
-
     return unread(alerts(spark, folder), F.lit("2024-01-20").cast("timestamp"))
 
 
 @query
 def message_envelope(spark, folder):
-    from watchkeep.streaming.publish import envelope
-
     found = alerts(spark, folder).select(
         "alert_id", "severity", "title", F.col("log_id").cast("string").alias("log_id"))
     return envelope(found, "alert").select("value")
@@ -660,24 +659,15 @@ def message_envelope(spark, folder):
 
 
 def _stream(spark, folder, name):
-    from watchkeep.schemas import EVENTS_INPUT
-    from watchkeep.streaming.ingest import read_stream
-
     return D.derive(read_stream(spark, folder, EVENTS_INPUT, "events.parquet"), name)
 
 
 def _place(spark):
     """A new folder next to the checkpoints, reachable by all executors."""
-    import uuid
-
-    from watchkeep.session import checkpoint_folder
-
     return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _drained(spark, stream):
-    from watchkeep.streaming.rates import to_files
-
     place = _place(spark)
     to_files(stream, f"{place}/out", f"{place}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
@@ -685,21 +675,15 @@ def _drained(spark, stream):
 
 @query
 def stream_eps(spark, folder):
-    from watchkeep.streaming.rates import events_per_second
-
     return _drained(spark, events_per_second(_stream(spark, folder, "burst"), "10 seconds"))
 
 
 @query
 def stream_user_hours(spark, folder):
-    from watchkeep.streaming.rates import events_per_hour
-
     return _drained(spark, events_per_hour(_stream(spark, folder, "logs"), "10 minutes"))
 
 
 def _ingested(spark, folder):
-    from watchkeep.streaming.ingest import Ingest
-
     place = _place(spark)
     stream, job = _stream(spark, folder, "burst"), Ingest(spark, f"{place}/tables")
     job.start(stream, f"{place}/checkpoint", available_now=True).awaitTermination()
@@ -716,16 +700,12 @@ def stream_alerts(spark, folder):
 
 @query
 def stream_messages(spark, folder):
-    from watchkeep.streaming.publish import opened
-
     sent = opened(_ingested(spark, folder).table("messages"), "type string, data struct<severity: string>")
     return sent.groupBy("type", "severity").agg(F.count("*").alias("n"))
 
 
 @query
 def stream_risk_history(spark, folder):
-    from watchkeep.streaming.rates import merge_history, risk_history
-
     place = _place(spark)
     writer = risk_history(_stream(spark, folder, "logs")).writeStream.outputMode("update").trigger(availableNow=True)
     save = lambda df, batch: df.write.mode("overwrite").parquet(f"{place}/shares/batch={batch}")

@@ -22,7 +22,8 @@ def equals_given(**fields) -> Column:
 
 
 def matches(condition: dict, columns: list[str]) -> Column:
-    """Column for a document filter, never null.
+    """Column for a document filter, meant for ``where``: null counts as false.
+    Elsewhere wrap it in ``holds``.
 
     A plain value means equality, a list membership, a dict one or more of
     ``$gte $lte $gt $in $ne``; other operators are ignored.  A missing column
@@ -36,13 +37,19 @@ def matches(condition: dict, columns: list[str]) -> Column:
         elif isinstance(wanted, (list, tuple)):
             tests.append(_member(value, wanted))
         else:
-            tests.append(value.eqNullSafe(wanted))
+            tests.append(value.isNull() if wanted is None else value == wanted)
     return _all(tests)
 
 
+def holds(condition: dict, columns: list[str]) -> Column:
+    """``matches`` with null made false.  Filters go without it: a plain
+    comparison reaches the parquet reader, a wrapped one does not."""
+    return F.coalesce(matches(condition, columns), F.lit(False))
+
+
 def _member(value: Column, wanted) -> Column:
     known = [w for w in wanted if w is not None]
-    test = F.coalesce(value.isin(known), F.lit(False)) if known else F.lit(False)
+    test = value.isin(known) if known else F.lit(False)
     return (test | value.isNull()) if len(known) < len(list(wanted)) else test
 
 
@@ -52,7 +59,7 @@ def _operator(value: Column, op: str, operand) -> Column:
     if op == "$ne":
         return ~value.eqNullSafe(operand)
     compare = {"$gte": Column.__ge__, "$lte": Column.__le__, "$gt": Column.__gt__}.get(op)
-    return F.coalesce(compare(value, operand), F.lit(False)) if compare else F.lit(True)
+    return compare(value, operand) if compare else F.lit(True)
 
 
 def find(df: DataFrame, condition: dict) -> DataFrame:

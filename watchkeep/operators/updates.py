@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchkeep.functions.text import stable_id
-from watchkeep.operators.filters import matches
+from watchkeep.operators.filters import holds, matches
 
 
 def _set(df: DataFrame, hit: Column, values: dict) -> DataFrame:
@@ -23,7 +23,7 @@ def _set(df: DataFrame, hit: Column, values: dict) -> DataFrame:
 
 def update_many(df: DataFrame, condition: dict, values: dict) -> DataFrame:
     """Set values on all matching rows."""
-    return _set(df, matches(condition, df.columns), values)
+    return _set(df, holds(condition, df.columns), values)
 
 
 def update_one(df: DataFrame, condition: dict, values: dict, key: str) -> DataFrame:
@@ -33,7 +33,7 @@ def update_one(df: DataFrame, condition: dict, values: dict, key: str) -> DataFr
 
 
 def delete_matching(df: DataFrame, condition: dict) -> DataFrame:
-    return df.where(~matches(condition, df.columns))
+    return df.where(~holds(condition, df.columns))
 
 
 def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

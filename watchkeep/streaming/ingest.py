@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,9 +44,7 @@ class Ingest:
 
     def process(self, logs: DataFrame, batch: int, final: bool = False) -> None:
         """One micro-batch; also usable directly for a bulk load."""
-        # Disk only: a batch may be larger than memory, and it is read four times.
-        from pyspark import StorageLevel
-
+        # Disk only: a batch may be larger than memory, and it is read several times.
         logs = logs.persist(StorageLevel.DISK_ONLY)
         try:
             self._write(logs, "logs", batch)
