@@ -235,7 +235,7 @@ sql("severity_counts", "select coalesce(severity, 'info') as severity, count(*)
 _STATS = "select 'total' as dimension, 'all' as value, count(*) as n from logs union all select 'severity', coalesce(severity, 'info'), count(*) from logs group by 2 union all select 'log_source', coalesce(log_source, 'unknown'), count(*) from {t} group by 2 union all select 'event_type', coalesce(event_type, 'unknown'), count(*) from {t} group by 2"
 sql("log_stats", _STATS.format(t="logs"), "logs")
 sql("log_stats_recent", _STATS.format(t="recent"), "logs", extra=f"recent as (select * from logs {NEWEST} limit 10000)")
-_TOP = "select {f}, n from (select {f}, count(*) as n, max(row(created_at, log_id)) as latest from {t} where {f} <> '' group by 1 order by n desc, latest desc limit 10)"
+_TOP = "select {f}, n from (select {f}, count(*) as n, max(created_at) as latest from {t} where {f} <> '' group by 1 order by n desc, latest desc, {f} limit 10)"
 for _name, _field in (("top_attackers", "source_ip"), ("top_targets", "hostname")):
     sql(_name, _TOP.format(f=_field, t="logs"), "logs")
     sql(f"{_name}_recent", _TOP.format(f=_field, t="recent"), "logs", extra=f"recent as (select * from logs {NEWEST} limit 5000)")
@@ -293,7 +293,7 @@ sql("backfill_alerts", f"select rule_name, severity, count(*) as n from ({_ALL})
 sql("alert_records", f"select {ALERT_COLUMNS.replace('acknowledged,', 'false as acknowledged,', 1)} from alerts", "alerts")
 
 # Behaviour
-HOURS = "hours as (select username, date_trunc('hour', created_at) as hour, count(*) as events, min(row(created_at, log_id)) as first_seen from logs where username <> '' group by 1, 2)"
+HOURS = "hours as (select username, date_trunc('hour', created_at) as hour, count(*) as events, min(created_at) as first_seen from logs where username <> '' group by 1, 2)"
 RISKS = f"risks as (select username, cast(sum(risk) as bigint) as rs, count(*) as rn, max(risk) as peak_risk from (select username, coalesce(risk_score, 20) as risk, row_number() over (partition by username {NEWEST}) as place from logs where username <> '') where place <= 1000 group by 1)"
 PROFILES = f"""{HOURS}, {RISKS}, totals as (select username, cast(sum(events) as bigint) as total_events, count(*) as ah,
   cast(coalesce(sum(case when hour = (select date_trunc('hour', max(created_at)) from logs) then events end), 0) as bigint) as current_hour_events, min(first_seen) as first_seen from hours group by 1),
@@ -301,7 +301,7 @@ profiles as (select t.username, cast(floor((200 * total_events + ah) / (2 * ah))
   cast(floor((200 * rs + rn) / (2 * rn)) as double) / 100 as avg_risk_score, peak_risk, total_events,
   rs > 60 * rn or current_hour_events * ah > 3 * total_events as anomaly_flag, first_seen from totals t join risks r on r.username = t.username)"""
 PROFILE_COLUMNS = "username, avg_hourly_events, current_hour_events, avg_risk_score, peak_risk, total_events, anomaly_flag"
-TOP_USERS = "(select * from profiles order by avg_risk_score desc, first_seen limit 10)"
+TOP_USERS = "(select * from profiles order by avg_risk_score desc, first_seen, username limit 10)"
 sql("ueba_hourly", "select username, epoch_us(hour) as hour, events from hours", "logs", extra=HOURS)
 sql("ueba_profile", "select u.username, coalesce(avg_hourly_events, 0.0) as avg_hourly_events, coalesce(current_hour_events, 0) as current_hour_events, coalesce(avg_risk_score, 20.0) as avg_risk_score, coalesce(peak_risk, 0) as peak_risk, coalesce(total_events, 0) as total_events, coalesce(anomaly_flag, false) as anomaly_flag from (select distinct concat('user', cast(user_id % 50 as varchar)) as username from events) u left join profiles p on p.username = u.username", "logs", extra=PROFILES)
 sql("ueba_profiles", f"select {PROFILE_COLUMNS} from profiles", "logs", extra=PROFILES)

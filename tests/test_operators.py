@@ -95,7 +95,14 @@ def test_stateless_rules_are_one_pass_without_python_or_shuffle(spark, small):
 
 def test_newest_rows_per_user_are_limited_before_the_shuffle(spark, small):
     plan = plan_of(behaviour.recent_risk(derived(spark, small, "logs")))
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") == 4  # before and after both shuffles
+
+
+def test_rankings_are_hash_aggregates(spark, small):
+    plan = plan_of(metrics.top_values(derived(spark, small, "logs"), "source_ip"))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    plan = plan_of(behaviour.hourly_counts(derived(spark, small, "logs")))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 def test_pages_use_top_k(spark, small):

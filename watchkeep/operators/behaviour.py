@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchkeep import constants as C
 
+SHARES = 32  # parts a user's events are split into before they are ranked
+
 # Rounding: a mean of integers to two decimals, half up, in integer arithmetic.
 HUNDREDTHS = "cast(floor((200 * {s} + {n}) / (2 * {n})) as double) / 100"
 
@@ -22,21 +24,25 @@ def hourly_counts(logs: DataFrame) -> DataFrame:
     """Events per user and hour."""
     hour = F.date_trunc("hour", "created_at").alias("hour")
     return active(logs).groupBy("username", hour).agg(
-        F.count("*").alias("events"), F.min(F.struct("created_at", "log_id")).alias("first_seen"))
+        F.count("*").alias("events"), F.min("created_at").alias("first_seen"))
 
 
 def recent_risk(logs: DataFrame, keep: int = C.RISK_HISTORY) -> DataFrame:
     """Sum, number and peak of the newest ``keep`` risk scores per user.
 
-    Spark limits each user to ``keep`` rows before the shuffle (window group
-    limit), so a user with very many events sends few of them.
+    A user is first split into shares, each cut to its newest ``keep`` rows, so
+    that a user with very many events is many tasks' work.  Spark also applies
+    both limits before their shuffles (window group limit).
     """
-    latest = Window.partitionBy("username").orderBy(F.desc("created_at"), F.desc("log_id"))
+    latest = [F.desc("created_at"), F.desc("log_id")]
+    in_share = F.row_number().over(Window.partitionBy("username", "share").orderBy(*latest))
+    in_all = F.row_number().over(Window.partitionBy("username").orderBy(*latest))
     return (
         active(logs)
-        .select("username", "created_at", "log_id", F.coalesce("risk_score", F.lit(C.DEFAULT_RISK)).alias("risk"))
-        .withColumn("place", F.row_number().over(latest))
-        .where(F.col("place") <= keep)
+        .select("username", "created_at", "log_id", F.coalesce("risk_score", F.lit(C.DEFAULT_RISK)).alias("risk"),
+                F.pmod(F.xxhash64("log_id"), F.lit(SHARES)).alias("share"))
+        .withColumn("place", in_share).where(F.col("place") <= keep)
+        .withColumn("place", in_all).where(F.col("place") <= keep)
         .groupBy("username")
         .agg(F.sum("risk").alias("risk_sum"), F.count("*").alias("risk_n"), F.max("risk").alias("peak_risk"))
     )
@@ -81,7 +87,7 @@ def profiles_of(users: DataFrame, logs: DataFrame, as_of: Column) -> DataFrame:
 
 def top_risky(all_profiles: DataFrame, limit: int = 10) -> DataFrame:
     """Highest mean risk first; ties go to the user seen earliest."""
-    return all_profiles.orderBy(F.desc("avg_risk_score"), F.asc("first_seen")).limit(limit)
+    return all_profiles.orderBy(F.desc("avg_risk_score"), F.asc("first_seen"), F.asc("username")).limit(limit)
 
 
 def population(some_profiles: DataFrame) -> DataFrame:

@@ -69,6 +69,9 @@ class CaseFold(Fold):
         column = batch.column(batch.schema.get_field_index(TARGET))
         return run.advance(column.slice(start, stop - start).to_pylist())
 
+    def idle(self, key, rows):
+        return rows == 1  # an incident without commands, or a command without incident
+
     def emit(self, batch, outputs):
         targets = batch.column(batch.schema.get_field_index(TARGET)).to_numpy(zero_copy_only=False)
         before = np.full(len(targets), MISSING)

@@ -57,13 +57,16 @@ def _dimension_counts(df: DataFrame, names: list[str], total: bool) -> DataFrame
 
 
 def top_values(logs: DataFrame, field: str, limit: int = 10, cap: int | None = None) -> DataFrame:
-    """Most frequent non-empty values; ties go to the one seen latest."""
+    """Most frequent non-empty values; ties go to the one seen latest.
+
+    Only plain numbers and times are aggregated, so this stays a hash aggregate.
+    """
     return (
         _capped(logs, cap, "log_id")
         .where(F.col(field) != "")
         .groupBy(field)
-        .agg(F.count("*").alias("n"), F.max(F.struct("created_at", "log_id")).alias("latest"))
-        .orderBy(F.desc("n"), F.desc("latest"))
+        .agg(F.count("*").alias("n"), F.max("created_at").alias("latest"))
+        .orderBy(F.desc("n"), F.desc("latest"), F.asc(field))
         .limit(limit)
         .select(field, "n")
     )
@@ -77,38 +80,39 @@ def technique_coverage(alerts: DataFrame, cap: int | None = None) -> DataFrame:
     )
 
 
-def _figures(df: DataFrame, **conditions: Column | None) -> DataFrame:
-    """One row per named figure: the count of rows that meet its condition."""
-    counts = [
-        (F.count("*") if c is None else F.count_if(F.coalesce(c, F.lit(False)))).alias(name) for name, c in conditions.items()
-    ]
-    return df.agg(*counts).unpivot([], list(conditions), "metric", "n").select(
-        "metric", F.lit("all").alias("value"), "n"
-    )
+def _tally(df: DataFrame, keys: list[str], figures: dict[str, Column], breakdown: str | None = None) -> DataFrame:
+    """Figures of one table as (metric, value, n), in one scan.
 
-
-def _breakdown(df: DataFrame, metric: str) -> DataFrame:
-    return severity_counts(df).select(F.lit(metric).alias("metric"), F.col("severity").alias("value"), "n")
+    Rows are counted per combination of ``keys``, of which there are few; each
+    figure adds up the combinations that meet its condition, zero if none does.
+    ``breakdown`` names a further figure with one value per severity.
+    """
+    spark = df.sparkSession
+    counted = df.groupBy(*[F.coalesce(k, F.lit("info")).alias(k) if k == "severity" else F.col(k) for k in keys]).agg(
+        F.count("*").alias("n"))
+    entries = [F.when(test, F.struct(F.lit(name).alias("metric"), F.lit("all").alias("value"))) for name, test in figures.items()]
+    if breakdown:
+        entries.append(F.struct(F.lit(breakdown).alias("metric"), F.col("severity").alias("value")))
+    met = counted.select("n", F.explode(F.array(*entries)).alias("entry")).where("entry is not null").select("entry.*", "n")
+    zero = fixed_table(spark, [(name, "all", 0) for name in figures], "metric string, value string, n bigint")
+    return met.unionByName(zero).groupBy("metric", "value").agg(F.sum("n").alias("n"))
 
 
 def dashboard_stats(logs: DataFrame, alerts: DataFrame, incidents: DataFrame) -> DataFrame:
     """Headline figures as (metric, value, n); critical alerts are the open ones."""
+    every, status = F.lit(True), F.col("status")
     critical = (F.col("severity") == "critical") & ~F.col("acknowledged")
-    status = F.col("status")
+    open_ones = {"open_incidents": status == "open", "investigating": status == "investigating", "contained": status == "contained"}
     return (
-        _figures(logs, total_logs=None)
-        .unionByName(_figures(alerts, total_alerts=None, critical_alerts=critical))
-        .unionByName(_figures(
-            incidents, open_incidents=status == "open", investigating=status == "investigating", contained=status == "contained"))
-        .unionByName(_breakdown(logs, "severity_breakdown"))
-        .unionByName(_breakdown(alerts, "alert_severity"))
+        _tally(logs, ["severity"], {"total_logs": every}, "severity_breakdown")
+        .unionByName(_tally(alerts, ["severity", "acknowledged"], {"total_alerts": every, "critical_alerts": critical}, "alert_severity"))
+        .unionByName(_tally(incidents, ["status"], open_ones))
     )
 
 
 def alert_summary(alerts: DataFrame) -> DataFrame:
-    return _figures(
-        alerts, unacknowledged=~F.col("acknowledged"), critical=F.col("severity") == "critical"
-    ).unionByName(_breakdown(alerts, "by_severity"))
+    figures = {"unacknowledged": ~F.col("acknowledged"), "critical": F.col("severity") == "critical"}
+    return _tally(alerts, ["severity", "acknowledged"], figures, "by_severity")
 
 
 def report_summary(logs: DataFrame, alerts: DataFrame, incidents: DataFrame, since: Column | None = None) -> DataFrame:
@@ -118,18 +122,19 @@ def report_summary(logs: DataFrame, alerts: DataFrame, incidents: DataFrame, sin
     """
     if since is not None:
         logs, alerts, incidents = [df.where(F.col("created_at") >= since) for df in (logs, alerts, incidents)]
+    every = F.lit(True)
     return (
-        _figures(logs, total_logs=None)
-        .unionByName(_figures(alerts, total_alerts=None, critical_alerts=F.col("severity") == "critical"))
-        .unionByName(_figures(incidents, open_incidents=F.col("status") == "open"))
-        .unionByName(_breakdown(alerts, "severity_breakdown"))
+        _tally(logs.withColumn("one", F.lit(1)), ["one"], {"total_logs": every})
+        .unionByName(_tally(
+            alerts, ["severity"], {"total_alerts": every, "critical_alerts": F.col("severity") == "critical"}, "severity_breakdown"))
+        .unionByName(_tally(incidents, ["status"], {"open_incidents": F.col("status") == "open"}))
     )
 
 
 def incident_stats(incidents: DataFrame) -> DataFrame:
     """Every known status, zero-filled, and the total over all incidents."""
     named = {s: F.col("status") == s for s in C.INCIDENT_STATUSES}
-    return _figures(incidents, **named, total=None).select(F.col("metric").alias("status"), "n")
+    return _tally(incidents, ["status"], {**named, "total": F.lit(True)}).select(F.col("metric").alias("status"), "n")
 
 
 def whole_percent(part: Column, total: Column) -> Column:
@@ -170,7 +175,9 @@ def per_second(logs: DataFrame, as_of: Column, seconds: int = 60) -> DataFrame:
     """Events of the last ``seconds`` seconds, one row a second, zero-filled."""
     end = F.unix_seconds(as_of)
     second = F.unix_seconds("created_at")
-    recent = logs.where((second >= end - seconds) & (second < end))
+    # Comparing the time itself lets the reader skip row groups.
+    recent = logs.where(
+        (F.col("created_at") >= F.timestamp_seconds(end - seconds)) & (F.col("created_at") < F.timestamp_seconds(end)))
     return _on_spine(recent, second, _spine(logs, F.sequence(end - seconds, end - 1)), {"eps": F.count("*")}).select(
         F.timestamp_seconds("slot").alias("second"), F.date_format(F.timestamp_seconds("slot"), "HH:mm:ss").alias("time"), "eps"
     )
@@ -180,7 +187,7 @@ def severity_timeline(logs: DataFrame, as_of: Column, hours: int = 24) -> DataFr
     """Hourly counts of four severities over the last hours, zero-filled."""
     end = F.floor(F.unix_seconds(as_of) / 3600)
     hour = F.floor(F.unix_seconds("created_at") / 3600)
-    recent = logs.where((hour > end - hours) & (hour <= end))
+    recent = logs.where(F.col("created_at") >= F.timestamp_seconds((end - hours + 1) * 3600)).where(hour <= end)
     counts = {s: F.count_if(F.col("severity") == s) for s in C.SEVERITIES[:4]}
     return _on_spine(recent, hour, _spine(logs, F.sequence(end - hours + 1, end)), counts).select(
         F.timestamp_seconds(F.col("slot") * 3600).alias("hour"),

@@ -57,17 +57,17 @@ def stateless_alerts(logs: DataFrame, rules: list[Rule] | None = None) -> DataFr
 def _matched(logs: DataFrame, rules: list[Rule], entries: dict[str, Column], name: str) -> DataFrame:
     """One row per (log, matching rule) with the rule's entry as a struct.
 
-    Each entry is a column of its own and the explode only lines them up, so
-    all predicates stay in generated code.  Filtering by the predicates first,
-    or exploding a ready-made array column, makes the optimizer push copies of
-    them below ``readable`` and repeat its texts in every test.
+    Each entry is a column of its own, so all predicates stay in generated
+    code; the explode only lines up those that are set.  Filtering by the
+    predicates first, or exploding a ready-made array column, makes the
+    optimizer push copies of them below ``readable`` and repeat its texts in
+    every test.
     """
     columns = {f"{name}_{i}": F.when(r.when, entries[r.name]) for i, r in enumerate(rules)}
     return (
         readable(logs)
         .withColumns(columns)
-        .withColumn(name, F.explode(F.array(*columns)))
-        .where(F.col(name).isNotNull())
+        .withColumn(name, F.explode(F.filter(F.array(*columns), lambda entry: entry.isNotNull())))
         .drop(*columns)
     )
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,13 +36,30 @@ def session(app: str = "watchkeep", master: str | None = None, **extra: str) ->
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made elsewhere."""
+    """Make a session made elsewhere ready: runtime settings, package on workers."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    return ship(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="watchkeep-package-")) / "watchkeep.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))  # Spark copies it to every executor
+        _shipped.add(application)
     return spark
 
 
