@@ -1,8 +1,8 @@
 """Threat intelligence and other look-ups as joins.
 
-The feeds and dimension tables are fixed lists from ``watchkeep.constants``, so
-they are broadcast; indicators grow with use, so how they are joined is left to
-the optimizer and its size checks.
+Dimension tables are fixed lists from ``watchkeep.constants``, so they are
+broadcast; feeds and indicators grow with use, so how they are joined is left
+to the optimizer and its size checks.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def ip_reputation(ips: DataFrame, indicators: DataFrame, feed_ips: DataFrame) ->
     """Reputation of each distinct ``ip``: feed first, then indicator, else clean."""
     known = feed_ips.select(F.col("ip"), F.lit(True).alias("in_feed"))
     reported = newest_indicators(indicators, "ip").withColumnRenamed("value", "ip")
-    joined = ips.select("ip").distinct().join(F.broadcast(known), "ip", "left").join(reported, "ip", "left")
+    joined = ips.select("ip").distinct().join(known, "ip", "left").join(reported, "ip", "left")
     in_feed, in_iocs = F.coalesce("in_feed", F.lit(False)), F.col("ioc").isNotNull()
     return joined.select(
         "ip",
@@ -55,7 +55,7 @@ def ip_reputation(ips: DataFrame, indicators: DataFrame, feed_ips: DataFrame) ->
 def hash_reputation(hashes: DataFrame, feed_hashes: DataFrame) -> DataFrame:
     known = feed_hashes.select(F.col("hash"), F.lit(True).alias("hit"))
     hit = F.col("hit").isNotNull()
-    return hashes.select("hash").distinct().join(F.broadcast(known), "hash", "left").select(
+    return hashes.select("hash").distinct().join(known, "hash", "left").select(
         "hash", hit.alias("is_malicious"),
         F.when(hit, "malware").otherwise("unknown").alias("threat_type"),
         F.when(hit, 95).otherwise(5).cast("int").alias("risk_score"),

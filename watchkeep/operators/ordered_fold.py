@@ -15,7 +15,7 @@ by (key, time, id) into range partitions, so a hot key spreads over many
 This works because the fold's state has few possible values, named *phases*
 (0, 1, ...), once a short *context* of preceding rows is known.  The small
 tables hold one row per chunk, so their size follows the number of partitions
-and never the data.
+and never the data; it is checked before they are broadcast.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql.types import StructType
 from watchkeep.session import materialise
 
 KEY, CHUNK, HEAD, CONTEXT, PHASE = "fold_key", "fold_chunk", "fold_head", "fold_context", "fold_phase"
+MOST_CONTEXT = 16_000_000  # entries over all chunks that may be broadcast
 ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
@@ -65,6 +66,10 @@ class Fold:
         """Context after a chunk, given the chunk's own and the one before it."""
         return context
 
+    def context_size(self) -> int:
+        """Most entries a context can have."""
+        return 1
+
     def idle(self, key: str, rows: int) -> bool:
         """True if a key of so few rows, seen whole, has no output."""
         return False
@@ -90,7 +95,10 @@ def ordered_fold(
 ) -> DataFrame:
     """Run ``fold`` over each ``fold_key`` of ``df`` in ``order``."""
     chunks = sorted_chunks(df, order, partitions)
-    if chunks.rdd.getNumPartitions() <= 1:  # nothing to stitch
+    count = chunks.rdd.getNumPartitions()
+    if count * fold.context_size() > MOST_CONTEXT:
+        raise ValueError(f"{count} chunks with contexts of {fold.context_size()} are too much to broadcast: pass fewer partitions")
+    if count <= 1:  # nothing to stitch
         ready = chunks.withColumn(CONTEXT, F.lit(None).cast("string")).withColumn(PHASE, F.lit(None).cast("int"))
     else:
         ready = _with_head(chunks, _starts(chunks, fold))

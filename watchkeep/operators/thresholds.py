@@ -156,6 +156,9 @@ class ThresholdFold(Fold):
             seen = list(context) + [pair for pair in before if pair[0] not in values]
         return seen[: self._rule(key).count - 1]
 
+    def context_size(self):
+        return max(rule.count for rule in self.rules.values())
+
     def idle(self, key, rows):
         return rows < self._rule(key).count
 
