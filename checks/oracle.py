@@ -371,7 +371,7 @@ sql("unread_alerts", "select count(*) as unread from alerts where created_at > t
 
 # Streaming: windows still open at the end of the stream are not written
 sql("stream_eps", "select s * 1000000 as second, count(*) as eps from (select epoch_us(created_at) // 1000000 as s, max(epoch_us(created_at)) over () as newest from burst) where (s + 1) * 1000000 <= (newest // 1000 - 10000) * 1000 group by 1", "burst")
-sql("stream_user_hours", "select username, h * 3600000000 as hour, count(*) as events from (select username, epoch_us(created_at) // 3600000000 as h, max(epoch_us(created_at)) over () as newest from logs) where username <> '' and (h + 1) * 3600000000 <= newest - 600000000 group by 1, 2", "logs")
+sql("stream_user_hours", "select username, h * 3600000000 as hour, count(*) as events from (select username, epoch_us(created_at) // 3600000000 as h, max(epoch_us(created_at)) over () as newest from logs where username <> '') where (h + 1) * 3600000000 <= (newest // 1000 - 600000) * 1000 group by 1, 2", "logs")
 ORACLE["stream_alerts"] = ORACLE["all_alerts"]
 sql("stream_messages", f"select 'log' as type, severity, count(*) as n from burst group by 2 union all select 'alert', severity, count(*) from ({_ALL}) group by 2", "burst", extra=_CTES, recursive=True)
 sql("stream_risk_history", "select username, rs as risk_sum, rn as risk_n, peak_risk from risks", "logs", extra=RISKS)

@@ -23,7 +23,7 @@ def events_per_second(stream: DataFrame, delay: str = "10 seconds") -> DataFrame
 
 def events_per_hour(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     window = F.window("created_at", "1 hour")
-    counted = active(stream.withWatermark("created_at", delay)).groupBy(window, "username").agg(F.count("*").alias("events"))
+    counted = active(stream).withWatermark("created_at", delay).groupBy(window, "username").agg(F.count("*").alias("events"))
     return counted.select("username", F.col("window.start").alias("hour"), "events")
 
 
