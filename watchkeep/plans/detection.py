@@ -14,44 +14,47 @@ from watchkeep.session import materialise
 SNIPPET = 200  # characters of the raw log kept in an alert
 
 
-def _texts(rule: Rule) -> list[Column]:
-    return [
-        F.lit(rule.name).alias("rule_name"),
-        F.lit(rule.severity).alias("severity"),
-        rule.title.alias("title"),
-        rule.description.alias("description"),
-        F.array(*[F.lit(t) for t in rule.techniques]).alias("mitre_techniques"),
-        F.array(*[F.lit(t) for t in rule.tags]).alias("tags"),
-    ]
-
-
-def _match(rule: Rule) -> Column:
-    return F.struct(*_texts(rule))
-
-
-def _alert(hit: str = "hit") -> list[Column]:
-    """Alert columns of a log row that carries a match struct."""
-    part = lambda name: F.col(f"{hit}.{name}").alias(name)
-    return [
-        stable_id(F.col("log_id").cast("string"), F.col(f"{hit}.rule_name")).alias("alert_id"),
+def _match(place: int, rule: Rule) -> Column:
+    """What a matching rule adds to a log; its constants are looked up later."""
+    return F.struct(F.lit(place).alias("place"), rule.title.alias("title"), rule.description.alias("description"))
+
+
+def _constant(rules: list[Rule], value) -> Column:
+    """A constant of the rule at the hit's place."""
+    return F.get(F.array(*[value(r) for r in rules]), F.col("hit.place"))
+
+
+def _words(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+
+
+def _alerts(hits: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Alerts of log rows that carry a match in column ``hit``."""
+    named = hits.withColumn("rule_name", _constant(rules, lambda r: F.lit(r.name)))
+    return named.select(
+        stable_id(F.col("log_id").cast("string"), F.col("rule_name")).alias("alert_id"),
         F.col("created_at"),
-        part("title"), part("description"), part("severity"), part("rule_name"),
+        F.col("hit.title").alias("title"),
+        F.col("hit.description").alias("description"),
+        _constant(rules, lambda r: F.lit(r.severity)).alias("severity"),
+        F.col("rule_name"),
         text("source_ip").alias("source_ip"),
         text("hostname").alias("hostname"),
         text("username").alias("username"),
         F.col("log_id"),
-        part("mitre_techniques"), part("tags"),
+        _constant(rules, lambda r: _words(r.techniques)).alias("mitre_techniques"),
+        _constant(rules, lambda r: _words(r.tags)).alias("tags"),
         F.lit(False).alias("acknowledged"),
         F.lit(None).cast("string").alias("acknowledged_by"),
         F.lit(None).cast("string").alias("incident_id"),
         F.substring(text("raw_log"), 1, SNIPPET).alias("raw_log_snippet"),
-    ]
+    )
 
 
 def stateless_alerts(logs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Alerts of the rules that look at one log at a time: one pass, no shuffle."""
     active = [r for r in rules or default_rules() if r.threshold is None]
-    return _matched(logs, active, {r.name: _match(r) for r in active}, "hit").select(*_alert())
+    return _alerts(_matched(logs, active, {r.name: _match(i, r) for i, r in enumerate(active)}, "hit"), active)
 
 
 def _matched(logs: DataFrame, rules: list[Rule], entries: dict[str, Column], name: str) -> DataFrame:
@@ -100,8 +103,8 @@ def threshold_alerts(logs: DataFrame, rules: list[Rule] | None = None, partition
 
 def with_matches(fired: DataFrame, rules: list[Rule]) -> DataFrame:
     """Alerts from rows that fired, by the name in their ``rule`` column."""
-    hit = F.coalesce(*[F.when(F.col("rule") == r.name, _match(r)) for r in rules])
-    return fired.withColumn("hit", hit).select(*_alert())
+    hit = F.coalesce(*[F.when(F.col("rule") == r.name, _match(i, r)) for i, r in enumerate(rules)])
+    return _alerts(fired.withColumn("hit", hit), rules)
 
 
 def all_alerts(logs: DataFrame, rules: list[Rule] | None = None, partitions: int | None = None) -> DataFrame:
