@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from watchkeep.llm import quality_rules, sharding, warc
+from watchkeep.llm import packing, quality_rules, sharding, token_counts, warc
 from watchkeep.llm.common import prepare, read
 from watchkeep.llm.quality_rules_sql import QUALITY_RULES
 
@@ -13,6 +14,11 @@ def op1_warc(spark, folder: str) -> DataFrame:
     return warc.round_trip(read(prepare(spark), folder, "pages"))
 
 
+def op3_token_counts(spark, folder: str) -> DataFrame:
+    return token_counts.token_counts(
+        read(prepare(spark), folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 def op4_sharding(spark, folder: str) -> DataFrame:
     placed = sharding.bounded_ring(read(prepare(spark), folder, "documents"), shards=40)
     return placed.select(
@@ -20,9 +26,14 @@ def op4_sharding(spark, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_packing(spark, folder: str) -> DataFrame:
+    return packing.pack(
+        read(prepare(spark), folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
 def op6_quality_rules(spark, folder: str) -> DataFrame:
     return quality_rules.line_rules(read(prepare(spark), folder, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_sharding, op6_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_token_counts, op4_sharding, op5_packing, op6_quality_rules)}
 ORACLE: dict[str, str] = {"op6_quality_rules": QUALITY_RULES}
