@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from watchkeep.llm import packing, quality_rules, sharding, token_counts, warc
+from watchkeep.llm import near_dedup, packing, quality_rules, sharding, token_counts, warc
 from watchkeep.llm.common import prepare, read
 from watchkeep.llm.quality_rules_sql import QUALITY_RULES
 
@@ -35,5 +35,9 @@ def op6_quality_rules(spark, folder: str) -> DataFrame:
     return quality_rules.line_rules(read(prepare(spark), folder, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_token_counts, op4_sharding, op5_packing, op6_quality_rules)}
+def op8_near_dedup(spark, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(prepare(spark), folder, "documents"), words=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op3_token_counts, op4_sharding, op5_packing, op6_quality_rules, op8_near_dedup)}
 ORACLE: dict[str, str] = {"op6_quality_rules": QUALITY_RULES}
