@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from watchkeep.llm import near_dedup, packing, quality_rules, sharding, token_counts, warc
+from watchkeep.llm import decontamination, near_dedup, packing, quality_model, quality_rules, sharding, token_counts, toxicity, warc
 from watchkeep.llm.common import prepare, read
 from watchkeep.llm.quality_rules_sql import QUALITY_RULES
 
@@ -14,6 +14,11 @@ def op1_warc(spark, folder: str) -> DataFrame:
     return warc.round_trip(read(prepare(spark), folder, "pages"))
 
 
+def op2_toxicity(spark, folder: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op3_token_counts(spark, folder: str) -> DataFrame:
     return token_counts.token_counts(
         read(prepare(spark), folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
@@ -39,5 +44,17 @@ def op8_near_dedup(spark, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read(prepare(spark), folder, "documents"), words=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_token_counts, op4_sharding, op5_packing, op6_quality_rules, op8_near_dedup)}
+def op9_decontamination(spark, folder: str) -> DataFrame:
+    prepare(spark)
+    return decontamination.leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op10_quality(spark, folder: str) -> DataFrame:
+    prepare(spark)
+    return quality_model.quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_toxicity, op3_token_counts, op4_sharding, op5_packing, op6_quality_rules, op8_near_dedup,
+    op9_decontamination, op10_quality)}
 ORACLE: dict[str, str] = {"op6_quality_rules": QUALITY_RULES}
