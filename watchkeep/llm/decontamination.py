@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -171,37 +173,39 @@ def banded_edits(pattern: np.ndarray, text: np.ndarray, first: int, last: int, m
     return int(row[k]), int(origin[k]), int(places[k])
 
 
+def _matches(passages: Passages, texts: list[str]) -> Iterator[tuple[int, dict]]:
+    """(first text, {(text, item): (edits, begin, end)}) of consecutive texts, the best match of each."""
+    begin = 0
+    while begin < len(texts):
+        end, total = begin, 0
+        while end < len(texts) and (end == begin or total + len(texts[end]) <= CHUNK_CHARS):
+            total += len(texts[end])
+            end += 1
+        flat, starts = normalised(*code_points(texts[begin:end]))
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for text, item, low, high in passages.regions(flat, starts):
+            known = best.get((text, item))
+            if known and known[0] == 0:
+                continue
+            own = flat[starts[text]: starts[text + 1]]
+            pattern, most = passages.codes[item], int(passages.edits[item])
+            low, high = low - int(starts[text]), high - int(starts[text])
+            found = _exact(pattern, own, low, high) or banded_edits(pattern, own, low, high, most)
+            if found[0] <= most and (known is None or found[0] < known[0]):
+                best[text, item] = found
+        yield begin, best
+        begin = end
+
+
 def _scan(docs: DataFrame, passages: Passages) -> DataFrame:
     def run(batch):
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        begin = 0
-        while begin < len(ids):
-            end, total = begin, 0
-            while end < len(ids) and (end == begin or total + len(texts[end]) <= CHUNK_CHARS):
-                total += len(texts[end])
-                end += 1
-            flat, starts = normalised(*code_points(texts[begin:end]))
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            tried = set()
-            for text, item, low, high in passages.regions(flat, starts):
-                own = flat[starts[text]: starts[text + 1]]
-                pattern, most = passages.codes[item], int(passages.edits[item])
-                low, high = low - int(starts[text]), high - int(starts[text])
-                if (text, item, low) in tried:
-                    continue
-                tried.add((text, item, low))
-                known = best.get((text, item))
-                if known and known[0] == 0:
-                    continue
-                edits, a, b = _exact(pattern, own, low, high) or banded_edits(pattern, own, low, high, most)
-                if edits <= most and (known is None or edits < known[0]):
-                    best[text, item] = (edits, a, b)
+        ids = batch.column("doc_id").to_pylist()
+        for begin, best in _matches(passages, batch.column("text").to_pylist()):
             rows = [(ids[begin + t], int(passages.ids[i]), e, a, b, len(passages.codes[i])) for (t, i), (e, a, b) in best.items()]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield {n: pa.array(c, k) for n, c, k in zip(
                     ("doc_id", "item_id", "edits", "begin", "end", "item_chars"), zip(*rows, strict=True), kinds, strict=True)}
-            begin = end
 
     return arrow(run, docs, "doc_id long, item_id long, edits int, begin long, end long, item_chars long")
 
@@ -251,3 +255,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, edits int, begin long, end long, item_chars long")
     return found
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in which no passage is found, all columns as they are.
+
+    Rows are judged one by one, as in ``leaks``; nothing is shuffled.
+    """
+    for block in passage_blocks(benchmark):
+        passages = Passages([i for i, _ in block], [t for _, t in block])
+
+        def run(batches, passages=passages):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for begin, best in _matches(passages, [t or "" for t in batch.column("text").to_pylist()]):
+                    keep[[begin + t for t, _ in best]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -201,6 +201,15 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns as they are.
+
+    Rows that share a doc_id are one document: they stay or go together.
+    """
+    dropped = near_duplicates(docs, words).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
 def _sizes(left: str, right: str) -> Column:
     """The smaller set has PERCENT of the larger one's size at least."""
     m, n = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")

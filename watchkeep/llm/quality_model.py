@@ -167,3 +167,24 @@ def quality(docs: DataFrame, labels: DataFrame, unseen: Column | None = None, sa
     return score(docs, parameters).select(
         "doc_id", unseen.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
         "passages", "attention")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, all columns as they are.
+
+    The model is that of ``quality``; rows are judged one by one, unshuffled.
+    """
+    unseen = held_out(F.col("doc_id"), 4, 2)
+    parameters = fit(store(labelled_sample(docs, labels, "quality", unseen, sample_rows), "labelled"))
+    shared = docs.sparkSession.sparkContext.broadcast(parameters)
+
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for begin, end, data, offsets in text_chunks(batch):
+                x, count = passages(data, offsets)
+                odds = attend(shared.value, x.astype(np.float64), count)[0]
+                keep[begin:end] = sigmoid(odds) >= threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

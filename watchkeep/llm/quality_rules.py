@@ -51,10 +51,14 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, bound(windows, marked)).otherwise(F.lit(0).cast("long"))
 
 
+def _host() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select(
-        "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("content"),
+        "doc_id", _host().alias("host"), F.xxhash64(text).alias("content"),
         F.monotonically_increasing_id().alias("row"), text.alias("text"),
         words_of(text).alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
@@ -103,21 +107,31 @@ def line_rules(docs: DataFrame) -> DataFrame:
     gone = F.coalesce("removed_words", F.lit(0)).cast("long")
     left = F.col("n_words") - gone
     depleted = (left < LEAST_WORDS) | (100 * left < LEFT_PERCENT * F.col("n_words"))
-    return measured.drop("lines", "content").join(removed, "row", "left").select(
+    return measured.drop("lines").join(removed, "row", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), gone.alias("removed_words"), "row",
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), gone.alias("removed_words"), "host", "content",
     )
 
 
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``line_rules`` keeps, all columns as they are.
+
+    A verdict depends on a row's text and host only, so rejected pairs of their
+    values are taken away.
+    """
+    rejected = line_rules(docs).where("not kept").select(F.col("host").alias("_host"), F.col("content").alias("_content")).distinct()
+    host, content = _host(), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(rejected, (host == F.col("_host")) & (content == F.col("_content")), "left_anti")
+
+
 def without_frequent_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines above their host's limit taken out of the text.
 
     Other columns stay; null texts stay null; a text may become empty.
     """
-    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
     frequent = _frequent(store(_measured(docs), "quality"))
     # One row per document: what a host repeats is joined to lines, not gathered per host.
-    numbered = store(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_host", host), "numbered")
+    numbered = store(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_host", _host()), "numbered")
     split = numbered.select("_row", "_host", F.posexplode(F.split("text", "\n")).alias("at", "x"))
     hashed = split.withColumn("line", F.xxhash64(F.lower(F.trim(F.regexp_replace("x", SPACE, " ")))))
     kept = hashed.join(frequent.withColumnRenamed("host", "_host"), ["_host", "line"], "left_anti")

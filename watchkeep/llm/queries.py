@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from watchkeep.llm import decontamination, near_dedup, packing, quality_model, quality_rules, sharding, token_counts, toxicity, warc
+from watchkeep.llm import decontamination, lm_scoring, near_dedup, packing, quality_model, quality_rules, sharding, token_counts, toxicity, warc
 from watchkeep.llm.common import prepare, read
 from watchkeep.llm.quality_rules_sql import QUALITY_RULES
 
@@ -37,7 +37,11 @@ def op5_packing(spark, folder: str) -> DataFrame:
 
 
 def op6_quality_rules(spark, folder: str) -> DataFrame:
-    return quality_rules.line_rules(read(prepare(spark), folder, "documents")).drop("row")
+    return quality_rules.line_rules(read(prepare(spark), folder, "documents")).drop("host", "content")
+
+
+def op7_lm_scoring(spark, folder: str) -> DataFrame:
+    return lm_scoring.log_scores(read(prepare(spark), folder, "documents"))
 
 
 def op8_near_dedup(spark, folder: str) -> DataFrame:
@@ -55,6 +59,6 @@ def op10_quality(spark, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op2_toxicity, op3_token_counts, op4_sharding, op5_packing, op6_quality_rules, op8_near_dedup,
+    op1_warc, op2_toxicity, op3_token_counts, op4_sharding, op5_packing, op6_quality_rules, op7_lm_scoring, op8_near_dedup,
     op9_decontamination, op10_quality)}
 ORACLE: dict[str, str] = {"op6_quality_rules": QUALITY_RULES}
