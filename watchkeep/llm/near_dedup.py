@@ -21,6 +21,8 @@ LONGS = POSITIONS // 8
 # distance with probability 3e-7.
 MOST_DISTANCE = 32
 PERCENT = 80
+# Shingles in a block of sets that are compared in one go.
+BLOCK_SHINGLES = 65_536
 _ROWS = 2048
 _XOR = mix((np.arange(POSITIONS, dtype=U64) + U64(1)) * GOLDEN)
 _ODD = mix((np.arange(POSITIONS, dtype=U64) + U64(101)) * GOLDEN) | U64(1)
@@ -121,6 +123,91 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return store(arrow(run, both.select("a", "b", "ta", "tb"), "a long, b long"), "confirmed")
 
 
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    def run(batch):
+        ids = batch.column("id")
+        for begin, end, data, offsets in text_chunks(batch):
+            w = Words(data, offsets)
+            sets = [shingles(w.hashes[w.first[k]: w.first[k + 1]], words) for k in range(end - begin)]
+            places = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield {"id": ids.slice(begin, end - begin),
+                   "shingles": pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(sets).view(np.int64)))}
+
+    return arrow(run, texts.select("id", "text"), "id long, shingles array<long>")
+
+
+def _inside_mixed(buckets: DataFrame, roots: DataFrame, signed: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) between components inside the buckets that hold several.
+
+    In such a bucket the ids outside its hub's component are compared with all
+    ids of the bucket, on full sets.  Rows are blocks of bounded size, in pairs
+    per hub: a large group is dealt over many tasks, pairs inside a component
+    are skipped, and only links are given out.
+    """
+    labelled = buckets.join(roots, "id").join(roots.select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub")
+    labelled = store(labelled.select("key", "hub", "id", "root", (F.col("root") != F.col("hub_root")).alias("guest")), "labelled")
+    mixed = labelled.where("guest").select("key").distinct()
+    rows = labelled.join(mixed, "key", "left_semi").groupBy("hub", "id", "root").agg(F.max("guest").alias("guest"))
+    rows = store(rows.join(signed.select("id", "n_shingles"), "id"), "mixed")
+    sets = store(_shingle_sets(texts.join(rows.select("id").distinct(), "id", "left_semi"), words), "sets")
+    count = lambda c: F.ceil(F.sum(c) / BLOCK_SHINGLES).cast("int")
+    sizes = rows.groupBy("hub").agg(
+        count("n_shingles").alias("blocks"), count(F.when(F.col("guest"), F.col("n_shingles"))).alias("guest_blocks"))
+    dealt = store(rows.join(sizes, "hub").join(sets, "id").select(
+        "hub", "id", "root", "guest", "shingles", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"),
+        F.pmod(F.xxhash64("id"), "guest_blocks").cast("int").alias("guest_block")), "dealt")
+    packed = F.collect_list(F.struct("id", "root", "shingles"))
+    whole = dealt.groupBy("hub", "block").agg(packed.alias("whole"))
+    guests = dealt.where("guest").groupBy("hub", "guest_block").agg(packed.alias("guests"))
+    pairs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("guest_blocks") - 1)).alias("guest_block"), "blocks").select(
+        "hub", "guest_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def run(batch):
+        for one, two in zip(batch.column("guests"), batch.column("whole"), strict=True):
+            found = _links_between(*_unpacked(one), *_unpacked(two))
+            if len(found):
+                yield {"a": found[:, 0].copy(), "b": found[:, 1].copy()}
+
+    both = pairs.join(guests, ["hub", "guest_block"]).join(whole, ["hub", "block"]).select("guests", "whole")
+    return store(arrow(run, both, "a long, b long"), "confirmed")
+
+
+def _unpacked(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, roots, offsets, shingles) of a block."""
+    rows = block.values
+    lists = rows.field("shingles")
+    offsets = lists.offsets.to_numpy()
+    return rows.field("id").to_numpy(), rows.field("root").to_numpy(), offsets - offsets[0], lists.flatten().to_numpy()
+
+
+def _links_between(ids, roots, places, found, other_ids, other_roots, other_places, other) -> np.ndarray:
+    """(id, other id) of similar enough sets with different roots.
+
+    Each set marks its shingles among the other block's distinct ones; sums of
+    marks are the numbers of shared shingles with every set there.
+    """
+    distinct, number = np.unique(other, return_inverse=True)
+    sizes, out = np.diff(other_places), []
+    for k in range(len(ids)):
+        own = found[places[k]: places[k + 1]]
+        at = np.searchsorted(distinct, own)
+        at[at == len(distinct)] = 0
+        marks = np.zeros(len(distinct), np.int32)
+        marks[at[distinct[at] == own]] = 1
+        shared = np.add.reduceat(marks[number], other_places[:-1])
+        near = (100 * shared >= PERCENT * (len(own) + sizes - shared)) & (other_roots != roots[k])
+        out.append(np.stack([np.full(int(near.sum()), ids[k]), other_ids[near]], axis=1))
+    return np.concatenate(out)
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root) after links between ids of different components."""
+    at = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"r{side}"))
+    between = links.join(at("a"), "a").join(at("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    up = components(between).select(F.col("v").alias("root"), F.col("root").alias("top"))
+    return store(roots.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "components")
+
+
 def _roots(links: DataFrame, ids: DataFrame) -> DataFrame:
     return store(ids.join(components(links).withColumnRenamed("v", "id"), "id", "left").select(
         "id", F.coalesce("root", "id").alias("root")), "components")
@@ -132,10 +219,9 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     Texts with equal shingle sets are one: the row with the smallest doc_id
     stands for them.  Signatures of these get index keys.  In each bucket of a
     key all are compared with the smallest id; most groups are settled by that.
-    Only ids that then lie outside their bucket's component are compared
-    further: among themselves, and with all of that component, nearest first,
-    so that pairs inside a component are never enumerated.  Every link is
-    confirmed on full sets.
+    In buckets with several components, ids outside the smallest id's component
+    are compared with all others, in blocks; pairs inside a component are not
+    enumerated.  Every link is confirmed on full sets.
 
     Null and empty texts have no shingles and no links; fewer words than a
     shingle make one shingle; repeated rows get equal results; rows with a null
@@ -166,34 +252,8 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     links = confirmed(tested, texts, words)
     roots = _roots(links, signed.select("id"))
 
-    # Ids outside the component of their bucket's smallest id.
-    labelled = buckets.join(roots, "id").join(roots.select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub")
-    outside = store(labelled.where("root <> hub_root").select("key", "id", "root", "hub_root"), "outside")
-    crowded = outside.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("two")).where("one < two").select("key")
-    face = signed.select("id", F.struct("n_shingles", *signs).alias("sign"))
-    among = outside.join(crowded, "key", "left_semi").select("key", "id", "root").join(face, "id")
-    p, q = among.alias("p"), among.alias("q")
-    inner = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root"))
-                   & _sizes("p.sign", "q.sign") & (distance("p.sign", "q.sign") <= MOST_DISTANCE))
-    inner = inner.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), distance("p.sign", "q.sign").alias("d"), F.col("q.root").alias("other"))
-    guests = outside.select("id", F.col("hub_root").alias("root")).distinct().join(face, "id").alias("p")
-    members = roots.join(outside.select(F.col("hub_root").alias("root")).distinct(), "root", "left_semi").join(face, "id").alias("q")
-    outer = guests.join(members, (F.col("p.root") == F.col("q.root")) & _sizes("p.sign", "q.sign")
-                        & (distance("p.sign", "q.sign") <= MOST_DISTANCE))
-    outer = outer.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), distance("p.sign", "q.sign").alias("d"), F.col("q.root").alias("other"))
-    open_pairs = store(inner.unionByName(outer).distinct(), "open")
-
-    first = open_pairs.groupBy("a", "other").agg(F.min(F.struct("d", "b")).alias("n")).select("a", F.col("n.b").alias("b"))
-    more = _untested(first, tested)
-    if more.head(1):
-        links = links.unionByName(confirmed(more, texts, words))
-        roots = _roots(links, signed.select("id"))
-        at = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"r{side}"))
-        apart = open_pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").where("ra <> rb").select("a", "b")
-        rest = _untested(apart, tested.unionByName(more))
-        if rest.head(1):
-            links = links.unionByName(confirmed(rest, texts, words))
-            roots = _roots(links, signed.select("id"))
+    links = _inside_mixed(buckets, roots, signed, texts, words)
+    roots = _merged(roots, links)
 
     member = found.join(standing, ["n_shingles", "x", "y"], "left").join(roots, "id", "left")
     component = F.coalesce("root", "doc_id")
@@ -214,10 +274,3 @@ def _sizes(left: str, right: str) -> Column:
     """The smaller set has PERCENT of the larger one's size at least."""
     m, n = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
     return (100 * m >= PERCENT * n) & (100 * n >= PERCENT * m)
-
-
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs in ascending order that are not in ``tested``, stored."""
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return store(ordered.join(known, ["a", "b"], "left_anti"), "pairs")
