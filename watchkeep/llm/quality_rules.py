@@ -119,9 +119,9 @@ def passing(docs: DataFrame) -> DataFrame:
     A verdict depends on a row's text and host only, so rejected pairs of their
     values are taken away.
     """
-    rejected = line_rules(docs).where("not kept").select(F.col("host").alias("_host"), F.col("content").alias("_content")).distinct()
+    rejected = line_rules(docs).where("not kept").select(F.col("host").alias("_watchkeep_host"), F.col("content").alias("_watchkeep_content")).distinct()
     host, content = _host(), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(rejected, (host == F.col("_host")) & (content == F.col("_content")), "left_anti")
+    return docs.join(rejected, (host == rejected["_watchkeep_host"]) & (content == rejected["_watchkeep_content"]), "left_anti")
 
 
 def without_frequent_lines(docs: DataFrame) -> DataFrame:
@@ -131,11 +131,11 @@ def without_frequent_lines(docs: DataFrame) -> DataFrame:
     """
     frequent = _frequent(store(_measured(docs), "quality"))
     # One row per document: what a host repeats is joined to lines, not gathered per host.
-    numbered = store(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_host", _host()), "numbered")
-    split = numbered.select("_row", "_host", F.posexplode(F.split("text", "\n")).alias("at", "x"))
+    numbered = store(docs.withColumn("_watchkeep_row", F.monotonically_increasing_id()).withColumn("_watchkeep_host", _host()), "numbered")
+    split = numbered.select("_watchkeep_row", "_watchkeep_host", F.posexplode(F.split("text", "\n")).alias("at", "x"))
     hashed = split.withColumn("line", F.xxhash64(F.lower(F.trim(F.regexp_replace("x", SPACE, " ")))))
-    kept = hashed.join(frequent.withColumnRenamed("host", "_host"), ["_host", "line"], "left_anti")
-    texts = kept.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("xs")).select(
-        "_row", F.array_join(F.transform("xs", lambda e: e["x"]), "\n").alias("_text"))
+    kept = hashed.join(frequent.withColumnRenamed("host", "_watchkeep_host"), ["_watchkeep_host", "line"], "left_anti")
+    texts = kept.groupBy("_watchkeep_row").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("xs")).select(
+        "_watchkeep_row", F.array_join(F.transform("xs", lambda e: e["x"]), "\n").alias("_watchkeep_text"))
     empty = F.when(F.col("text").isNotNull(), F.lit(""))
-    return numbered.join(texts, "_row", "left").withColumn("text", F.coalesce("_text", empty)).select(*docs.columns)
+    return numbered.join(texts, "_watchkeep_row", "left").withColumn("text", F.coalesce("_watchkeep_text", empty)).select(*docs.columns)
