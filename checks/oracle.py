@@ -136,13 +136,28 @@ def _alerts(table):
     return " union all ".join(f"({make(table)})" for make in STATELESS.values())
 
 
+def _everything():
+    ctes, parts = [], [_alerts("burst")]
+    for number, (make, texts) in enumerate(THRESHOLD.values()):
+        body = make("burst")
+        for cte in ("q", "cand", "fire", "fired", "recent", "step"):
+            for before, after in ((f"{cte} as (", f"{cte}{number} as ("), (f"{cte}(k,", f"{cte}{number}(k,"), (f"from {cte} ", f"from {cte}{number} "),
+                                  (f"join {cte} ", f"join {cte}{number} "), (f"from {cte})", f"from {cte}{number})"), (f"select {cte}.*", f"select {cte}{number}.*"),
+                                  (f"on {cte}.k", f"on {cte}{number}.k"), (f"= {cte}.k", f"= {cte}{number}.k"), (f"and {cte}.rn", f"and {cte}{number}.rn"), (f"= {cte}.rn", f"= {cte}{number}.rn")):
+                body = body.replace(before, after)
+        ctes.append(body)
+        parts.append(texts(f"fired{number}"))
+    return ",\n".join(ctes), " union all ".join(f"({p})" for p in parts)
+
+
+_CTES, _ALL = _everything()
+
+
 TABLES = {name: duckdb_sql(name) for name in (
     "logs", "burst", "indicators", "incidents", "commands", "alert_commands", "requests", "web")}
-TABLES["alerts"] = (
-    f"select {ALERT_ID} as alert_id, *, log_id % 3 = 0 as acknowledged from ({_alerts('logs')})"
-)
+TABLES["alerts"] = f"select {ALERT_ID} as alert_id, *, log_id % 3 = 0 as acknowledged from ({_ALL})"
 TABLES["alert_cmds"] = f"select *, {_id('cast(log_id as varchar)', 'rule_name')} as alert_id from alert_commands"
-NEEDS = {"alerts": ["logs"], "alert_cmds": ["alert_commands"]}
+NEEDS = {"alerts": ["logs", "burst"], "alert_cmds": ["alert_commands"]}
 
 
 def sql(name, body, *tables, extra="", recursive=False):
@@ -150,7 +165,8 @@ def sql(name, body, *tables, extra="", recursive=False):
     for t in tables:
         needed += [n for n in NEEDS.get(t, []) if n not in needed]
         needed += [t] if t not in needed else []
-    ctes = [f"{t} as materialized ({TABLES[t]})" for t in needed] + ([extra] if extra else [])
+    ctes = [(_CTES + ",\n" if t == "alerts" else "") + f"{t} as materialized ({TABLES[t]})" for t in needed] + ([extra] if extra else [])
+    recursive = recursive or "alerts" in needed
     ORACLE[name] = ("with " + ("recursive " if recursive else "") + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
@@ -172,6 +188,7 @@ ISO = "strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f')"
 # Sources and sinks
 sql("read_logs", f"select {LOG_COLUMNS} from logs", "logs")
 sql("export_logs", f"select {ISO} as created_at, severity, event_type, hostname, source_ip, log_source, message, raw_log from (select * from logs {NEWEST} limit 1000)", "logs")
+sql("export_all_logs", f"select {ISO} as created_at, severity, event_type, hostname, source_ip, log_source, message, raw_log from logs", "logs")
 sql("export_alerts", f"select {ISO} as created_at, severity, title, rule_name, source_ip, hostname, cast(acknowledged as varchar) as acknowledged, mitre_csv as mitre_techniques from (select * from alerts {NEWEST_ALERT} limit 500)", "alerts")
 sql("export_incidents", f"select {ISO} as created_at, title, severity, status, assigned_to, source_ip, hostname, mitre_csv as mitre_techniques from (select * from incidents order by created_at desc, incident_id desc limit 500)", "incidents")
 sql("message_envelope", "select cast(json_object('type', 'alert', 'data', json_object('alert_id', alert_id, 'severity', severity, 'title', title, 'log_id', cast(log_id as varchar))) as varchar) as value from alerts", "alerts")
@@ -187,11 +204,14 @@ sql("live_feed_filter", f"select {LOG_COLUMNS} from logs where severity = 'high'
 sql("alerts_list", f"select {ALERT_COLUMNS}, total from (select *, count(*) over () as total from alerts where severity = 'critical' and not acknowledged and rule_name = 'malware_indicators' {NEWEST_ALERT} limit 50 offset 10)", "alerts")
 INCIDENT_COLUMNS = "incident_id, epoch_us(created_at) as created_at, title, description, severity, status, assigned_to, source_ip, hostname, mitre_csv as mitre_techniques"
 sql("incidents_list", f"select {INCIDENT_COLUMNS}, total from (select *, count(*) over () as total from incidents where status = 'open' and severity = 'high' and assigned_to = 'analyst1' order by created_at desc, incident_id desc limit 50 offset 5)", "incidents")
-IOC_COLUMNS = "ioc_id, ioc_type, value, threat_type, confidence, active, threat_type as tags, ioc_id * 1000000 as created_at"
-sql("iocs_list", f"select {IOC_COLUMNS}, total from (select *, count(*) over () as total from indicators where ioc_type = 'ip' order by ioc_id desc limit 50 offset 3)", "indicators")
+IOC_TIME = "(ioc_id * 7919) % 100003"
+IOC_COLUMNS = "ioc_id, ioc_type, value, threat_type, confidence, active, threat_type as tags, (ioc_id * 7919) % 100003 * 1000000 as created_at"
+sql("iocs_list", f"select {IOC_COLUMNS}, total from (select *, count(*) over () as total from indicators where ioc_type = 'ip' order by {IOC_TIME} desc, ioc_id desc limit 50 offset 3)", "indicators")
 sql("find_newest", f"select {LOG_COLUMNS} from (select * from logs where username = 'user7' and severity <> 'info' {NEWEST} limit 1)", "logs")
 sql("newest_per_user", f"select {LOG_COLUMNS} from (select *, row_number() over (partition by username {NEWEST}) as place from logs where username is not null) where place = 1", "logs")
-sql("blocklist", f"select {IOC_COLUMNS} from (select * from indicators where active order by ioc_id desc limit 500)", "indicators")
+sql("blocklist", f"select {IOC_COLUMNS} from indicators where active", "indicators")
+sql("blocklist_recent", f"select {IOC_COLUMNS} from (select * from indicators where active order by {IOC_TIME} desc, ioc_id desc limit 500)", "indicators")
+sql("page_past_the_end", "select cast(null as varchar) as incident_id, count(*) as total from incidents where status = 'open'", "incidents")
 GEO = "select log_id, source_ip, coalesce(country, 'Unknown') as country, geo_lat as lat, geo_lon as lon, severity, event_type from {t}"
 sql("geo_attacks", GEO.format(t=f"(select * from logs where geo_lat is not null {NEWEST} limit 200)"), "logs")
 _DETAIL = {
@@ -212,12 +232,12 @@ sql("ip_reputation", f"""select ip, case when f is not null then {HASH_SCORE.for
   f is not null or confidence is not null as is_malicious, f is not null as threat_feed_match, confidence is not null as ioc_match,
   case when f is not null then 'threat_feed_match,known_malicious' when confidence is not null then concat(threat_type, ',ioc_match') else 'clean' end as tags
   from (select distinct source_ip as ip from logs) left join {_values([(v,) for v in C.FEED_IPS + TEST_FEED_IPS], 'feed', 'f')} on f = ip
-  left join (select value, arg_max(confidence, ioc_id) as confidence, arg_max(threat_type, ioc_id) as threat_type from indicators where ioc_type = 'ip' group by 1) on value = ip""", "logs", "indicators")
+  left join (select value, arg_max(confidence, row((ioc_id * 7919) % 100003, ioc_id)) as confidence, arg_max(threat_type, row((ioc_id * 7919) % 100003, ioc_id)) as threat_type from indicators where ioc_type = 'ip' group by 1) on value = ip""", "logs", "indicators")
 sql("hash_reputation", f"""select value as hash, h is not null as is_malicious, case when h is not null then 'malware' else 'unknown' end as threat_type, cast(case when h is not null then 95 else 5 end as int) as risk_score
   from (select distinct value from indicators where ioc_type = 'hash') left join {_values([(v,) for v in C.FEED_HASHES + TEST_FEED_HASHES], 'feed', 'h')} on h = value""", "indicators")
 ESCALATION = _id("'escalation'", "cast(c.cmd_id as varchar)")
 sql("alert_incident_link", f"select a.alert_id, {ESCALATION} as incident_id, concat('[Escalated] ', a.title) as incident_title, 'open' as status, a.rule_name, epoch_us(a.created_at) as created_at from alerts a join alert_cmds c on c.alert_id = a.alert_id and c.cmd = 'escalate'", "alerts", "alert_cmds")
-sql("alerts_with_logs", "select a.log_id, a.alert_id, a.rule_name, a.title, l.message as log_message, l.event_type as log_event_type, l.risk_score as log_risk_score from alerts a join logs l on l.log_id = a.log_id", "alerts")
+sql("alerts_with_logs", "select a.log_id, a.alert_id, a.rule_name, a.title, l.message as log_message, l.event_type as log_event_type, l.risk_score as log_risk_score from alerts a join burst l on l.log_id = a.log_id", "alerts")
 TACTICS = _values(list(C.TACTICS.items()), "m", "technique, tactic")
 USED = "(select unnest(string_split(mitre_csv, ',')) as technique from alerts)"
 sql("tactic_counts", f"select coalesce(m.tactic, 'Unknown') as tactic, count(*) as n from {USED} t left join {TACTICS} on m.technique = t.technique group by 1", "alerts")
@@ -273,21 +293,6 @@ for _name, (_ctes, _texts) in THRESHOLD.items():
     sql(_name, f"select {RULE_COLUMNS} from ({_texts('fired')})", "burst", extra=_ctes("burst"), recursive=True)
 
 
-def _everything():
-    ctes, parts = [], [_alerts("burst")]
-    for number, (make, texts) in enumerate(THRESHOLD.values()):
-        body = make("burst")
-        for cte in ("q", "cand", "fire", "fired", "recent", "step"):
-            for before, after in ((f"{cte} as (", f"{cte}{number} as ("), (f"{cte}(k,", f"{cte}{number}(k,"), (f"from {cte} ", f"from {cte}{number} "),
-                                  (f"join {cte} ", f"join {cte}{number} "), (f"from {cte})", f"from {cte}{number})"), (f"select {cte}.*", f"select {cte}{number}.*"),
-                                  (f"on {cte}.k", f"on {cte}{number}.k"), (f"= {cte}.k", f"= {cte}{number}.k"), (f"and {cte}.rn", f"and {cte}{number}.rn"), (f"= {cte}.rn", f"= {cte}{number}.rn")):
-                body = body.replace(before, after)
-        ctes.append(body)
-        parts.append(texts(f"fired{number}"))
-    return ",\n".join(ctes), " union all ".join(f"({p})" for p in parts)
-
-
-_CTES, _ALL = _everything()
 sql("all_alerts", f"select {ALERT_ID} as alert_id, log_id, rule_name, severity, title, description from ({_ALL})", "burst", extra=_CTES, recursive=True)
 sql("backfill_alerts", f"select rule_name, severity, count(*) as n from ({_ALL}) group by 1, 2", "burst", extra=_CTES, recursive=True)
 sql("alert_records", f"select {ALERT_COLUMNS.replace('acknowledged,', 'false as acknowledged,', 1)} from alerts", "alerts")
@@ -306,7 +311,8 @@ sql("ueba_hourly", "select username, epoch_us(hour) as hour, events from hours",
 sql("ueba_profile", "select u.username, coalesce(avg_hourly_events, 0.0) as avg_hourly_events, coalesce(current_hour_events, 0) as current_hour_events, coalesce(avg_risk_score, 20.0) as avg_risk_score, coalesce(peak_risk, 0) as peak_risk, coalesce(total_events, 0) as total_events, coalesce(anomaly_flag, false) as anomaly_flag from (select distinct concat('user', cast(user_id % 50 as varchar)) as username from events) u left join profiles p on p.username = u.username", "logs", extra=PROFILES)
 sql("ueba_profiles", f"select {PROFILE_COLUMNS} from profiles", "logs", extra=PROFILES)
 sql("ueba_top_users", f"select {PROFILE_COLUMNS} from {TOP_USERS}", "logs", extra=PROFILES)
-sql("ueba_population", f"select count(*) as users, count(*) filter (where anomaly_flag) as anomalous, cast(floor(avg(avg_risk_score) + 0.5) as bigint) as avg_risk from {TOP_USERS}", "logs", extra=PROFILES)
+sql("ueba_population", f"select count(*) as users, count(*) filter (where anomaly_flag) as anomalous, cast(floor(avg(avg_risk_score) + 0.5) as bigint) as avg_risk from profiles", "logs", extra=PROFILES)
+sql("ueba_population_top", f"select count(*) as users, count(*) filter (where anomaly_flag) as anomalous, cast(floor(avg(avg_risk_score) + 0.5) as bigint) as avg_risk from {TOP_USERS}", "logs", extra=PROFILES)
 sql("ueba_radar", " union all ".join(f"select username, '{n}' as subject, {e} as a from profiles" for n, e in {
     "Login Freq": "least(100.0::double, current_hour_events * 5.0::double)", "Risk Score": "avg_risk_score", "Peak Risk": "cast(peak_risk as double)",
     "Hourly Vol": "least(100.0::double, avg_hourly_events * 3.0::double)", "Anomaly": "case when anomaly_flag then 80.0::double else 20.0::double end"}.items()), "logs", extra=PROFILES)
@@ -314,7 +320,7 @@ sql("entity_risk", "select username as entity, 'user' as type, cast(least(100, f
 sql("risk_bands", "select case when risk_score >= 80 then 'critical' when risk_score >= 60 then 'high' when risk_score >= 40 then 'medium' when risk_score >= 20 then 'low' else 'info' end as risk_band, case when risk_score >= 75 then 'critical' when risk_score >= 50 then 'medium' when risk_score >= 25 then 'low' else 'clean' end as indicator_band, count(*) as n from logs group by 1, 2", "logs")
 
 # Table changes
-sql("update_one", f"select {INCIDENT_COLUMNS.replace('status, assigned_to', 'case when hit then {0} else status end as status, case when hit then {1} else assigned_to end as assigned_to').format(chr(39) + 'investigating' + chr(39), chr(39) + 'lead' + chr(39))} from (select *, incident_id = (select min(incident_id) from incidents where status = 'open' and severity = 'critical') as hit from incidents)", "incidents")
+sql("update_one", f"select {INCIDENT_COLUMNS.replace('status, assigned_to', 'case when hit then {0} else status end as status, case when hit then {1} else assigned_to end as assigned_to').format(chr(39) + 'investigating' + chr(39), chr(39) + 'lead' + chr(39))} from (select *, incident_id = (select arg_min(incident_id, row(created_at, incident_id)) from incidents where status = 'open' and severity = 'critical') as hit from incidents)", "incidents")
 OPEN_HIGH = "status = 'open' and severity in ('critical', 'high')"
 sql("update_many", f"select {INCIDENT_COLUMNS.replace('assigned_to', 'case when {w} then {v} else assigned_to end as assigned_to').format(w=OPEN_HIGH, v=chr(39) + 'lead' + chr(39))} from incidents", "incidents")
 sql("update_count", f"select count(*) as n from incidents where {OPEN_HIGH}", "incidents")
@@ -329,6 +335,7 @@ sql("alerts_linked", f"""select a.alert_id, a.log_id, a.rule_name, case when c.c
   from alerts a left join (select alert_id, arg_max(cmd_id, row(ts, cmd_id)) as cmd_id from alert_cmds where cmd = 'escalate' group by 1) c on c.alert_id = a.alert_id""", "alerts", "alert_cmds")
 sql("incidents_created", f"""select {_id("'incident'", "cast(request_id as varchar)")} as incident_id, epoch_us(ts) as created_at, title, description, coalesce(severity, 'medium') as severity, 'open' as status,
   case when coalesce(assigned_to, '') <> '' then assigned_to else actor end as assigned_to, actor as created_by, 'manual' as tags, coalesce(source_ip, '') as source_ip, coalesce(hostname, '') as hostname, mitre_csv as mitre_techniques, '' as alert_ids from requests""", "requests")
+sql("creation_timeline", f"""select {_id("'incident'", "cast(request_id as varchar)")} as incident_id, epoch_us(ts) as ts, 'incident_created' as action, actor, 'Incident created manually' as note from requests""", "requests")
 sql("iocs_created", f"""select {_id("'indicator'", "cast(request_id as varchar)")} as ioc_id, epoch_us(ts) as created_at, ioc_type, value, coalesce(threat_type, 'unknown') as threat_type, coalesce(confidence, 50) as confidence, 'manual' as tags,
   coalesce(notes, '') as notes, coalesce(source, 'manual') as source, true as active, actor as created_by, 0 as hit_count from requests""", "requests")
 sql("iocs_remaining", "select * from indicators where ioc_id not in (select user_id * 2 from events where event_type = 'error')", "indicators")

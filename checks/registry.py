@@ -50,14 +50,14 @@ def logs(spark, folder, name="logs"):
 
 
 def alerts(spark, folder):
-    """Alerts of the stateless rules; every third log's are acknowledged."""
-    found = detection.stateless_alerts(D.derived(spark, folder, "logs"))
+    """Alerts of all rules; every third log's are acknowledged."""
+    found = detection.all_alerts(D.derived(spark, folder, "burst"))
     return found.withColumn("acknowledged", F.col("log_id") % 3 == 0)
 
 
 def indicators(spark, folder):
     found = D.derived(spark, folder, "indicators")
-    return found.withColumn("tags", F.array("threat_type")).withColumn("created_at", F.timestamp_seconds("ioc_id"))
+    return found.withColumn("tags", F.array("threat_type")).withColumn("created_at", F.timestamp_seconds((F.col("ioc_id").cast("long") * 7919) % 100003))
 
 
 def incidents(spark, folder):
@@ -179,7 +179,13 @@ def newest_per_user(spark, folder):
 
 @query
 def blocklist(spark, folder):
-    return filters.newest(indicators(spark, folder).where("active"), 500, "ioc_id")
+    return intel.blocklist(indicators(spark, folder))
+
+
+@query
+def blocklist_recent(spark, folder):
+    """The newest 500 active indicators."""
+    return intel.blocklist(indicators(spark, folder), 500)
 
 
 @query
@@ -194,6 +200,23 @@ def log_detail(spark, folder):
     return filters.detail_rows(shown.withColumn("created_at", F.date_format("created_at", tables.TIME_FORMAT)), "log_id")
 
 
+@query
+def page_past_the_end(spark, folder):
+    """No row is left, the total is still given."""
+    chosen = filters.find(incidents(spark, folder), {"status": "open"})
+    return filters.counted_page(chosen, "incident_id", skip=10_000_000, limit=50).select("incident_id", "total")
+
+
+@query
+def export_all_logs(spark, folder):
+    return tables.log_export(D.derived(spark, folder, "logs"), limit=None)
+
+
+@query
+def creation_timeline(spark, folder):
+    return updates.creation_timeline(updates.create_incidents(requests(spark, folder)))
+
+
 @query
 def log_sources(spark, folder):
     return metrics.known_sources(D.derived(spark, folder, "logs"))
@@ -251,7 +274,7 @@ def alert_incident_link(spark, folder):
 @query
 def alerts_with_logs(spark, folder):
     return intel.alerts_with_logs(
-        alerts(spark, folder).select("alert_id", "log_id", "rule_name", "title"), D.derived(spark, folder, "logs"))
+        alerts(spark, folder).select("alert_id", "log_id", "rule_name", "title"), D.derived(spark, folder, "burst"))
 
 
 @query
@@ -439,7 +462,7 @@ def all_alerts(spark, folder):
 
 @query
 def alert_records(spark, folder):
-    return detection.stateless_alerts(D.derived(spark, folder, "logs"))
+    return detection.all_alerts(D.derived(spark, folder, "burst"))
 
 
 # Behaviour
@@ -472,6 +495,13 @@ def ueba_top_users(spark, folder):
 
 @query
 def ueba_population(spark, folder):
+    found = D.derived(spark, folder, "logs")
+    return behaviour.population(behaviour.profiles(found, as_of(found)))
+
+
+@query
+def ueba_population_top(spark, folder):
+    """Figures of the ten riskiest users."""
     found = D.derived(spark, folder, "logs")
     return behaviour.population(behaviour.top_risky(behaviour.profiles(found, as_of(found))))
 
@@ -507,8 +537,8 @@ def iforest_train(spark, folder):
 
 
 def _scored(spark, folder):
-    model = forest.fit(forest.baseline(spark), "point_id")
-    return forest.flag(forest.score(D.derived(spark, folder, "logs"), model)).select(
+    found = D.derived(spark, folder, "logs")
+    return forest.flag(forest.score(found, forest.fit(found, "log_id"))).select(
         "log_id", "risk_score", "anomaly_score", "forest_score", "is_anomalous")
 
 

@@ -114,8 +114,17 @@ def test_dimensions_are_broadcast(spark, small):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def points_of(spark):
+    """1,000 quiet points and 50 loud ones, from hashes of their number."""
+    part = lambda seed, low, width: F.lit(low) + F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1000)) / 1000.0 * width
+    loud = F.col("id") >= 1000
+    return spark.range(1050).select(
+        F.col("id").alias("point_id"), F.when(loud, part(1, 75.0, 25.0)).otherwise(part(2, 5.0, 30.0)).alias("risk_score"),
+        F.when(loud, part(3, 0.7, 0.3)).otherwise(part(4, 0.0, 0.3)).alias("anomaly_score"))
+
+
 def test_forest_separates_loud_points(spark):
-    points = forest.baseline(spark)
+    points = points_of(spark)
     model = forest.fit(points, "point_id")
     rows = forest.flag(forest.score(points, model)).collect()
     loud = [r.forest_score for r in rows if r.point_id >= 1000]
@@ -129,14 +138,14 @@ def test_forest_separates_loud_points(spark):
 
 
 def test_forest_is_the_same_on_every_run_and_partitioning(spark):
-    points = forest.baseline(spark)
+    points = points_of(spark)
     one = forest.grow_trees(points, "point_id", trees=5).orderBy("tree", "node").collect()
     two = forest.grow_trees(points.repartition(9), "point_id", trees=5).orderBy("tree", "node").collect()
     assert one == two
 
 
 def test_forest_defaults_for_missing_features(spark):
-    model = forest.fit(forest.baseline(spark), "point_id", trees=20)
+    model = forest.fit(points_of(spark), "point_id", trees=20)
     rows = spark.createDataFrame([(None, None), (20, 0.1)], "risk_score int, anomaly_score double")
     scores = [r.forest_score for r in forest.score(rows, model).collect()]
     assert scores[0] == scores[1]

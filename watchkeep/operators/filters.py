@@ -93,16 +93,19 @@ def newest(df: DataFrame, limit: int, tiebreak: str = "log_id", skip: int = 0) -
 def counted_page(df: DataFrame, tiebreak: str, skip: int, limit: int, word: str | None = None, scope: str = "page") -> DataFrame:
     """A page plus the total of matching rows in column ``total``.
 
+    An empty page is one row of nulls with the total.
+
     With ``scope='page'`` the keyword narrows the page after paging and the
     total ignores it; with ``scope='all'`` it narrows the search itself.
     """
     if word and scope == "all":
         df, word = df.where(keyword(word)), None
-    total = df.agg(F.count("*").alias("n")).scalar()
+    total = df.agg(F.count("*").alias("total"))
     page = newest(df, limit, tiebreak, skip)
     if word:
         page = page.where(keyword(word))
-    return page.withColumn("total", total)
+    # One row on the left; at most ``limit`` rows on the right.
+    return total.join(page, F.lit(True), "left").select(*df.columns, "total")
 
 
 def search_logs(

@@ -132,17 +132,6 @@ def _raw_score(forest: Forest):
     return raw
 
 
-def baseline(spark: SparkSession) -> DataFrame:
-    """The standard training set: 1,000 quiet points and 50 loud ones."""
-    rng = np.random.RandomState(C.FOREST_SEED)
-    quiet = [rng.normal(20, 10, 1000).clip(0, 100), rng.uniform(0.0, 0.3, 1000)]
-    loud = [rng.normal(85, 10, 50).clip(0, 100), rng.uniform(0.7, 1.0, 50)]
-    points = np.vstack([np.column_stack(quiet), np.column_stack(loud)])
-    pdf = pd.DataFrame(points, columns=FEATURES)
-    pdf.insert(0, "point_id", range(len(pdf)))
-    return spark.createDataFrame(pdf, "point_id long, risk_score double, anomaly_score double")
-
-
 def score(df: DataFrame, forest: Forest) -> DataFrame:
     """Adds ``forest_score`` in [0, 1]; higher is more anomalous."""
     decision = _raw_score(forest)(*features(df)) - F.lit(forest.offset)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from watchkeep import constants as C
 from watchkeep.functions.text import techniques
+from watchkeep.operators.filters import newest
 from watchkeep.sources.tables import fixed_table
 
 
@@ -24,12 +25,22 @@ def _spread(value: Column, low: int, width: int) -> Column:
 
 
 def newest_indicators(indicators: DataFrame, kind: str) -> DataFrame:
-    """The newest indicator of each value; duplicates combine before the shuffle."""
-    return (
-        indicators.where(F.col("ioc_type") == kind)
-        .groupBy("value")
-        .agg(F.max_by(F.struct("ioc_id", "confidence", "tags"), "ioc_id").alias("ioc"))
-    )
+    """The newest indicator of each value, by time and then id.
+
+    Times and ids combine before the shuffle in a hash aggregate; the chosen
+    rows are joined afterwards.
+    """
+    own = indicators.where(F.col("ioc_type") == kind)
+    latest = own.groupBy("value").agg(F.max("created_at").alias("created_at"))
+    rows = own.select("value", "created_at", "ioc_id", "confidence", "tags").join(latest, ["value", "created_at"], "left_semi")
+    # Rows of one value and the same time are few.
+    return rows.groupBy("value").agg(F.max_by(F.struct("ioc_id", "confidence", "tags"), "ioc_id").alias("ioc"))
+
+
+def blocklist(indicators: DataFrame, limit: int | None = None) -> DataFrame:
+    """Active indicators; with a limit, the newest of them."""
+    active = indicators.where("active")
+    return active if limit is None else newest(active, limit, "ioc_id")
 
 
 def ip_reputation(ips: DataFrame, indicators: DataFrame, feed_ips: DataFrame) -> DataFrame:

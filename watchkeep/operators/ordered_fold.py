@@ -94,10 +94,11 @@ def ordered_fold(
     partitions: int | None = None,
 ) -> DataFrame:
     """Run ``fold`` over each ``fold_key`` of ``df`` in ``order``."""
-    chunks = sorted_chunks(df, order, partitions)
+    # The result does not depend on the number of chunks; their contexts are broadcast.
+    most = max(1, MOST_CONTEXT // max(1, fold.context_size()))
+    wanted = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = sorted_chunks(df, order, most if wanted > most else partitions)
     count = chunks.rdd.getNumPartitions()
-    if count * fold.context_size() > MOST_CONTEXT:
-        raise ValueError(f"{count} chunks with contexts of {fold.context_size()} are too much to broadcast: pass fewer partitions")
     if count <= 1:  # nothing to stitch
         ready = chunks.withColumn(CONTEXT, F.lit(None).cast("string")).withColumn(PHASE, F.lit(None).cast("int"))
     else:

@@ -119,7 +119,7 @@ class ThresholdFold(Fold):
         self.columns = columns
 
     def _rule(self, key: str) -> Threshold:
-        return self.rules[key.split(":", 1)[0]]
+        return self.rules[max((n for n in self.rules if key.startswith(f"{n}:")), key=len)]
 
     def fresh(self, batch, row):
         return ThresholdRun(self._rule(batch.column(batch.schema.get_field_index(KEY))[row].as_py()))

@@ -26,9 +26,9 @@ def update_many(df: DataFrame, condition: dict, values: dict) -> DataFrame:
     return _set(df, holds(condition, df.columns), values)
 
 
-def update_one(df: DataFrame, condition: dict, values: dict, key: str) -> DataFrame:
-    """Set values on the matching row with the lowest key, the first inserted."""
-    first = df.where(matches(condition, df.columns)).agg(F.min(key).alias("first")).scalar()
+def update_one(df: DataFrame, condition: dict, values: dict, key: str, time: str = "created_at") -> DataFrame:
+    """Set values on the matching row inserted first: the earliest time, then the lowest key."""
+    first = df.where(matches(condition, df.columns)).agg(F.min(F.struct(time, key))[key].alias("first")).scalar()
     return _set(df, F.coalesce(F.col(key) == first, F.lit(False)), values)
 
 

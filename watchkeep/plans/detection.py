@@ -14,6 +14,15 @@ from watchkeep.session import materialise
 SNIPPET = 200  # characters of the raw log kept in an alert
 
 
+def checked(rules: list[Rule] | None) -> list[Rule]:
+    """The given rules, or the default ones for None; names must be unique."""
+    chosen = default_rules() if rules is None else list(rules)
+    names = [r.name for r in chosen]
+    if len(set(names)) < len(names):
+        raise ValueError(f"rule names must differ: {sorted({n for n in names if names.count(n) > 1})}")
+    return chosen
+
+
 def _match(place: int, rule: Rule) -> Column:
     """What a matching rule adds to a log; its constants are looked up later."""
     return F.struct(F.lit(place).alias("place"), rule.title.alias("title"), rule.description.alias("description"))
@@ -21,7 +30,7 @@ def _match(place: int, rule: Rule) -> Column:
 
 def _constant(rules: list[Rule], value) -> Column:
     """A constant of the rule at the hit's place."""
-    return F.get(F.array(*[value(r) for r in rules]), F.col("hit.place"))
+    return F.get(F.array(*[value(r) for r in rules]), F.col("hit.place")) if rules else F.lit(None)
 
 
 def _words(words: list[str]) -> Column:
@@ -30,20 +39,20 @@ def _words(words: list[str]) -> Column:
 
 def _alerts(hits: DataFrame, rules: list[Rule]) -> DataFrame:
     """Alerts of log rows that carry a match in column ``hit``."""
-    named = hits.withColumn("rule_name", _constant(rules, lambda r: F.lit(r.name)))
+    named = hits.withColumn("rule_name", _constant(rules, lambda r: F.lit(r.name)).cast("string"))
     return named.select(
         stable_id(F.col("log_id").cast("string"), F.col("rule_name")).alias("alert_id"),
         F.col("created_at"),
         F.col("hit.title").alias("title"),
         F.col("hit.description").alias("description"),
-        _constant(rules, lambda r: F.lit(r.severity)).alias("severity"),
+        _constant(rules, lambda r: F.lit(r.severity)).cast("string").alias("severity"),
         F.col("rule_name"),
         text("source_ip").alias("source_ip"),
         text("hostname").alias("hostname"),
         text("username").alias("username"),
         F.col("log_id"),
-        _constant(rules, lambda r: _words(r.techniques)).alias("mitre_techniques"),
-        _constant(rules, lambda r: _words(r.tags)).alias("tags"),
+        _constant(rules, lambda r: _words(r.techniques)).cast("array<string>").alias("mitre_techniques"),
+        _constant(rules, lambda r: _words(r.tags)).cast("array<string>").alias("tags"),
         F.lit(False).alias("acknowledged"),
         F.lit(None).cast("string").alias("acknowledged_by"),
         F.lit(None).cast("string").alias("incident_id"),
@@ -53,7 +62,7 @@ def _alerts(hits: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def stateless_alerts(logs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Alerts of the rules that look at one log at a time: one pass, no shuffle."""
-    active = [r for r in rules or default_rules() if r.threshold is None]
+    active = [r for r in checked(rules) if r.threshold is None]
     return _alerts(_matched(logs, active, {r.name: _match(i, r) for i, r in enumerate(active)}, "hit"), active)
 
 
@@ -66,6 +75,9 @@ def _matched(logs: DataFrame, rules: list[Rule], entries: dict[str, Column], nam
     optimizer push copies of them below ``readable`` and repeat its texts in
     every test.
     """
+    if not rules:
+        nothing = F.lit(None).cast("struct<place: int, title: string, description: string>")
+        return readable(logs).where("false").withColumn(name, nothing)
     columns = {f"{name}_{i}": F.when(r.when, entries[r.name]) for i, r in enumerate(rules)}
     return (
         readable(logs)
@@ -83,7 +95,8 @@ def qualifying(logs: DataFrame, rules: list[Rule]) -> DataFrame:
         r.key.alias("key"),
         (r.distinct_value if r.distinct_value is not None else F.lit(None)).cast("string").alias("value"),
     )
-    kept = [F.substring("raw_log", 1, SNIPPET).alias("raw_log") if c == "raw_log" else F.col(c) for c in [*CARRIED, *extra]]
+    # Texts stay whole: a rule's title and description may read any of them.
+    kept = [F.col(c) for c in [*CARRIED, *extra]]
     return _matched(logs, rules, {r.name: entry(r) for r in rules}, "q").select(*kept, "q.*")
 
 
@@ -93,7 +106,9 @@ def threshold_alerts(logs: DataFrame, rules: list[Rule] | None = None, partition
     The narrow qualifying rows are stored first: a range partitioning reads its
     input twice, and the logs should be read once.
     """
-    active = [r for r in rules or default_rules() if r.threshold is not None]
+    active = [r for r in checked(rules) if r.threshold is not None]
+    if not active:
+        return stateless_alerts(logs.limit(0), [])
     fired = threshold_firings(
         materialise(qualifying(logs, active)), {r.name: r.threshold for r in active},
         "rule", "key", "created_at", "log_id", "value", partitions,
@@ -109,9 +124,9 @@ def with_matches(fired: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def all_alerts(logs: DataFrame, rules: list[Rule] | None = None, partitions: int | None = None) -> DataFrame:
     """Every alert of every rule; one log may cause several."""
-    chosen = rules or default_rules()
+    chosen = checked(rules)
     parts = []
-    if any(r.threshold is None for r in chosen):
+    if not chosen or any(r.threshold is None for r in chosen):
         parts.append(stateless_alerts(logs, chosen))
     if any(r.threshold is not None for r in chosen):
         parts.append(threshold_alerts(logs, chosen, partitions))

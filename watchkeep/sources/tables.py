@@ -28,13 +28,16 @@ def fixed_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFra
 
 
 def with_identity(df: DataFrame, key: str, time: str = "created_at") -> DataFrame:
-    """Fill a missing key (a hash of the row's content) and a missing time."""
+    """Fill a missing key (a random UUID) and a missing time.
+
+    Equal rows get different keys.  The keys are made once, when the rows are
+    stored: use the stored table afterwards, as ``append`` does.
+    """
     for name, kind in ((key, "string"), (time, "timestamp")):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(kind))
-    content = F.to_json(F.struct(*[c for c in df.columns if c not in (key, time)]))
     return df.withColumns(
-        {key: F.coalesce(F.col(key).cast("string"), F.sha2(content, 256)), time: F.coalesce(F.col(time), F.current_timestamp())}
+        {key: F.coalesce(F.col(key).cast("string"), F.uuid()), time: F.coalesce(F.col(time), F.current_timestamp())}
     )
 
 
@@ -59,18 +62,23 @@ def _shown(df: DataFrame, names: list[str]) -> list:
     return shown
 
 
-def log_export(logs: DataFrame, limit: int = 1000) -> DataFrame:
-    chosen = newest(logs, limit)
+def _chosen(df: DataFrame, limit: int | None, key: str) -> DataFrame:
+    return df if limit is None else newest(df, limit, key)
+
+
+def log_export(logs: DataFrame, limit: int | None = 1000) -> DataFrame:
+    """The newest logs as text columns; all of them, unordered, without a limit."""
+    chosen = _chosen(logs, limit, "log_id")
     return chosen.select(*_shown(chosen, LOG_EXPORT))
 
 
-def alert_export(alerts: DataFrame, limit: int = 500) -> DataFrame:
-    chosen = newest(alerts, limit, "alert_id")
+def alert_export(alerts: DataFrame, limit: int | None = 500) -> DataFrame:
+    chosen = _chosen(alerts, limit, "alert_id")
     return chosen.select(*_shown(chosen, ALERT_EXPORT))
 
 
-def incident_export(incidents: DataFrame, limit: int = 500) -> DataFrame:
-    chosen = newest(incidents, limit, "incident_id")
+def incident_export(incidents: DataFrame, limit: int | None = 500) -> DataFrame:
+    chosen = _chosen(incidents, limit, "incident_id")
     return chosen.select(*_shown(chosen, INCIDENT_EXPORT))
 
 

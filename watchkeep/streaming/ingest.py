@@ -50,10 +50,12 @@ class Ingest:
             self._write(logs, "logs", batch)
             self._write(hourly_counts(logs).drop("first_seen"), "user_hours", batch)
             state = ThresholdState(self.spark, f"{self.folder}/threshold_state")
-            counted, late = settle(logs, batch, self.rules, state, self.delay_seconds, final)
-            alerts = stateless_alerts(logs, self.rules).unionByName(counted)
+            alerts = stateless_alerts(logs, self.rules)
+            if any(r.threshold is not None for r in self.rules):
+                counted, late = settle(logs, batch, self.rules, state, self.delay_seconds, final)
+                alerts = alerts.unionByName(counted)
+                self._write(late, "late", batch)
             self._write(alerts, "alerts", batch)
-            self._write(late, "late", batch)
             stored = self.spark.read.parquet(f"{self.folder}/alerts/batch={batch}")
             messages = envelope(logs, "log", "log_id").unionByName(envelope(stored, "alert", "alert_id"))
             self._write(messages, "messages", batch)
@@ -68,8 +70,8 @@ class Ingest:
 
     def finish(self, schema) -> None:
         """Settle what is still pending, once the stream has ended for good."""
-        done = [int(r.batch) for r in self.table("logs").select("batch").distinct().collect()]
-        self.process(self.spark.createDataFrame([], schema), max(done) + 1, final=True)
+        last = self.table("logs").agg(F.max(F.col("batch").cast("long"))).first()[0]
+        self.process(self.spark.createDataFrame([], schema), int(last) + 1, final=True)
 
 
 def user_hours(table: DataFrame) -> DataFrame:

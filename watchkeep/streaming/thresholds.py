@@ -65,7 +65,9 @@ class ThresholdState:
 def settle(
     logs: DataFrame, batch: int, rules: list[Rule], state: ThresholdState, delay_seconds: int, final: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Alerts that this micro-batch settles, and rows that came too late.
+    """Alerts that this micro-batch settles, and the logs that came too late, whole.
+
+    A log without a time has no place in a window and counts as late.
 
     ``final`` settles everything pending, at the end of a stream.
     """
@@ -77,7 +79,8 @@ def settle(
     reached = before if newest is None else max(before, newest - delay_seconds * 1_000_000)
     watermark = END if final else reached
 
-    late = fresh.where(F.col("us") <= before)
+    missed = fresh.where(F.col("us").isNull() | (F.col("us") <= before)).select("log_id").distinct()
+    late = logs.join(missed, "log_id", "left_semi")
     waiting = fresh.where(F.col("us") > before).unionByName(state.read("pending", batch - 1, fresh.schema))
     carried = state.read("carry", batch - 1, fresh.schema)
     settled = materialise(waiting.where(F.col("us") <= watermark).unionByName(carried))
@@ -86,7 +89,7 @@ def settle(
     state.write(waiting.where(F.col("us") > watermark), "pending", batch)
     state.write(_still_counting(settled, fired, active, watermark), "carry", batch)
     state.set_clock(batch, watermark)
-    return with_matches(fired.drop("us"), active), late.drop("us", "rule", "key", "value")
+    return with_matches(fired.drop("us"), active), late
 
 
 def _still_counting(settled: DataFrame, fired: DataFrame, rules: list[Rule], watermark: int) -> DataFrame:
