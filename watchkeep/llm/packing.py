@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from watchkeep.llm.common import arrow, store, text_or_empty
 
-REMEMBERED = 400_000
-BATCH = 200
+REMEMBERED = 800_000
+BATCH = 500
 # Pieces that one partition packs.
 PART_ROWS = 100_000
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
