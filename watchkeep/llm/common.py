@@ -44,7 +44,7 @@ def store(df: DataFrame, name: str = "step") -> DataFrame:
     The plan is cut there, and lost executors take nothing of it along.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

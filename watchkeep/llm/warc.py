@@ -66,19 +66,33 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0) -> None:
     joined.select(record.alias("value")).write.option("lineSep", END).text(path)
 
 
-def candidates(spark, path: str) -> DataFrame:
-    """Every version line of the archives: (file, block, offset, successor, header, body).
+def version_pieces(spark, path: str) -> DataFrame:
+    """What follows every version line: (file, block, order, length, header, content, body, bytes, digest).
 
-    ``body`` is what follows the header up to the next version line.  The text
-    reader keeps bytes as they are and reads a file in byte ranges, in order.
+    ``content`` is the stated length, ``bytes`` and ``digest`` are those of the
+    payload as far as this piece holds it.  The text reader keeps bytes as they
+    are and reads a file in byte ranges, in order.
     """
     pieces = spark.read.option("lineSep", VERSION).text(path).select(
-        F.col("value").alias("piece"), F.octet_length("value").cast("long").alias("length"),
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("order"),
+        F.monotonically_increasing_id().alias("order"), F.octet_length("value").cast("long").alias("length"),
+        F.substring_index("value", BLANK, 1).alias("header"), F.col("value").cast("binary").alias("raw"),
     )
-    pieces = store(pieces, "warc-pieces")
+    head_bytes = F.octet_length("header") + len(BLANK)
+    complete = F.octet_length("header") < F.col("length")
+    stated = F.regexp_extract("header", r"(?:^|\r\n)(?i:Content-Length): *([0-9]{1,18})(?:\r\n|$)", 1)
+    body = F.when(complete, F.substring("raw", head_bytes + 1, F.octet_length("raw")))
+    pieces = pieces.select(
+        "file", "block", "order", "length", "header", F.when(complete & (stated != ""), stated.cast("long")).alias("content"), body.alias("body"))
+    # A stated length may exceed what a position can be; no piece is that long.
+    held = F.substring("body", F.lit(1), F.least(F.col("content"), F.octet_length("body")).cast("int"))
+    return store(pieces.withColumn("bytes", F.octet_length(held).cast("long")).withColumn("digest", sha1_base32(held)), "warc-pieces")
+
+
+def candidates(pieces: DataFrame) -> DataFrame:
+    """Every version line of the archives: (file, block, order, offset, successor); no payload is moved."""
     width = len(VERSION)
+    pieces = pieces.select("file", "block", "order", "length", "content", F.octet_length("header").alias("header_bytes"))
     within = Window.partitionBy("file", "block").orderBy("order")
     sums = pieces.groupBy("file", "block").agg(F.sum(F.col("length") + width).alias("total"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,15 +101,9 @@ def candidates(spark, path: str) -> DataFrame:
     until = F.sum(F.col("length") + width).over(within) - F.col("length") - width
     placed = pieces.withColumn("until", until).join(begins, ["file", "block"])
     offset = F.col("begin") + F.col("until") - width
-    header = F.substring_index("piece", BLANK, 1)
-    head_bytes = F.octet_length(header) + len(BLANK)
-    complete = F.octet_length(header) < F.col("length")
-    stated = F.regexp_extract(header, r"(?:^|\r\n)(?i:Content-Length): *([0-9]{1,18})(?:\r\n|$)", 1)
-    content = F.when(complete & (stated != ""), stated.cast("long"))
     return placed.select(
-        "file", "block", offset.alias("offset"), header.alias("header"), content.alias("content"), "piece",
-        head_bytes.alias("head_bytes"), "length",
-        (offset + width + head_bytes + content + len(END)).alias("successor"),
+        "file", "block", "order", offset.alias("offset"),
+        (offset + width + F.col("header_bytes") + len(BLANK) + F.col("content") + len(END)).alias("successor"),
     ).where("offset >= 0")
 
 
@@ -136,29 +144,41 @@ def reachable(found: DataFrame) -> DataFrame:
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """(file, offset, header, payload as binary) of every record of the archives.
+    """(file, offset, header, payload as binary, bytes, digest) of every record of the archives.
 
     A version line inside a payload is a candidate that no chain reaches; its
     bytes are put back into the record around it.  Null successors (no header
-    or no length) end a chain.  A folder without records gives no rows.
+    or no length) end a chain.  A folder without records gives no rows.  Who
+    asks for lengths and digests only moves the payloads of divided records
+    alone, and those of the others stay where they are.
     """
-    found = store(candidates(spark, path), "warc-candidates")
+    pieces = version_pieces(spark, path)
+    found = store(candidates(pieces), "warc-candidates")
     # The pieces of one file in order: a file is bounded by its writer.
     chain = reachable(found).select("file", "offset", F.lit(True).alias("real"))
-    order = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    light = found.select("file", "offset").join(chain, ["file", "offset"], "left").withColumn(
-        "owner", F.max(F.when(F.col("real"), F.col("offset"))).over(order))
-    inner = light.where("real is null and owner is not null").select("file", "offset", "owner")
-    rest = inner.join(found.select("file", "offset", "piece"), ["file", "offset"]).groupBy("file", "owner").agg(
-        F.sort_array(F.collect_list(F.struct("offset", "piece"))).alias("more"))
-    whole = found.join(chain, ["file", "offset"], "left_semi").join(
-        rest.withColumnRenamed("owner", "offset"), ["file", "offset"], "left")
-    tail = F.aggregate("more", F.lit(b"").cast("binary"), lambda a, m: F.concat(
-        a, F.lit(VERSION).cast("binary"), m["piece"].cast("binary")))
-    full = F.concat(F.col("piece").cast("binary"), F.coalesce(tail, F.lit(b"").cast("binary")))
-    return whole.select(
-        "file", "offset", "header",
-        F.substring(full, (F.col("head_bytes") + 1).cast("int"), F.col("content").cast("int")).alias("payload"))
+    order = Window.partitionBy("file").orderBy("offset")
+    light = found.select("file", "block", "order", "offset").join(chain, ["file", "offset"], "left").select(
+        "*", F.max(F.when(F.col("real"), F.col("offset"))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("owner"),
+        F.lead("offset").over(order).alias("next"), F.lead("real").over(order).alias("next_real"))
+    divided = F.col("real").isNull() | (F.col("next").isNotNull() & F.col("next_real").isNull())
+    light = store(light.where("owner is not null").select("file", "block", "order", "offset", "owner", divided.alias("divided")), "warc-owners")
+
+    place = ["file", "block", "order"]
+    held = F.substring("body", F.lit(1), F.least(F.col("content"), F.octet_length("body")).cast("int"))
+    whole = pieces.select(*place, "header", held.alias("payload"), "bytes", "digest").join(light.where("not divided"), place).select(
+        "file", "offset", "header", "payload", "bytes", "digest")
+    parts = pieces.select(*place, "header", "content", F.col("body").cast("string").alias("body")).join(light.where("divided"), place)
+    parts = parts.groupBy("file", F.col("owner").alias("offset")).agg(
+        F.sort_array(F.collect_list(F.struct("offset", "header", "content", "body"))).alias("parts"))
+    # Strings are bytes here: joined, never decoded.
+    text = F.array_join(F.transform("parts", lambda p, i: F.concat(
+        F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit(VERSION), p["header"])),
+        F.coalesce(F.concat(F.when(i == 0, F.lit("")).otherwise(F.lit(BLANK)), p["body"]), F.lit("")))), "")
+    content = F.col("parts")[0]["content"]
+    joined = parts.select("file", "offset", F.col("parts")[0]["header"].alias("header"), content.alias("content"), text.cast("binary").alias("text"))
+    payload = F.substring("text", F.lit(1), F.least(F.col("content"), F.octet_length("text")).cast("int"))
+    joined = joined.select("file", "offset", "header", payload.alias("payload"))
+    return whole.unionByName(joined.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", sha1_base32(F.col("payload"))))
 
 
 def field(name: str) -> Column:
@@ -176,10 +196,10 @@ def digest_rows(records: DataFrame) -> DataFrame:
     number = lambda name: F.regexp_extract(field(name), r"<urn:page:(-?[0-9]+)>", 1)
     long = lambda c: F.when(c != "", c.cast("long"))
     rows = store(records.select(
-        long(number("WARC-Record-ID")).alias("page_id"), F.octet_length("payload").cast("long").alias("own_bytes"),
-        sha1_base32(F.col("payload")).alias("own_digest"), field("WARC-Type").alias("record_type"),
+        long(number("WARC-Record-ID")).alias("page_id"), F.col("bytes").alias("own_bytes"),
+        F.col("digest").alias("own_digest"), field("WARC-Type").alias("record_type"),
         long(number("WARC-Refers-To")).alias("refers_to"), field("WARC-Target-URI").alias("url"),
-        (F.concat(F.lit("sha1:"), sha1_base32(F.col("payload"))) == field("WARC-Payload-Digest")).alias("intact"),
+        (F.concat(F.lit("sha1:"), F.col("digest")) == field("WARC-Payload-Digest")).alias("intact"),
     ), "warc-records")
     origins = rows.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(
         F.max("own_bytes").alias("full_bytes"), F.max("own_digest").alias("full_digest"))
