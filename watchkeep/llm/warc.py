@@ -162,12 +162,14 @@ def read_archives(spark, path: str) -> DataFrame:
         F.lead("offset").over(order).alias("next"), F.lead("real").over(order).alias("next_real"))
     divided = F.col("real").isNull() | (F.col("next").isNotNull() & F.col("next_real").isNull())
     light = store(light.where("owner is not null").select("file", "block", "order", "offset", "owner", divided.alias("divided")), "warc-owners")
+    # A table of its own: its size is then known, and where it is small the bodies need no shuffle.
+    pieces_of_divided = store(light.where("divided"), "warc-divided")
 
     place = ["file", "block", "order"]
     held = F.substring("body", F.lit(1), F.least(F.col("content"), F.octet_length("body")).cast("int"))
     whole = pieces.select(*place, "header", held.alias("payload"), "bytes", "digest").join(light.where("not divided"), place).select(
         "file", "offset", "header", "payload", "bytes", "digest")
-    parts = pieces.select(*place, "header", "content", F.col("body").cast("string").alias("body")).join(light.where("divided"), place)
+    parts = pieces.select(*place, "header", "content", F.col("body").cast("string").alias("body")).join(pieces_of_divided, place)
     parts = parts.groupBy("file", F.col("owner").alias("offset")).agg(
         F.sort_array(F.collect_list(F.struct("offset", "header", "content", "body"))).alias("parts"))
     # Strings are bytes here: joined, never decoded.
