@@ -46,8 +46,12 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0) -> None:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"),
         F.octet_length(payload).alias("bytes"), sha1_base32(payload.cast("binary")).alias("digest"),
     )
-    # Digests combine before the shuffle, and adaptive execution splits a hot one in the join.
-    newest = rows.where(F.col("bytes") >= smallest).groupBy("digest", "bytes").agg(F.max("page_id").alias("original"))
+    # Digests combine before the shuffle.  Those of several pages are a table of
+    # their own: its size is then known, and where it is small no payload is
+    # shuffled; else adaptive execution splits a hot digest in the join.
+    newest = rows.where(F.col("bytes") >= smallest).groupBy("digest", "bytes").agg(
+        F.max("page_id").alias("original"), F.min("page_id").alias("least"))
+    newest = store(newest.where("least < original").drop("least"), "warc-copies")
     joined = rows.join(newest, ["digest", "bytes"], "left")
     revisit = F.col("page_id") < F.col("original")
     identity = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
