@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tests.loops import threshold_loop
-from watchkeep.operators.thresholds import Threshold, ThresholdRun, threshold_firings
+from watchkeep.operators.thresholds import Threshold, ThresholdRun, dense, threshold_firings
 
 
 def firing_ids(rule, pairs, cuts):
@@ -90,3 +90,19 @@ def test_hot_keys_spread_over_chunks(spark, partitions, batch):
         mine = [(key, us, i, port) for i, r, key, us, port in rows if r == name]
         want += [(name, i) for i in threshold_loop(mine, rule.count, rule.micros, rule.distinct)]
     assert got == sorted(want)
+
+
+def test_only_dense_buckets_are_kept(spark):
+    rules = {"n": Threshold(3, 10), "d": Threshold(3, 10, distinct=True)}
+    times = [(1, "busy", 8), (2, "busy", 11), (3, "busy", 12), (4, "busy", 45), (5, "calm", 1), (6, "calm", 12), (7, None, 1)]
+    rows = [(i, rule, key, t, 1) for rule in rules for i, key, t in times] + [(8, "n", "busy", None, 1)]
+    df = spark.createDataFrame(rows, "id long, rule string, key string, s long, port int").withColumn("at", F.timestamp_seconds("s"))
+    assert sorted(r.id for r in dense(df, rules, "rule", "key", "at", "port").collect()) == [1, 2, 3]
+    assert [r.id for r in threshold_firings(df, rules, "rule", "key", "at", "id", "port").collect()] == [3]
+
+
+def test_colons_in_rules_and_keys_keep_apart(spark):
+    rules = {"a": Threshold(2, 10), "a:b": Threshold(3, 10)}
+    rows = [(1, "a", "b:x", 1), (2, "a", "b:x", 2), (3, "a:b", "x", 1), (4, "a:b", "x", 2)]
+    df = spark.createDataFrame(rows, "id long, rule string, key string, s long").withColumn("at", F.timestamp_seconds("s"))
+    assert [r.id for r in threshold_firings(df, rules, "rule", "key", "at", "id").collect()] == [2]

@@ -112,14 +112,15 @@ class ThresholdRun:
 
 
 class ThresholdFold(Fold):
-    """Keys read ``rule:...``; rules are looked up by that prefix."""
+    """Keys read ``length:rule:...``; rules are looked up by name, which may hold colons."""
 
     def __init__(self, rules: dict[str, Threshold], columns: list[str]):
         self.rules = rules
         self.columns = columns
 
     def _rule(self, key: str) -> Threshold:
-        return self.rules[max((n for n in self.rules if key.startswith(f"{n}:")), key=len)]
+        length, _, rest = key.partition(":")
+        return self.rules[rest[: int(length)]]
 
     def fresh(self, batch, row):
         return ThresholdRun(self._rule(batch.column(batch.schema.get_field_index(KEY))[row].as_py()))
@@ -163,6 +164,32 @@ class ThresholdFold(Fold):
         return rows < self._rule(key).count
 
 
+def dense(rows: DataFrame, rules: dict[str, Threshold], rule: str, key: str, time: str, value: str | None = None) -> DataFrame:
+    """The rows that can take part in a firing: those in buckets that reach the threshold together with a neighbour.
+
+    Buckets are as long as the window, so a window lies in two neighbours.  If
+    these hold fewer rows, or distinct values, than the threshold, none of their
+    windows fires, and rows in no such pair change nothing.  Counts combine
+    before the shuffle; rows are found by (rule, key, bucket), so a hot key is
+    spread over its buckets.  Rows without a key or a time are in no bucket.
+    """
+    of = lambda pick: F.coalesce(*[F.when(F.col("r") == n, F.lit(pick(t))) for n, t in rules.items()])
+    width = F.coalesce(*[F.when(F.col(rule) == n, F.lit(t.micros)) for n, t in rules.items()])
+    bucket = F.floor(F.unix_micros(F.col(time)) / width)
+    named = rows.select(
+        F.col(rule).alias("r"), F.col(key).alias("k"), bucket.alias("b"),
+        (F.col(value).cast("string") if value else F.lit(None).cast("string")).alias("v"))
+    sightings = named.groupBy("r", "k", "b", F.when(of(lambda t: t.distinct), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    counted = sightings.groupBy("r", "k", "b").agg(F.sum(F.when(of(lambda t: t.distinct), 1).otherwise(F.col("n"))).alias("n"))
+    # A pair is named by its later bucket.
+    pairs = counted.select("r", "k", "n", F.explode(F.array("b", F.col("b") + 1)).alias("p"))
+    full = pairs.groupBy("r", "k", "p").agg(F.sum("n").alias("n")).where(F.col("n") >= of(lambda t: t.count))
+    wanted = full.select("r", "k", F.explode(F.array(F.col("p") - 1, F.col("p"))).alias("b")).distinct()
+    found = rows.withColumn("fold_bucket", bucket)
+    same = (found[rule] == wanted["r"]) & (found[key] == wanted["k"]) & (found["fold_bucket"] == wanted["b"])
+    return found.join(wanted, same, "left_semi").drop("fold_bucket")
+
+
 def threshold_firings(
     rows: DataFrame,
     rules: dict[str, Threshold],
@@ -177,11 +204,13 @@ def threshold_firings(
 
     ``rows`` holds the qualifying rows of all ``rules``: column ``rule`` names
     the rule, ``key`` the group, ``value`` the counted value of distinct rules.
-    All rules share one shuffle.
+    Only rows in dense buckets are sorted; all rules share one shuffle.  Rows
+    without a key or a time never fire.  ``rows`` is read twice.
     """
     distinct = F.col(value).cast("string") if value else F.lit(None).cast("string")
     prepared = (
-        rows.withColumn(KEY, F.concat(F.col(rule), F.lit(":"), F.col(key)))
+        dense(rows, rules, rule, key, time, value)
+        .withColumn(KEY, F.concat(F.length(rule), F.lit(":"), F.col(rule), F.lit(":"), F.col(key)))
         .withColumn(TIME, F.unix_micros(F.col(time)))
         .withColumn(ORDER_ID, F.col(order_id))
         .withColumn(VALUE, distinct)
