@@ -4,28 +4,76 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from watchkeep.llm.common import arrow, store, text_or_empty
+from watchkeep.llm.common import U64, Words, arrow, store, text_chunks, text_or_empty
 
-REMEMBERED = 800_000
-BATCH = 500
+# Chunks that a worker remembers, about 90 MB.
+REMEMBERED = 2_000_000
 # Pieces that one partition packs.
 PART_ROWS = 100_000
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+class Known:
+    """Token ids of chunks by their 64-bit hashes: an open-addressed table of arrays.
+
+    When it holds ``most`` chunks, further ones are not remembered.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.count, self.used = most, 0, 0
+        self.bits = (2 * most - 1).bit_length()
+        self.places = np.full(1 << self.bits, -1, np.int32)
+        self.hashes = np.empty(most, U64)
+        self.begins, self.sizes = np.empty(most, np.int64), np.empty(most, np.int64)
+        self.pool = np.empty(1 << 16, np.uint32)
+
+    def _at(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of every hash, -1 if there is none."""
+        at = self._at(hashes)
+        found = self.places[at]
+        open_rows = np.flatnonzero((found >= 0) & (self.hashes[found] != hashes))
+        while len(open_rows):
+            at[open_rows] = (at[open_rows] + 1) & (len(self.places) - 1)
+            entry = self.places[at[open_rows]]
+            found[open_rows] = entry
+            open_rows = open_rows[(entry >= 0) & (self.hashes[entry] != hashes[open_rows])]
+        return found
+
+    def add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Remember distinct new ``hashes``; ``ids`` holds ``sizes`` ids of each in a row."""
+        room = min(len(hashes), self.most - self.count)
+        hashes, sizes = hashes[:room], sizes[:room]
+        ids = ids[: int(sizes.sum())]
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        self.pool[self.used: self.used + len(ids)] = ids
+        entries = np.arange(self.count, self.count + room)
+        self.hashes[entries], self.sizes[entries] = hashes, sizes
+        self.begins[entries] = self.used + np.cumsum(sizes) - sizes
+        self.count, self.used = self.count + room, self.used + len(ids)
+        at = self._at(hashes)
+        while len(entries):
+            free = self.places[at] < 0
+            self.places[at[free]] = entries[free]
+            left = self.places[at] != entries  # of those that met in one place, one stays
+            entries, at = entries[left], (at[left] + 1) & (len(self.places) - 1)
 
 
 class Encoder:
     """Ids of texts by a tokenizer whose pre-tokens never hold white space.
 
-    A text is cut at spaces and line ends; every chunk's ids are remembered, so
-    a text's ids are those of its chunks in a row.  Chunks of letters are
+    A text is cut at white space; every chunk's ids are remembered by its hash,
+    so a text's ids are those of its chunks in a row.  Chunks of letters are
     encoded together, and told apart by the mark at the end of every word.
+    Texts that may hold special tokens are encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -35,9 +83,9 @@ class Encoder:
         ends = [n for t, n in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[ends] = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Known(REMEMBERED)
 
-    def encode(self, chunks: list[str]) -> dict[str, bytes]:
+    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
         words, rest = [], []
         for chunk in chunks:
             (words if chunk.isalpha() and chunk.lower().isalpha() else rest).append(chunk)
@@ -58,35 +106,39 @@ class Encoder:
             done[chunk] = np.array(answer.ids, "<u4").tobytes()
         return done
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        parts = []
-        for text in texts:
-            # Lower-casing A-Z changes nothing the tokenizer sees, but for special tokens.
-            plain = text if "<|" in text else text.translate(LOWER) if not text.isascii() else text.lower()
-            parts.append(plain.replace("\n", " ").split(" "))
-        known = self.known
-        new = {c for c in chain.from_iterable(parts) if c not in known}
-        split, ask = {}, set()
-        for chunk in new:
-            core = chunk[:-1]
-            if chunk[-1] in ",." and core.isalpha():
-                split[chunk] = core
-                ask.add(core)
-                ask.add(chunk[-1])
-            else:
-                ask.add(chunk)
-        fresh = self.encode([c for c in ask if c not in known])
-        for chunk, core in split.items():
-            end = chunk[-1]
-            fresh[chunk] = (known.get(core) or fresh[core]) + (known.get(end) or fresh[end])
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
-            table = known
-        else:
-            table = fresh
-            table.update((c, known[c]) for c in chain.from_iterable(parts) if c in known)
-        return [b"".join([table[c] for c in part]) for part in parts]
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk; a comma or full stop after letters is a token of its own."""
+        cut = [c[-1] in ",." and c[:-1].isalpha() for c in chunks]
+        cores = [c[:-1] if short else c for c, short in zip(chunks, cut, strict=True)]
+        done = self._encode(list(dict.fromkeys([*cores, ",", "."])))
+        return [done[core] + done[c[-1]] if short else done[core] for c, core, short in zip(chunks, cores, cut, strict=True)]
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of consecutive UTF-8 texts as little-endian unsigned 32-bit numbers."""
+        words, known = Words(data, offsets), self.known
+        entry = known.find(words.hashes)
+        missing = np.flatnonzero(entry < 0)
+        fresh, first, which = np.unique(words.hashes[missing], return_index=True, return_inverse=True)
+        begins, ends, content = words.starts[missing[first]].tolist(), words.ends[missing[first]].tolist(), data.tobytes()
+        answers = self._ids_of([content[x:y].decode() for x, y in zip(begins, ends, strict=True)])
+        fresh_sizes = np.array([len(x) // 4 for x in answers], np.int64)
+        fresh_ids = np.frombuffer(b"".join(answers), "<u4")
+
+        begin, size = known.begins[entry], known.sizes[entry]
+        begin[missing] = (np.cumsum(fresh_sizes) - fresh_sizes)[which] + known.used
+        size[missing] = fresh_sizes[which]
+        pool = np.concatenate([known.pool[: known.used], fresh_ids])
+        known.add(fresh, fresh_sizes, fresh_ids)
+
+        places = np.concatenate([[0], np.cumsum(size)])
+        ids = pool[np.repeat(begin - places[:-1], size) + np.arange(places[-1])].astype("<u4")
+        bounds = places[words.first].tolist()
+        out = [ids[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        for row in np.unique(np.searchsorted(offsets, marks, "right") - 1).tolist():
+            whole = content[offsets[row]: offsets[row + 1]].decode()
+            out[row] = np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -97,10 +149,10 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and a closing id 0."""
     def run(batch):
-        numbers, texts, work = batch.column("doc_id").to_pylist(), batch.column("text"), encoder(path)
-        for begin in range(0, len(numbers), BATCH):
+        numbers, work = batch.column("doc_id").to_pylist(), encoder(path)
+        for begin, end, data, offsets in text_chunks(batch):
             out = []
-            for number, content in zip(numbers[begin: begin + BATCH], work.ids(texts.slice(begin, BATCH).to_pylist()), strict=True):
+            for number, content in zip(numbers[begin:end], work.ids(data, offsets), strict=True):
                 content += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(content), 4 * capacity)):
                     part = content[at: at + 4 * capacity]
