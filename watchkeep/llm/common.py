@@ -136,12 +136,24 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_B
         row = end
 
 
-def arrow(fn: Callable, df: DataFrame, schema: str) -> DataFrame:
-    """Apply ``fn(batch)``, which yields dictionaries of columns, to every batch."""
+def merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches put together until they have ``least`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= least:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def arrow(fn: Callable, df: DataFrame, schema: str, least: int = 0) -> DataFrame:
+    """Apply ``fn(batch)``, which yields dictionaries of columns, to every batch, of ``least`` bytes if there are as many."""
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
     def run(batches):
-        for batch in batches:
+        for batch in merged(batches, least):
             for columns in fn(batch):
                 yield pa.RecordBatch.from_arrays([_array(columns[n]) for n in names], names=names)
 

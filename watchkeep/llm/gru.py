@@ -126,30 +126,47 @@ class Trainer:
     def train(self, tokens: np.ndarray, fresh: np.ndarray) -> None:
         """``fresh`` marks the first token of each sequence, where the state is emptied."""
         lanes = max(1, min(LANES, len(tokens) // WINDOW))
-        long = len(tokens) // lanes
-        grid, new = tokens[: lanes * long].reshape(lanes, long), fresh[: lanes * long].reshape(lanes, long)
+        long = -(-len(tokens) // lanes)
+        spare = lanes * long - len(tokens)  # places after the last token, which count nothing
+        deal = lambda a, fill: np.append(a, np.full(spare, fill, a.dtype)).reshape(lanes, long)
+        grid, new = deal(tokens, 0), deal(fresh, True)
+        live = deal(np.ones(len(tokens), bool), False) if spare else None
         h = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, long, WINDOW):
-            h = self._window(grid[:, t: t + WINDOW], new[:, t: t + WINDOW], h)
+            part = slice(t, t + WINDOW)
+            h = self._window(grid[:, part], new[:, part], h, live[:, part] if spare else None)
         self.seen += len(tokens)
 
-    def _window(self, token: np.ndarray, new: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def _window(self, token: np.ndarray, new: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
+        """One update; arrays are by step, then lane.  Tokens that are not ``live`` have no part in it."""
         p, shape = self.p, self.shape
         lanes, steps = token.shape
-        x = p["E"][token] @ p["X"] + p["bx"]
-        kept = (~new).astype(np.float32)
-        trail = []
+        flat = token.T.reshape(-1)
+        by_step = lambda width: np.empty((steps, lanes, width), p["R"].dtype)
+        x = (p["E"][flat] @ p["X"] + p["bx"]).reshape(steps, lanes, 3 * HIDDEN)
+        kept = (~new.T).astype(np.float32)[:, :, None]
+        states, gates, q, n = by_step(HIDDEN), by_step(2 * HIDDEN), by_step(HIDDEN), by_step(HIDDEN)
         for t in range(steps):
-            h = h * kept[:, t, None]
-            after, z, r, q, n = _step(p["R"], x[:, t], h)
-            trail.append((h, z, r, q, n))
-            h = after
-        s = np.stack([row[0] for row in trail], axis=1).reshape(-1, HIDDEN)
-        flat = token.reshape(-1)
-        scale = np.float32(1 / len(flat))
-        g = {k: np.zeros_like(p[k]) for k in ("W", "bw", "E", "X", "R")}
-        logits = s @ p["C"] + p["bc"]
-        d = np.exp(logits)
+            np.multiply(h, kept[t], out=states[t])
+            h, gate, inner = states[t], gates[t], n[t]
+            a = h @ p["R"]
+            q[t] = a[:, 2 * HIDDEN:]
+            np.add(x[t, :, : 2 * HIDDEN], a[:, : 2 * HIDDEN], out=gate)
+            gate *= 0.5
+            np.tanh(gate, out=gate)
+            gate *= 0.5
+            gate += 0.5
+            np.multiply(gate[:, HIDDEN:], q[t], out=inner)
+            inner += x[t, :, 2 * HIDDEN:]
+            np.tanh(inner, out=inner)
+            h = inner + gate[:, :HIDDEN] * (h - inner)
+        s = states.reshape(-1, HIDDEN)
+        scale = np.full((len(flat), 1), 1 / len(flat), np.float32)
+        if live is not None:
+            scale[:, 0] = live.T.reshape(-1) / np.float32(live.sum())
+        g = {k: np.zeros_like(p[k]) for k in ("W", "bw", "E")}
+        d = s @ p["C"] + p["bc"]
+        np.exp(d, out=d)
         d /= d.sum(axis=1, keepdims=True)
         d[np.arange(len(flat)), shape.target_class(flat)] -= 1
         d *= scale
@@ -162,19 +179,25 @@ class Trainer:
             e = np.exp(own @ p["W"][block].T + p["bw"][block])
             e /= e.sum(axis=1, keepdims=True)
             e[np.arange(len(rows)), flat[rows] - low] -= 1
-            e *= scale
+            e *= scale[rows]
             g["W"][block], g["bw"][block] = e.T @ own, e.sum(axis=0)
             ds[rows] += e @ p["W"][block]
-        ds = ds.reshape(lanes, steps, HIDDEN)
-        dx = np.zeros((lanes, steps, 3 * HIDDEN), np.float32)
-        dh = np.zeros((lanes, HIDDEN), np.float32)
+        ds = ds.reshape(steps, lanes, HIDDEN)
+        # What a step passes back is linear in its own gradient; the factors are made for all steps at once.
+        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+        new_state = (1 - z) * (1 - n * n)
+        factor = np.stack([(states - n) * z * (1 - z), new_state * q * r * (1 - r), new_state * r], axis=2)
+        back, dx = np.ascontiguousarray(p["R"].T), by_step(3 * HIDDEN)
+        dh, at = by_step(HIDDEN), np.zeros((lanes, HIDDEN), p["R"].dtype)
         for t in reversed(range(steps)):
-            before, z, r, q, n = trail[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            inner = np.concatenate([dh * (before - n) * z * (1 - z), dn * q * r * (1 - r), dn * r], axis=1)
-            dx[:, t, : 2 * HIDDEN], dx[:, t, 2 * HIDDEN:] = inner[:, : 2 * HIDDEN], dn
-            g["R"] += before.T @ inner
-            dh = (dh * z + inner @ p["R"].T + ds[:, t]) * kept[:, t, None]
+            dh[t] = at
+            np.multiply(at[:, None, :], factor[t], out=dx[t].reshape(lanes, 3, HIDDEN))
+            at = dx[t] @ back
+            at += dh[t] * z[t]
+            at += ds[t]
+            at *= kept[t]
+        g["R"] = s.T @ dx.reshape(-1, 3 * HIDDEN)
+        np.multiply(dh, new_state, out=dx[:, :, 2 * HIDDEN:])
         dx = dx.reshape(-1, 3 * HIDDEN)
         g["X"], g["bx"] = p["E"][flat].T @ dx, dx.sum(axis=0)
         de = dx @ p["X"].T

@@ -20,10 +20,12 @@ ENDINGS = np.zeros(256, np.int64)
 ENDINGS[ord(".")], ENDINGS[ord(",")] = 1, 2
 ENDINGS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,"]] = 3
 TAILS = 4 * (len(LENGTHS) + 1)
-# Training: rounds, and of every SHARE training documents the one a round takes.
-ROUNDS, SHARE, RATE = 4, 24, 0.01
+# Training: rounds, and the shares of the training documents that they take in turn.
+ROUNDS, SHARE, RATE = 4, 4, 0.01
 SLICE = 2_048
 STREAM_TOKENS = 200_000
+# Text scored together: the more documents, the fewer steps are taken for the longest alone.
+SCORE_BYTES = 8_000_000
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,12 +136,20 @@ def _averaged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part", "share").applyInPandas(mean, kind).groupBy("part").applyInPandas(mean, kind)
 
 
+def dealt(docs: DataFrame, share: int) -> DataFrame:
+    """(text, turn): ``docs`` dealt over ``share`` turns by a hash of a row number, stored so that no row changes its turn."""
+    turn = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(100)), F.lit(share)).cast("int")
+    return store(docs.select(text_or_empty(), turn.alias("turn")), "training")
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int, share: int, rate: float) -> dict[str, np.ndarray]:
     """Model averaging: in each round every partition trains from the shared parameters.
 
-    A round takes one of every ``share`` documents, by a hash of id and round,
-    so what is learned from grows with the input; the documents are whole.
+    ``docs`` are ``dealt`` over ``share`` turns; with as many rounds every
+    document is learned from once, whole.
     """
+    if share > rounds:
+        raise ValueError("some training documents would have no turn: more shares than rounds")
     spark = docs.sparkSession
     light = vocabulary.light()
     parameters = gru.start(light.shape, light.head_counts, light.tail_tokens)
@@ -176,8 +186,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int, share: int, rate
                     pa.array(np.full(len(slices), float(trainer.seen))), pa.array(slices, pa.list_(pa.float32()))],
                     names=["part", "share", "weight", "slice"])
 
-        chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(100 + turn)), F.lit(share)) == 0)
-        rows = chosen.select(text_or_empty()).mapInArrow(run, "part int, share int, weight double, slice array<float>")
+        rows = docs.where(F.col("turn") == turn % share).select("text").mapInArrow(run, "part int, share int, weight double, slice array<float>")
         found = sorted(_averaged(rows).select("part", "slice").collect())  # as many rows as the model has slices
         if found:
             parameters = gru.restore(np.concatenate([np.array(r["slice"], np.float32) for r in found]), parameters)
@@ -197,7 +206,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, parameters
     def run(batch):
         p, v = shared.value
         ids, rows = batch.column("doc_id"), batch.column("row")
-        for begin, end, data, offsets in text_chunks(batch):
+        for begin, end, data, offsets in text_chunks(batch, most=SCORE_BYTES):
             h, s, first = _tokens(data, offsets)
             token, n = v.look_up(h, s)
             count = end - begin
@@ -225,7 +234,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, parameters
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
     first = store(arrow(run, numbered, "row long, doc_id long, n_tokens long, known long, base double, model double, "
-                                       "words array<long>, tails array<tinyint>, times array<int>"), "scored")
+                                       "words array<long>, tails array<tinyint>, times array<int>", SCORE_BYTES), "scored")
     apart = first.select("row", F.explode(F.arrays_zip("words", "tails", "times")).alias("x")).select(
         "row", F.col("x.words").alias("word"), F.col("x.tails").cast("int").alias("t"), F.col("x.times").alias("times"))
     held = vocabulary.kept.select("word")
@@ -261,7 +270,7 @@ def log_scores(docs: DataFrame, unseen: Column | None = None, known: int = KNOWN
     unknown; an empty table gives no rows; other columns are not read.
     """
     unseen = held_out(F.col("doc_id"), 7, 2) if unseen is None else unseen
-    training = docs.select("doc_id", "text").where(~unseen)
+    training = dealt(docs.where(~unseen), share)
     counts = store(word_counts(training), "word-counts")
     vocabulary = Vocabulary(counts, known, heads)
     parameters = train(training, vocabulary, rounds, share, rate)
