@@ -28,11 +28,12 @@ def newest_indicators(indicators: DataFrame, kind: str) -> DataFrame:
     """The newest indicator of each value, by time and then id.
 
     Times and ids combine before the shuffle in a hash aggregate; the chosen
-    rows are joined afterwards.
+    rows are joined afterwards.  Indicators without a time are the oldest.
     """
     own = indicators.where(F.col("ioc_type") == kind)
-    latest = own.groupBy("value").agg(F.max("created_at").alias("created_at"))
-    rows = own.select("value", "created_at", "ioc_id", "confidence", "tags").join(latest, ["value", "created_at"], "left_semi")
+    latest = own.groupBy(F.col("value").alias("same_value")).agg(F.max("created_at").alias("latest"))
+    chosen = (F.col("value") == F.col("same_value")) & F.col("created_at").eqNullSafe(F.col("latest"))
+    rows = own.select("value", "created_at", "ioc_id", "confidence", "tags").join(latest, chosen, "left_semi")
     # Rows of one value and the same time are few.
     return rows.groupBy("value").agg(F.max_by(F.struct("ioc_id", "confidence", "tags"), "ioc_id").alias("ioc"))
 
