@@ -243,8 +243,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
     feasible functions bound each partition's sequences from below; partitions
     that reach the bound, and full sequences, are final.  The pieces of the
     sequences with room in partitions with a gap are dealt anew over fewer
-    partitions and packed again, until the whole reaches its own bound or a
-    round in one partition brings nothing.
+    partitions, of about 100,000 pieces at most, and packed again, until the
+    whole reaches its own bound or a round saves no sequence at that size; such
+    a round is dropped.
 
     Null and empty texts are the closing id alone; only documents longer than
     ``capacity`` are cut; repeated rows are packed each; an empty table gives no
@@ -257,24 +258,33 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
         counts[length] = n
     bound, parts, step = lower_bound(counts, capacity), max(1, -(-int(counts.sum()) // PART_ROWS)), 0
     final, open_rows = [], found.select("row", "length")
-    placed_sequences = 0
+    placed_sequences, before, bounded = 0, None, parts == 1
     while True:
         packed = _pack(open_rows, parts, capacity, step)
         again = F.col("gap") & (F.col("fill") < capacity)
         sequences = packed.where("offset = 0").agg(
             F.count("*").alias("n"), F.count(F.when(again, 1)).alias("open"),
             F.sum(F.when(again, F.col("fill"))).alias("tokens")).first()
+        if before is not None and sequences["n"] >= before[1]:
+            # Nothing is saved: the places before this round stay.
+            packed, sequences = before[0], {"n": before[1], "open": before[1], "tokens": before[2]}
+            again = F.lit(True)
+            if bounded:
+                final.append(packed)
+                break
         left = -(-(sequences["tokens"] or 0) // capacity)
         certified = placed_sequences + sequences["n"] <= bound
-        # Dealt over fewer partitions, open sequences can only be saved down to their tokens.
-        if certified or parts == 1 or sequences["open"] <= left:
+        # Dealt over fewer partitions, open sequences can only be saved down to their tokens.  Ids have room for 127 steps.
+        if certified or parts == 1 or sequences["open"] <= left or step == 127:
             final.append(packed)
             break
         final.append(packed.where(~again))
         placed_sequences += sequences["n"] - sequences["open"]
-        open_rows = packed.where(again).select("row", "length")
-        pieces_left = open_rows.count()
-        parts, step = max(1, min(parts // 4, -(-pieces_left // PART_ROWS))), step + 1
+        before = packed.where(again), sequences["open"], sequences["tokens"]
+        open_rows = before[0].select("row", "length")
+        least = max(1, -(-open_rows.count() // PART_ROWS))
+        parts, step = max(parts // 4, least), step + 1
+        bounded = parts == least
     chosen = final[0]
     for more in final[1:]:
         chosen = chosen.unionByName(more)
