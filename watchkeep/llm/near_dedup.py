@@ -217,7 +217,9 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
     Texts with equal shingle sets are one: the row with the smallest doc_id
-    stands for them.  Signatures of these get index keys.  In each bucket of a
+    stands for them.  Signatures of these get index keys: pairs that differ in 23
+    positions or fewer are sure to meet, pairs in 24 to MOST_DISTANCE meet by
+    chance and are then accepted like the others.  In each bucket of a
     key all are compared with the smallest id; most groups are settled by that.
     In buckets with several components, ids outside the smallest id's component
     are compared with all others, in blocks; pairs inside a component are not
