@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from watchkeep.llm import decontamination, lm_scoring, near_dedup, packing, quality_model, quality_rules, sharding, token_counts, toxicity, warc
+from watchkeep.llm import decontamination, fill_in_middle, lm_scoring, near_dedup, packing, quality_model, quality_rules, sharding, token_counts, toxicity, warc
 from watchkeep.llm.common import prepare, read
+from watchkeep.llm.fill_in_middle_sql import FILL_IN_MIDDLE
 from watchkeep.llm.quality_rules_sql import QUALITY_RULES
 
 
@@ -58,7 +59,15 @@ def op10_quality(spark, folder: str) -> DataFrame:
     return quality_model.quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op12_fill_in_middle(spark, folder: str) -> DataFrame:
+    cut = fill_in_middle.fill_in_middle(read(prepare(spark), folder, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_toxicity, op3_token_counts, op4_sharding, op5_packing, op6_quality_rules, op7_lm_scoring, op8_near_dedup,
-    op9_decontamination, op10_quality)}
-ORACLE: dict[str, str] = {"op6_quality_rules": QUALITY_RULES}
+    op9_decontamination, op10_quality, op12_fill_in_middle)}
+ORACLE: dict[str, str] = {"op6_quality_rules": QUALITY_RULES, "op12_fill_in_middle": FILL_IN_MIDDLE}
