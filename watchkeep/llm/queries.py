@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from watchkeep.llm import decontamination, fill_in_middle, lm_scoring, near_dedup, packing, quality_model, quality_rules, sharding, token_counts, toxicity, warc
+from watchkeep.llm import decontamination, fill_in_middle, lm_scoring, near_dedup, packing, prefix_trie, quality_model, quality_rules, sharding, token_counts, toxicity, warc
 from watchkeep.llm.common import prepare, read
 from watchkeep.llm.fill_in_middle_sql import FILL_IN_MIDDLE
+from watchkeep.llm.prefix_trie_sql import PREFIX_TRIE
 from watchkeep.llm.quality_rules_sql import QUALITY_RULES
 
 
@@ -67,7 +68,12 @@ def op12_fill_in_middle(spark, folder: str) -> DataFrame:
         digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op13_prefix_trie(spark, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(prepare(spark), folder, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_toxicity, op3_token_counts, op4_sharding, op5_packing, op6_quality_rules, op7_lm_scoring, op8_near_dedup,
-    op9_decontamination, op10_quality, op12_fill_in_middle)}
-ORACLE: dict[str, str] = {"op6_quality_rules": QUALITY_RULES, "op12_fill_in_middle": FILL_IN_MIDDLE}
+    op9_decontamination, op10_quality, op12_fill_in_middle, op13_prefix_trie)}
+ORACLE: dict[str, str] = {
+    "op6_quality_rules": QUALITY_RULES, "op12_fill_in_middle": FILL_IN_MIDDLE, "op13_prefix_trie": PREFIX_TRIE}
