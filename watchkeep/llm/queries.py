@@ -5,9 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from watchkeep.llm import decontamination, fill_in_middle, lm_scoring, near_dedup, packing, prefix_trie, quality_model, quality_rules, sharding, token_counts, toxicity, warc
+from watchkeep.llm import (
+    decontamination, fill_in_middle, lm_scoring, mixing, near_dedup, packing, prefix_trie, quality_model, quality_rules, sharding,
+    token_counts, toxicity, warc)
 from watchkeep.llm.common import prepare, read
 from watchkeep.llm.fill_in_middle_sql import FILL_IN_MIDDLE
+from watchkeep.llm.mixing_sql import MIXING
 from watchkeep.llm.prefix_trie_sql import PREFIX_TRIE
 from watchkeep.llm.quality_rules_sql import QUALITY_RULES
 
@@ -60,6 +63,11 @@ def op10_quality(spark, folder: str) -> DataFrame:
     return quality_model.quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op11_mixing(spark, folder: str) -> DataFrame:
+    _, account = mixing.mixture(read(prepare(spark), folder, "documents"))
+    return account.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op12_fill_in_middle(spark, folder: str) -> DataFrame:
     cut = fill_in_middle.fill_in_middle(read(prepare(spark), folder, "documents"))
     digest = lambda text: F.sha2(text.cast("binary"), 256)
@@ -74,6 +82,6 @@ def op13_prefix_trie(spark, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_toxicity, op3_token_counts, op4_sharding, op5_packing, op6_quality_rules, op7_lm_scoring, op8_near_dedup,
-    op9_decontamination, op10_quality, op12_fill_in_middle, op13_prefix_trie)}
+    op9_decontamination, op10_quality, op11_mixing, op12_fill_in_middle, op13_prefix_trie)}
 ORACLE: dict[str, str] = {
-    "op6_quality_rules": QUALITY_RULES, "op12_fill_in_middle": FILL_IN_MIDDLE, "op13_prefix_trie": PREFIX_TRIE}
+    "op6_quality_rules": QUALITY_RULES, "op11_mixing": MIXING, "op12_fill_in_middle": FILL_IN_MIDDLE, "op13_prefix_trie": PREFIX_TRIE}
