@@ -198,6 +198,7 @@ sql("logs_equality_filter", f"select {LOG_COLUMNS} from logs where severity = 'h
 ORACLE["filter_language"] = """select * from orders where o_orderstatus in ('F', 'O') and o_totalprice >= 1000.5 and o_totalprice <= 400000.0
   and o_custkey > 10 and (o_orderpriority is null or o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM')) and o_orderpriority is distinct from '2-HIGH'"""
 sql("logs_keyword", f"select {LOG_COLUMNS} from logs where {KEYWORD.format(w='powershell')}", "logs")
+ORACLE["logs_keyword_indexed"] = ORACLE["logs_keyword"]
 sql("log_search_page", f"select {LOG_COLUMNS}, total from (select *, (select count(*) from logs where log_source = 'windows_event') as total from logs where log_source = 'windows_event' {NEWEST} limit 100 offset 20) where {KEYWORD.format(w='host-1')}", "logs")
 sql("log_search_all", f"select {LOG_COLUMNS}, total from (select *, count(*) over () as total from logs where log_source = 'windows_event' and {KEYWORD.format(w='host-1')} {NEWEST} limit 100 offset 20)", "logs")
 sql("live_feed_filter", f"select {LOG_COLUMNS} from logs where severity = 'high' and (contains(lower(message), 'web') or contains(source_ip, 'Web') or contains(lower(hostname), 'web'))", "logs")
@@ -222,6 +223,7 @@ sql("log_sources", f"select s.log_source, count(l.log_id) as n from {_values([(s
 
 # Sorting
 sql("sorted_page", f"select {LOG_COLUMNS} from (select * from logs order by risk_score, log_id limit 70 offset 30)", "logs")
+sql("deep_page", f"select {LOG_COLUMNS} from (select *, row_number() over ({NEWEST}) as place, count(*) over () as total from logs) where place > total * 2 // 3 and place <= total * 2 // 3 + 100", "logs")
 sql("live_logs", f"select {LOG_COLUMNS} from (select * from logs {NEWEST} limit 50)", "logs")
 sql("recent_alerts", f"select {ALERT_COLUMNS} from (select * from alerts {NEWEST_ALERT} limit 20)", "alerts")
 sql("live_buffer", f"select 'log' as kind, cast(log_id as varchar) as id, epoch_us(created_at) as created_at from (select * from logs {NEWEST} limit 500) union all select 'alert', alert_id, epoch_us(created_at) from (select * from alerts {NEWEST_ALERT} limit 100)", "alerts")

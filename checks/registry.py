@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from watchkeep import constants as C
 from watchkeep.functions import text as T
-from watchkeep.operators import behaviour, cases, filters, forest, intel, metrics, updates
+from watchkeep.operators import behaviour, cases, filters, forest, intel, metrics, pages, updates
+from watchkeep.operators.keyword_index import KeywordIndex
 from watchkeep.plans import detection, rules
 from watchkeep.schemas import EVENTS_INPUT
 from watchkeep.session import checkpoint_folder, tune
@@ -133,6 +134,18 @@ def logs_keyword(spark, folder):
     return logs(spark, folder).where(filters.keyword("POWERSHELL"))
 
 
+def _place(spark):
+    """A new folder next to the checkpoints, reachable by all executors."""
+    return f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+
+@query
+def logs_keyword_indexed(spark, folder):
+    index = KeywordIndex(spark, _place(spark))
+    index.append(logs(spark, folder))
+    return index.search("POWERSHELL")
+
+
 @query
 def log_search_page(spark, folder):
     return filters.search_logs(logs(spark, folder), word="host-1", skip=20, limit=100, log_source="windows_event")
@@ -230,6 +243,14 @@ def sorted_page(spark, folder):
     return filters.sorted_page(logs(spark, folder), "risk_score", "log_id", descending=False, skip=30, limit=70)
 
 
+@query
+def deep_page(spark, folder):
+    """A page two thirds down the log, found without sorting what comes before."""
+    found = logs(spark, folder)
+    total = found.count()
+    return pages.deep_page(found, ["created_at", "log_id"], skip=total * 2 // 3, limit=100, total=total, few=1000)
+
+
 @query
 def live_logs(spark, folder):
     return filters.newest(logs(spark, folder), 50)
@@ -692,11 +713,6 @@ def _stream(spark, folder, name):
     return D.derive(read_stream(spark, folder, EVENTS_INPUT, "events.parquet"), name)
 
 
-def _place(spark):
-    """A new folder next to the checkpoints, reachable by all executors."""
-    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
-
-
 def _drained(spark, stream):
     place = _place(spark)
     to_files(stream, f"{place}/out", f"{place}/checkpoint").awaitTermination()

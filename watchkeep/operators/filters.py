@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchkeep.functions.text import text
+from watchkeep.operators.pages import FEW, deep_page
 
 KEYWORD_FIELDS = ["message", "raw_log", "hostname", "source_ip"]
 SEARCH_FIELDS = ["severity", "hostname", "source_ip", "event_type", "log_source"]
@@ -80,7 +81,12 @@ def sorted_page(
     df: DataFrame, field: str = "created_at", tiebreak: str = "log_id",
     descending: bool = True, skip: int = 0, limit: int = 100,
 ) -> DataFrame:
-    """One page in order; ties go by ``tiebreak`` in the same direction."""
+    """One page in order; ties go by ``tiebreak`` in the same direction.
+
+    A page beyond the first rows is found by order statistics.
+    """
+    if skip > FEW:
+        return deep_page(df, [field, tiebreak], descending, skip, limit)
     direction = F.desc if descending else F.asc
     ordered = df.orderBy(direction(field), direction(tiebreak))
     return (ordered.offset(skip) if skip else ordered).limit(limit)
@@ -100,8 +106,13 @@ def counted_page(df: DataFrame, tiebreak: str, skip: int, limit: int, word: str
     """
     if word and scope == "all":
         df, word = df.where(keyword(word)), None
-    total = df.agg(F.count("*").alias("total"))
-    page = newest(df, limit, tiebreak, skip)
+    if skip > FEW:
+        rows = df.count()
+        total = df.sparkSession.range(1).select(F.lit(rows).alias("total"))
+        page = deep_page(df, ["created_at", tiebreak], True, skip, limit, rows)
+    else:
+        total = df.agg(F.count("*").alias("total"))
+        page = newest(df, limit, tiebreak, skip)
     if word:
         page = page.where(keyword(word))
     # One row on the left; at most ``limit`` rows on the right.
