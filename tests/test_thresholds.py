@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -6,7 +7,8 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tests.loops import threshold_loop
-from watchkeep.operators.thresholds import Threshold, ThresholdRun, dense, threshold_firings
+from watchkeep.operators.thresholds import (
+    Threshold, ThresholdRun, dense, distinct_counts, nth_new, previous_places, threshold_firings)
 
 
 def firing_ids(rule, pairs, cuts):
@@ -106,3 +108,28 @@ def test_colons_in_rules_and_keys_keep_apart(spark):
     rows = [(1, "a", "b:x", 1), (2, "a", "b:x", 2), (3, "a:b", "x", 1), (4, "a:b", "x", 2)]
     df = spark.createDataFrame(rows, "id long, rule string, key string, s long").withColumn("at", F.timestamp_seconds("s"))
     assert [r.id for r in threshold_firings(df, rules, "rule", "key", "at", "id").collect()] == [2]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=80), st.integers(1, 8), st.integers(1, 12))
+def test_distinct_counts_and_places_equal_loops(codes, count, width):
+    codes = np.array(codes)
+    earlier, last = previous_places(codes)
+    assert last.tolist() == sorted({c: i for i, c in enumerate(codes.tolist())}.values())
+    first = np.maximum(np.arange(len(codes)) - width + 1, 0)
+    assert distinct_counts(earlier, first).tolist() == [len(set(codes[f: i + 1].tolist())) for i, f in enumerate(first)]
+    for start in range(len(codes) + 1):
+        enough = [i for i in range(start, len(codes)) if len(set(codes[start: i + 1].tolist())) >= count]
+        assert nth_new(earlier, start, count) == min(enough, default=len(codes))
+
+
+def test_many_rows_of_one_key_take_few_steps():
+    """Half a million sightings of 30,000 values, most of them inside a full window."""
+    rng = np.random.default_rng(2)
+    times, values = np.cumsum(rng.integers(0, 3, 500_000)) * 100_000, rng.integers(0, 30_000, 500_000)
+    rule = Threshold(20, 60, True)
+    run, started = ThresholdRun(rule), time.perf_counter()
+    fired = run.advance(times, values.tolist())
+    assert time.perf_counter() - started < 10
+    rows = [("k", t, i, v) for i, (t, v) in enumerate(zip(times[:5000].tolist(), values[:5000].tolist()))]
+    assert [f for f in fired if f < 5000] == threshold_loop(rows, 20, rule.micros, True)

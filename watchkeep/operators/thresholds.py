@@ -4,17 +4,16 @@ Per key, the qualifying rows of the last W seconds (strictly younger than W)
 since the previous firing are kept.  When they number N rows, or N distinct
 values, the row fires and the kept rows are forgotten.
 
-Let ``reach`` of a row be the position of the N-th most recently seen distinct
-value, if that sighting lies inside the window.  The row fires exactly when its
-reach lies after the previous firing.  Everything needed from the past is
-therefore the N - 1 most recently seen values and how many of them came after
-the previous firing: that number is the phase, 0 to N - 1.
+A row is *full* if its window holds N, whatever fired before.  The next firing
+is the first full row from the place on at which N have been seen since the last
+one, because the kept rows are the shorter of both stretches.  Everything needed
+from the past is therefore the N - 1 most recently seen values and how many of
+them came after the previous firing: that number is the phase, 0 to N - 1.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections import OrderedDict
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,24 +53,26 @@ class ThresholdRun:
     def moves(self) -> list[int]:
         return self.phases
 
-    def advance(self, times: np.ndarray, values: list | None) -> list[int]:
+    def advance(self, times: np.ndarray, values: pa.Array | list | None) -> list[int]:
         """Consume rows in order; return the firing positions of the first start."""
+        if not len(times):
+            return []
         sightings = self._sightings_counted if values is None else self._sightings_distinct
-        rows, reach, recent = sightings(times, values)
-        following = np.searchsorted(reach, rows, side="right").tolist()
-        reach_list, rows_list = reach.tolist(), rows.tolist()
+        rows, reached, recent = sightings(times, values)
+        rows = rows.tolist()
         fired, ended = [], {}
         for which, phase in enumerate(self.phases):
-            last, at, path = -(phase + 1), bisect_right(reach_list, -(phase + 1)), []
-            while at < len(rows_list) and at not in ended:
+            last, path = -(phase + 1), []
+            at = bisect_left(rows, reached(last))
+            while at < len(rows) and at not in ended:
                 path.append(at)
-                last = rows_list[at]
-                at = following[at]
+                last = rows[at]
+                at = bisect_left(rows, reached(last))
             if at in ended:
                 last = ended[at]
             ended.update((step, last) for step in path)
             if which == 0:
-                fired = [rows_list[step] for step in path]
+                fired = [rows[step] for step in path]
             self.phases[which] = sum(1 for position, _, _ in recent if position > last)
         self.recent = [(value, micros) for _, value, micros in recent]
         return fired
@@ -80,35 +81,65 @@ class ThresholdRun:
         """Every row counts as a new value."""
         count, before = self.rule.count, len(self.recent)
         seen = np.concatenate([np.array([t for _, t in reversed(self.recent)], dtype=np.int64), times])
-        reach = np.arange(len(times), dtype=np.int64) - (count - 1)
-        old = reach + before
+        old = np.arange(len(times), dtype=np.int64) - (count - 1) + before
         inside = np.zeros(len(times), dtype=bool)
         known = old >= 0
         inside[known] = times[known] - seen[old[known]] < self.rule.micros
-        rows = np.flatnonzero(inside)
         newest = range(len(seen) - 1, max(len(seen) - count, -1), -1)
         recent = [(place - before, None, int(seen[place])) for place in newest]
-        return rows, reach[rows], recent
+        return np.flatnonzero(inside), lambda last: last + count, recent
 
     def _sightings_distinct(self, times, values):
-        count, micros = self.rule.count, self.rule.micros
-        latest: OrderedDict = OrderedDict()
-        for place in range(len(self.recent) - 1, -1, -1):
-            value, when = self.recent[place]
-            latest[value] = (-(place + 1), when)
-        rows, reach = [], []
-        for position, (when, value) in enumerate(zip(times.tolist(), values)):
-            latest.pop(value, None)
-            latest[value] = (position, when)
-            if len(latest) > count:
-                latest.popitem(last=False)
-            if len(latest) == count:
-                oldest, seen = next(iter(latest.values()))
-                if when - seen < micros:
-                    rows.append(position)
-                    reach.append(oldest)
-        newest = [(position, value, when) for value, (position, when) in reversed(latest.items())]
-        return np.array(rows, dtype=np.int64), np.array(reach, dtype=np.int64), newest[: count - 1]
+        count, before = self.rule.count, len(self.recent)
+        seen = np.concatenate([np.array([t for _, t in reversed(self.recent)], dtype=np.int64), times])
+        values = values if isinstance(values, pa.Array) else pa.array(values)
+        known = pa.concat_arrays([pa.array([v for v, _ in reversed(self.recent)], values.type), values])
+        encoded = known.dictionary_encode(null_encoding="encode")
+        codes = encoded.indices.to_numpy(zero_copy_only=False)
+        earlier, last_places = previous_places(codes)
+        # Times do not fall, so the window's first place does not either.
+        first = np.searchsorted(seen, seen - self.rule.micros, side="right")
+        rows = np.flatnonzero(distinct_counts(earlier, first)[before:] >= count)
+        newest = last_places[::-1][: count - 1]
+        names = encoded.dictionary.take(pa.array(codes[newest])).to_pylist()
+        recent = [(int(place) - before, name, int(seen[place])) for place, name in zip(newest, names)]
+        return rows, lambda last: nth_new(earlier, last + before + 1, count) - before, recent
+
+
+def previous_places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every place the previous one of its value, or -1; and the last place of every value, ascending."""
+    order = np.argsort(codes, kind="stable")
+    again = codes[order][1:] == codes[order][:-1]
+    earlier = np.full(len(codes), -1, dtype=np.int64)
+    earlier[order[1:][again]] = order[:-1][again]
+    is_last = np.ones(len(codes), dtype=bool)
+    is_last[:-1] = ~again
+    return earlier, np.sort(order[is_last[: len(order)]])
+
+
+def distinct_counts(earlier: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many values occur at places first[i] to i; ``first`` does not fall.
+
+    A place q counts for i from q on, where first[i] lies after q's previous
+    place and not after q: one stretch of i, so its ends are counted and summed.
+    """
+    places = np.arange(len(earlier))
+    begin = np.maximum(places, np.searchsorted(first, earlier, side="right"))
+    end = np.searchsorted(first, places, side="right")
+    some = begin < end
+    size = len(places) + 1
+    return np.cumsum(np.bincount(begin[some], minlength=size) - np.bincount(end[some], minlength=size))[:-1]
+
+
+def nth_new(earlier: np.ndarray, start: int, count: int) -> int:
+    """The place at which ``count`` values have occurred from ``start`` on; past the end if there are fewer."""
+    found, at, width = 0, start, 4 * count
+    while at < len(earlier):
+        new = np.flatnonzero(earlier[at: at + width] < start)
+        if found + len(new) >= count:
+            return at + int(new[count - found - 1])
+        found, at, width = found + len(new), at + width, 2 * width
+    return len(earlier)
 
 
 class ThresholdFold(Fold):
@@ -136,7 +167,7 @@ class ThresholdFold(Fold):
             return batch.column(batch.schema.get_field_index(name)).slice(start, stop - start)
 
         times = column(TIME).to_numpy(zero_copy_only=False)
-        fired = run.advance(times, column(VALUE).to_pylist() if run.rule.distinct else None)
+        fired = run.advance(times, column(VALUE) if run.rule.distinct else None)
         return fired or None
 
     def emit(self, batch, outputs):
