@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from watchkeep import constants as C
 from watchkeep.operators import cases
@@ -75,3 +77,38 @@ def test_update_sets_fields_and_an_illegal_status_rejects_all_of_it(spark):
     assert [(r.note, r.actor) for r in cases.status_changes(decided).collect()] == [("Status changed: open → investigating", "flo")]
     assert [(r.content, r.author) for r in cases.notes(decided).collect()] == [("seen", "gus")]
     assert sorted(r.cmd_id for r in cases.rejected(decided).collect()) == [2, 3]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([cases.BAD, *range(5), *range(cases.OPENS, cases.OPENS + 7)]), max_size=70))
+def test_scan_equals_one_step_at_a_time(targets):
+    targets = np.array(targets, dtype=np.int64)
+    scanned = cases.prefixes(cases.maps_of(targets))
+    run = cases.CaseRun()
+    run.advance(targets)
+    for start in cases.PLACES:
+        state = start
+        for target, mapped in zip(targets.tolist(), scanned):
+            if target >= cases.OPENS:
+                state = target - cases.OPENS
+            elif target >= 0 and cases.LEGAL[state, target]:
+                state = target
+            assert cases.met(mapped, start) == state
+        assert run.moves()[start] == state
+
+
+def test_composing_maps_is_associative():
+    maps = np.array([cases.packed(np.random.default_rng(i).integers(0, 7, 7)) for i in range(30)])
+    a, b, c = maps, np.roll(maps, 1), np.roll(maps, 2)
+    assert (cases.then(cases.then(a, b), c) == cases.then(a, cases.then(b, c))).all()
+
+
+def test_commands_that_move_nothing_are_not_sorted(spark):
+    df = incidents(spark, [(1, "t", "open", "low", "x"), (1, "t", "open", "low", "x")])
+    cmds = commands(spark, [
+        (1, -5, 1, "a", "note", None, None, None, "early"), (2, 1, 9, "a", "note", None, None, None, "nobody"),
+        (3, 2, 1, "a", "update", None, "high", None, None), (4, 3, None, "a", "note", None, None, None, "null")])
+    decided = cases.decide(df, cmds)
+    assert sorted((r.cmd_id, r.found, r.accepted) for r in decided.collect()) == [
+        (1, True, True), (2, False, False), (3, True, True), (4, False, False)]
+    assert sorted(r.reason for r in cases.rejected(decided).collect()) == ["Incident not found"] * 2

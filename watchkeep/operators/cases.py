@@ -24,32 +24,74 @@ for _status, _steps in C.LEGAL_STEPS.items():
         LEGAL[STATES.index(_status), STATES.index(_step)] = True
 
 TIME, ORDER_ID, TARGET = "fold_time", "fold_id", "fold_target"
-OPENS, KEEPS, BAD = 100, -1, -2  # an incident's own row; no status step; an unknown status
+OPENS, BAD = 100, -1  # an incident's own row; an unknown status
+
+
+BITS = 3  # of a status in a packed map
+PLACES = range(MISSING + 1)
+
+
+def packed(states) -> int:
+    """The map that takes status s to ``states[s]``."""
+    return sum(int(state) << BITS * s for s, state in enumerate(states))
+
+
+def constant(state: int) -> int:
+    return packed([state] * len(PLACES))
+
+
+def met(maps, state):
+    """Where maps take a status."""
+    return (maps >> BITS * state) & ((1 << BITS) - 1)
+
+
+def then(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The maps that do ``first`` and then ``second``."""
+    out = np.zeros_like(first)
+    for s in PLACES:
+        out |= met(second, met(first, s)) << BITS * s
+    return out
+
+
+def prefixes(maps: np.ndarray) -> np.ndarray:
+    """For every place the composition of all maps up to it, in log steps."""
+    out, width = maps.copy(), 1
+    while width < len(out):
+        out[width:] = then(out[:-width], out[width:])
+        width *= 2
+    return out
+
+
+# By target; the last entry is for commands that leave every status as it is.
+STEPS = np.array(
+    [packed([t if LEGAL[s, t] else s for s in PLACES]) for t in range(len(STATES))] + [packed(PLACES)], dtype=np.int64)
+OPENINGS = np.array([constant(s) for s in PLACES], dtype=np.int64)
+
+
+def maps_of(targets: np.ndarray) -> np.ndarray:
+    opens = targets >= OPENS
+    return np.where(opens, OPENINGS[np.where(opens, targets - OPENS, 0)], STEPS[np.where((targets >= 0) & ~opens, targets, len(STATES))])
 
 
 class CaseRun:
-    def __init__(self, states):
-        self.states = list(states)
+    """The map from a status at the start to the status now."""
+
+    def __init__(self, start: int | None = None):
+        self.map = np.int64(packed(PLACES) if start is None else constant(start))
 
     def phase(self) -> int:
-        return self.states[0]
+        return int(met(self.map, 0))
 
     def moves(self) -> list[int]:
-        return self.states
-
-    def advance(self, targets: list[int]) -> list[int]:
-        """Consume targets; return the state before each for the first start."""
-        before = []
-        for which, state in enumerate(self.states):
-            for target in targets:
-                if which == 0:
-                    before.append(state)
-                if target >= OPENS:
-                    state = target - OPENS
-                elif target >= 0 and LEGAL[state, target]:
-                    state = target
-            self.states[which] = state
-        return before
+        return [int(met(self.map, s)) for s in PLACES]
+
+    def advance(self, targets: np.ndarray) -> None:
+        if len(targets):
+            self.map = then(np.array([self.map]), prefixes(maps_of(targets))[-1:])[0]
+
+
+def _targets(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(TARGET)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class CaseFold(Fold):
@@ -57,28 +99,36 @@ class CaseFold(Fold):
         self.columns = columns
 
     def fresh(self, batch, row):
-        return CaseRun([MISSING])
+        return CaseRun(MISSING)
 
     def resume(self, key, context, phase):
-        return CaseRun([phase])
+        return CaseRun(phase)
 
     def explore(self, key, context):
-        return CaseRun(range(MISSING + 1))
+        return CaseRun()
 
     def advance(self, run, batch, start, stop):
-        column = batch.column(batch.schema.get_field_index(TARGET))
-        return run.advance(column.slice(start, stop - start).to_pylist())
-
-    def idle(self, key, rows):
-        return rows == 1  # an incident without commands, or a command without incident
+        run.advance(_targets(batch)[start:stop])
+
+    def sweep(self, batch, segments, last, run):
+        maps, heads = maps_of(_targets(batch)), np.array([start for _, start, _ in segments])
+        goes_on = segments[0][0] == last
+        heads = heads[1:] if goes_on else heads
+        # A key begins without an incident, whatever was before.
+        maps[heads] = then(OPENINGS[np.full(len(heads), MISSING)], maps[heads])
+        scanned = prefixes(maps)
+        entry = met(run.map, 0) if goes_on else MISSING
+        before = np.append(entry, met(scanned[:-1], entry))
+        before[heads] = MISSING
+        return segments[-1][0], CaseRun(int(met(scanned[-1], entry))), [(0, batch.num_rows, before)]
 
     def emit(self, batch, outputs):
-        targets = batch.column(batch.schema.get_field_index(TARGET)).to_numpy(zero_copy_only=False)
+        targets = _targets(batch)
         before = np.full(len(targets), MISSING)
         for start, stop, states in outputs:
             before[start:stop] = states
         step = np.clip(targets, 0, len(STATES) - 1)
-        accepted = (before != MISSING) & ((targets == KEEPS) | ((targets >= 0) & LEGAL[before, step]))
+        accepted = (before != MISSING) & (targets >= 0) & LEGAL[before, step]
         names = np.array([*STATES, None, None], dtype=object)
         arrays = [batch.column(batch.schema.get_field_index(c)) for c in self.columns]
         arrays += [pa.array(names[before], pa.string()), pa.array(before != MISSING), pa.array(accepted)]
@@ -87,21 +137,24 @@ class CaseFold(Fold):
 
 
 def decide(incidents: DataFrame, commands: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Each command with the status it met, whether its incident exists, and
-    whether it is accepted."""
+    """Each command with whether its incident exists and whether it is accepted.
+
+    Commands that may move a status also say which one they met; the others are
+    accepted if there is an incident, at any time, and are only looked up.
+    """
     index = lambda column: F.coalesce(*[F.when(column == s, F.lit(i)) for i, s in enumerate(STATES)])
-    moves = (F.col("cmd") == "transition") | ((F.col("cmd") == "update") & F.col("new_status").isNotNull())
+    moves = F.coalesce((F.col("cmd") == "transition") | ((F.col("cmd") == "update") & F.col("new_status").isNotNull()), F.lit(False))
     opening = incidents.select(
         F.col("incident_id").cast("string").alias(KEY),
         F.lit(-(2**63)).cast("bigint").alias(TIME),
         (F.coalesce(index(F.coalesce("status", F.lit("open"))), F.lit(UNKNOWN)) + OPENS).cast("int").alias(TARGET),
     )
-    steps = commands.select(
+    steps = commands.where(moves).select(
         "*",
         F.col("incident_id").cast("string").alias(KEY),
         F.unix_micros("ts").alias(TIME),
         F.col("cmd_id").alias(ORDER_ID),
-        F.when(moves, F.coalesce(index(F.col("new_status")), F.lit(BAD))).otherwise(KEEPS).cast("int").alias(TARGET),
+        F.coalesce(index(F.col("new_status")), F.lit(BAD)).cast("int").alias(TARGET),
     )
     schema = StructType(
         [
@@ -112,7 +165,13 @@ def decide(incidents: DataFrame, commands: DataFrame, partitions: int | None = N
         ]
     )
     rows = steps.unionByName(opening, allowMissingColumns=True)
-    return ordered_fold(rows, CaseFold(commands.columns), [TIME, ORDER_ID], schema, partitions)
+    moved = ordered_fold(rows, CaseFold(commands.columns), [TIME, ORDER_ID], schema, partitions)
+    known = incidents.select(F.col("incident_id").cast("string").alias(KEY))
+    same = F.col("incident_id").cast("string") == known[KEY]
+    rest = commands.where(~moves)
+    told = lambda df, found: df.withColumns(
+        {"from_status": F.lit(None).cast("string"), "found": F.lit(found), "accepted": F.lit(found)})
+    return moved.unionByName(told(rest.join(known, same, "left_semi"), True)).unionByName(told(rest.join(known, same, "left_anti"), False))
 
 
 def status_changes(decisions: DataFrame) -> DataFrame:

@@ -74,6 +74,23 @@ class Fold:
         """True if a key of so few rows, seen whole, has no output."""
         return False
 
+    def sweep(self, batch: pa.RecordBatch, segments: list[tuple[str, int, int]], last: str | None, run):
+        """Consume a batch of several keys: (last key, its run, outputs for ``emit``).
+
+        ``run`` is the position within key ``last``, which may go on here.
+        """
+        outputs = []
+        for position, (key, start, stop) in enumerate(segments):
+            if key != last:
+                # A key that begins here and ends before the batch does is seen whole.
+                if position < len(segments) - 1 and self.idle(key, stop - start):
+                    continue
+                last, run = key, self.fresh(batch, start)
+            output = self.advance(run, batch, start, stop)
+            if output is not None:
+                outputs.append((start, stop, output))
+        return last, run, outputs
+
 
 def sorted_chunks(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
     """Sort by key and order into range partitions and store the result."""
@@ -241,17 +258,7 @@ def _produce(batches: Iterator[pa.RecordBatch], fold: Fold) -> Iterator[pa.Recor
         if last is None and _cell(batch, PHASE) is not None:
             last = _cell(batch, KEY)
             run = fold.resume(last, json.loads(_cell(batch, CONTEXT)), _cell(batch, PHASE))
-        outputs = []
-        segments = _segments(batch)
-        for position, (key, start, stop) in enumerate(segments):
-            if key != last:
-                # A key that begins here and ends before the batch does is seen whole.
-                if position < len(segments) - 1 and fold.idle(key, stop - start):
-                    continue
-                last, run = key, fold.fresh(batch, start)
-            output = fold.advance(run, batch, start, stop)
-            if output is not None:
-                outputs.append((start, stop, output))
+        last, run, outputs = fold.sweep(batch, _segments(batch), last, run)
         rows = fold.emit(batch, outputs)
         if rows is not None and rows.num_rows:
             yield rows
