@@ -318,7 +318,7 @@ sql("ueba_population_top", f"select count(*) as users, count(*) filter (where an
 sql("ueba_radar", " union all ".join(f"select username, '{n}' as subject, {e} as a from profiles" for n, e in {
     "Login Freq": "least(100.0::double, current_hour_events * 5.0::double)", "Risk Score": "avg_risk_score", "Peak Risk": "cast(peak_risk as double)",
     "Hourly Vol": "least(100.0::double, avg_hourly_events * 3.0::double)", "Anomaly": "case when anomaly_flag then 80.0::double else 20.0::double end"}.items()), "logs", extra=PROFILES)
-sql("entity_risk", "select username as entity, 'user' as type, cast(least(100, floor(avg_risk_score)) as int) as risk_score, anomaly_flag from profiles union all select distinct hostname, 'host', 50, cast(null as boolean) from logs", "logs", extra=PROFILES)
+sql("entity_risk", "select username as entity, 'user' as type, cast(least(100, floor(avg_risk_score)) as int) as risk_score, avg_hourly_events, current_hour_events, avg_risk_score, peak_risk, total_events, anomaly_flag from profiles union all select distinct hostname, 'host', 50, null, null, null, null, null, cast(null as boolean) from logs", "logs", extra=PROFILES)
 sql("risk_bands", "select case when risk_score >= 80 then 'critical' when risk_score >= 60 then 'high' when risk_score >= 40 then 'medium' when risk_score >= 20 then 'low' else 'info' end as risk_band, case when risk_score >= 75 then 'critical' when risk_score >= 50 then 'medium' when risk_score >= 25 then 'low' else 'clean' end as indicator_band, count(*) as n from logs group by 1, 2", "logs")
 
 # Table changes

@@ -1,5 +1,6 @@
 """Filters, sources, forest and plan shapes."""
 
+import random
 import tempfile
 
 import numpy as np
@@ -94,8 +95,29 @@ def test_stateless_rules_are_one_pass_without_python_or_shuffle(spark, small):
 
 
 def test_newest_rows_per_user_are_limited_before_the_shuffle(spark, small):
+    plan = plan_of(behaviour.recent_risk(derived(spark, small, "burst"), 3))
+    assert plan.count("WindowGroupLimit") == 4  # before and after both shuffles, in the hours that the limit cuts
+
+
+def test_profiles_sort_no_log(spark, small):
+    """No hour is cut: everything comes from figures per hour, and the logs are not read again."""
     plan = plan_of(behaviour.recent_risk(derived(spark, small, "logs")))
-    assert plan.count("WindowGroupLimit") == 4  # before and after both shuffles
+    assert "FileScan" not in plan and "WindowGroupLimit" not in plan
+
+
+def test_newest_risks_equal_a_plain_ranking(spark):
+    make = random.Random(6)
+    rows = [(i, make.choice(["ann", "bo", "cy", "", None]), make.choice([None, 7200 + make.randrange(60), make.randrange(20_000)]),
+             make.choice([None, make.randrange(100)])) for i in range(3000)]
+    logs = spark.createDataFrame(rows, "log_id long, username string, s long, risk_score int").withColumn("created_at", F.timestamp_seconds("s"))
+    for keep in (1, 7, 100, 650, 5000):
+        want = {}
+        for user in ("ann", "bo", "cy"):
+            mine = sorted((r for r in rows if r[1] == user), key=lambda r: (r[2] is not None, r[2] or 0, r[0]), reverse=True)[:keep]
+            risks = [20 if r[3] is None else r[3] for r in mine]
+            want[user] = (sum(risks), len(risks), max(risks))
+        got = {r["username"]: (r["risk_sum"], r["risk_n"], r["peak_risk"]) for r in behaviour.recent_risk(logs, keep).collect()}
+        assert got == want
 
 
 def test_rankings_are_hash_aggregates(spark, small):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchkeep import constants as C
+from watchkeep.session import materialise
 
 SHARES = 32  # parts a user's events are split into before they are ranked
 
@@ -20,29 +21,59 @@ def active(logs: DataFrame) -> DataFrame:
     return logs.where(F.col("username") != "")
 
 
+def _hour() -> Column:
+    return F.date_trunc("hour", "created_at").alias("hour")
+
+
+def _risk() -> Column:
+    return F.coalesce("risk_score", F.lit(C.DEFAULT_RISK))
+
+
 def hourly_counts(logs: DataFrame) -> DataFrame:
     """Events per user and hour."""
-    hour = F.date_trunc("hour", "created_at").alias("hour")
-    return active(logs).groupBy("username", hour).agg(
-        F.count("*").alias("events"), F.min("created_at").alias("first_seen"))
+    return active(logs).groupBy("username", _hour()).agg(F.count("*").alias("events"), F.min("created_at").alias("first_seen"))
 
 
-def recent_risk(logs: DataFrame, keep: int = C.RISK_HISTORY) -> DataFrame:
+def hour_figures(logs: DataFrame) -> DataFrame:
+    """Events, risk sum and peak risk per user and hour: all that profiles need, from one scan."""
+    return active(logs).groupBy("username", _hour()).agg(
+        F.count("*").alias("events"), F.min("created_at").alias("first_seen"),
+        F.sum(_risk()).alias("risk_sum"), F.max(_risk()).alias("peak_risk"))
+
+
+def recent_risk(logs: DataFrame, keep: int = C.RISK_HISTORY, hourly: DataFrame | None = None) -> DataFrame:
     """Sum, number and peak of the newest ``keep`` risk scores per user.
 
-    A user is first split into shares, each cut to its newest ``keep`` rows, so
-    that a user with very many events is many tasks' work.  Spark also applies
-    both limits before their shuffles (window group limit).
+    Hours that lie wholly among the newest ``keep`` events count by their
+    figures.  Only in the hour that the limit cuts are events looked at one by
+    one; it is split into shares, each cut to its newest ``keep`` rows, so that
+    a user with very many events in an hour is many tasks' work.  Without such
+    an hour the logs are not read again.  ``hourly`` are stored ``hour_figures``.
     """
+    hourly = materialise(hour_figures(logs)) if hourly is None else hourly
+    before = Window.partitionBy("username").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = hourly.withColumn("newer", F.coalesce(F.sum("events").over(before), F.lit(0)))
+    parts = placed.where(F.col("newer") + F.col("events") <= keep).select("username", "risk_sum", F.col("events").alias("risk_n"), "peak_risk")
+    cut = materialise(placed.where((F.col("newer") < keep) & (F.col("newer") + F.col("events") > keep)).select(
+        "username", "hour", (F.lit(keep) - F.col("newer")).alias("need")))
+    if cut.head(1):
+        parts = parts.unionByName(_cut_hours(logs, cut, keep))
+    return parts.groupBy("username").agg(
+        F.sum("risk_sum").alias("risk_sum"), F.sum("risk_n").alias("risk_n"), F.max("peak_risk").alias("peak_risk"))
+
+
+def _cut_hours(logs: DataFrame, cut: DataFrame, keep: int) -> DataFrame:
+    """Figures of the newest ``need`` events of one hour per user."""
     latest = [F.desc("created_at"), F.desc("log_id")]
     in_share = F.row_number().over(Window.partitionBy("username", "share").orderBy(*latest))
     in_all = F.row_number().over(Window.partitionBy("username").orderBy(*latest))
+    at = cut.select(F.col("username").alias("of"), F.col("hour").alias("at"), "need")
     return (
         active(logs)
-        .select("username", "created_at", "log_id", F.coalesce("risk_score", F.lit(C.DEFAULT_RISK)).alias("risk"),
-                F.pmod(F.xxhash64("log_id"), F.lit(SHARES)).alias("share"))
+        .select("username", "created_at", "log_id", _hour(), _risk().alias("risk"), F.pmod(F.xxhash64("log_id"), F.lit(SHARES)).alias("share"))
+        .join(at, (F.col("username") == F.col("of")) & F.col("hour").eqNullSafe(F.col("at")))
         .withColumn("place", in_share).where(F.col("place") <= keep)
-        .withColumn("place", in_all).where(F.col("place") <= keep)
+        .withColumn("place", in_all).where((F.col("place") <= keep) & (F.col("place") <= F.col("need")))
         .groupBy("username")
         .agg(F.sum("risk").alias("risk_sum"), F.count("*").alias("risk_n"), F.max("risk").alias("peak_risk"))
     )
@@ -51,7 +82,8 @@ def recent_risk(logs: DataFrame, keep: int = C.RISK_HISTORY) -> DataFrame:
 def profiles(logs: DataFrame, as_of: Column) -> DataFrame:
     """All user profiles; the current hour is the one that contains ``as_of``."""
     current = F.date_trunc("hour", as_of)
-    hours = hourly_counts(logs).groupBy("username").agg(
+    hourly = materialise(hour_figures(logs))
+    hours = hourly.groupBy("username").agg(
         F.sum("events").alias("total_events"),
         F.count("*").alias("active_hours"),
         F.coalesce(F.sum(F.when(F.col("hour") == current, F.col("events"))), F.lit(0)).alias("current_hour_events"),
@@ -59,7 +91,7 @@ def profiles(logs: DataFrame, as_of: Column) -> DataFrame:
     )
     high = F.expr(f"risk_sum > {C.RISK_FLAG} * risk_n")
     surge = F.expr(f"current_hour_events * active_hours > {C.SURGE_FACTOR} * total_events")
-    return hours.join(recent_risk(logs), "username").select(
+    return hours.join(recent_risk(logs, hourly=hourly), "username").select(
         "username",
         _mean2("total_events", "active_hours").alias("avg_hourly_events"),
         "current_hour_events",
@@ -126,14 +158,17 @@ def severity_rank(severity: Column) -> Column:
     return F.when(position > 0, position - 1).otherwise(len(C.SEVERITIES)).cast("int")
 
 
+PROFILE = ["avg_hourly_events", "current_hour_events", "avg_risk_score", "peak_risk", "total_events", "anomaly_flag"]
+
+
 def entity_risk(entities: DataFrame, logs: DataFrame, as_of: Column) -> DataFrame:
-    """Risk of (entity, type): users by their profile, anything else 50."""
+    """Risk of (entity, type): users by their profile, which comes along, anything else 50."""
     users = entities.where("type = 'user'").select(F.col("entity").alias("username"))
     known = profiles_of(users, logs, as_of).select(
-        F.col("username").alias("entity"), F.lit("user").alias("type"), "avg_risk_score", "anomaly_flag")
+        F.col("username").alias("entity"), F.lit("user").alias("type"), *PROFILE)
     is_user = F.col("type") == "user"
     return entities.join(known, ["entity", "type"], "left").select(
         "entity", "type",
         F.when(is_user, F.least(F.lit(100), F.floor("avg_risk_score"))).otherwise(50).cast("int").alias("risk_score"),
-        F.when(is_user, F.col("anomaly_flag")).alias("anomaly_flag"),
+        *PROFILE,
     )
