@@ -1,4 +1,4 @@
-"""Security tables derived from the given parquet tables.
+"""Security tables derived from the given parquet tables, for the checks.
 
 One SQL text per table serves Spark and DuckDB; only the placeholders differ.
 ``logs`` spreads events over 30 days; ``burst`` squeezes the same events into
@@ -10,68 +10,73 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from watchkeep import constants as C
 from watchkeep.session import tune
 
+
+def _values(rows) -> str:
+    """Rows as a list of SQL values."""
+    cell = lambda v: str(v) if isinstance(v, int) else f"'{v}'"
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
+
+# Look-up tables rendered from the library's constants, numbered in their order.
+_HOST_ROWS = _values(
+    (i, event, title.lower().replace(" ", "_"), severity, ",".join(techniques))
+    for i, (event, (title, severity, techniques)) in enumerate(C.HOST_EVENTS.items()))
+_SIGNATURE_ROWS = _values(
+    (i, name, severity, ",".join(techniques)) for i, (name, (severity, techniques)) in enumerate(C.SIGNATURES.items()))
+_COUNTRIES = ["Norway", "Chile", "Kenya", "Japan", "Canada", "Portugal"]
+
+# Shares of the sources in percent: 28 host events, 22 syslog, 24 firewall, 11 intrusion, 7 web, 4 flows, 4 sign-ins.
 LOGS = """
 with b as (
   select event_id as log_id, {us} as us, user_id as u, value as v, cast({k} as int) as k,
-         cast((event_id * 37 + user_id * 11) % 100 as int) as sel
+         cast((event_id * 53 + user_id * 29) % 100 as int) as sel
   from events),
 s as (
-  select b.*, case when sel < 35 then 'windows_event' when sel < 60 then 'linux_syslog'
-    when sel < 80 then 'firewall' when sel < 90 then 'ids_ips' when sel < 95 then 'web_server'
-    when sel < 98 then 'netflow' else 'auth_log' end as log_source from b),
-win(wi, w_id, w_type, w_sev, w_mitre) as (select * from (values
-  (0,4624,'successful_logon','info',''), (1,4625,'failed_logon_attempt','medium','T1110,T1078'),
-  (2,4648,'logon_with_explicit_credentials','medium','T1078'), (3,4672,'special_privileges_assigned','high','T1078.002,T1134'),
-  (4,4688,'new_process_created','low','T1059,T1106'), (5,4698,'scheduled_task_created','medium','T1053.005'),
-  (6,4720,'user_account_created','high','T1136'), (7,4728,'user_added_to_privileged_group','critical','T1098'),
-  (8,4768,'kerberos_authentication','info',''), (9,4776,'ntlm_authentication','low',''),
-  (10,7045,'new_service_installed','high','T1543.003'), (11,1102,'audit_log_cleared','critical','T1070.001')) as t(a,b,c,d,e)),
-ids(ii, i_sig, i_sev, i_mitre) as (select * from (values
-  (0,'ET SCAN Nmap Scripting Engine','medium','T1046'), (1,'ET EXPLOIT MS17-010 EternalBlue','critical','T1210'),
-  (2,'ET MALWARE Cobalt Strike Beacon','critical','T1071.001,T1055'), (3,'ET POLICY Telnet Attempt','low','T1021'),
-  (4,'ET SCAN Port Sweep','medium','T1046'), (5,'ET TROJAN Metasploit Meterpreter','critical','T1059,T1071'),
-  (6,'ET WEB_SERVER SQL Injection Attempt','high','T1190,T1505.003'), (7,'ET MALWARE Ransomware Activity','critical','T1486'),
-  (8,'ET CURRENT_EVENTS Phishing Kit','high','T1566'), (9,'ET DOS ICMP Flood','high','T1498')) as t(a,b,c,d)),
+  select b.*, case when sel < 24 then 'firewall' when sel < 52 then 'windows_event' when sel < 74 then 'linux_syslog'
+    when sel < 85 then 'ids_ips' when sel < 92 then 'web_server' when sel < 96 then 'auth_log' else 'netflow' end as log_source from b),
+win as (select * from (values """ + _HOST_ROWS + """) as t(wi, w_id, w_type, w_sev, w_mitre)),
+ids as (select * from (values """ + _SIGNATURE_ROWS + """) as t(ii, i_sig, i_sev, i_mitre)),
 f as (
   select s.*, w_id, w_type, w_sev, w_mitre, i_sig, i_sev, i_mitre,
-    case when log_source = 'firewall' then (case when sel < 74 then 'DENY' when sel < 75 then 'DROP' else 'ALLOW' end) end as action,
-    case when log_source = 'web_server' then (case k % 5 when 0 then 200 when 1 then 302 when 2 then 404 when 3 then 500 else 503 end) end as status_code,
-    case when log_source = 'windows_event' then (case k % 10 when 0 then 'powershell.exe' when 1 then 'cmd.exe' when 2 then 'Mimikatz.exe'
-       when 3 then 'svchost.exe' when 4 then 'lsass.exe' else 'explorer.exe' end) end as process,
-    case when log_source in ('windows_event','linux_syslog','auth_log') and u % 25 <> 0 then concat('user', cast(u % 40 as varchar(20))) end as username,
-    case when log_source = 'netflow' then '192.168.1.100' else concat('203.0.113.', cast(case when log_source = 'firewall' then u % 3 else u % 20 end as varchar(20))) end as source_ip,
-    case log_source when 'firewall' then 'FIREWALL-CORE' when 'ids_ips' then 'IDS-SENSOR-01' when 'web_server' then concat('WEB-SRV-0', cast(1 + u % 2 as varchar(20)))
-       when 'auth_log' then 'VPN-GW-01' else concat('HOST-', cast(u % 12 as varchar(20))) end as hostname,
+    case when log_source = 'firewall' then (case when sel < 16 then 'DENY' when sel < 18 then 'DROP' else 'ALLOW' end) end as action,
+    case when log_source = 'web_server' then (case k % 6 when 0 then 200 when 1 then 204 when 2 then 302 when 3 then 403 when 4 then 500 else 503 end) end as status_code,
+    case when log_source = 'windows_event' then (case k % 9 when 0 then 'powershell.exe' when 1 then 'notepad.exe' when 2 then 'Mimikatz.exe'
+       when 3 then 'lsass.exe' else 'taskhostw.exe' end) end as process,
+    case when log_source in ('windows_event','linux_syslog','auth_log') and u % 23 <> 0 then concat('user', cast(u % 40 as varchar(20))) end as username,
+    case when log_source = 'netflow' then '192.168.7.20' else concat('203.0.113.', cast(case when log_source = 'firewall' then u % 4 else u % 20 end as varchar(20))) end as source_ip,
+    case log_source when 'firewall' then concat('EDGE-', cast(u % 2 as varchar(20))) when 'ids_ips' then 'TAP-3' when 'web_server' then concat('PORTAL-', cast(u % 3 as varchar(20)))
+       when 'auth_log' then 'GATE-1' else concat('HOST-', cast(u % 12 as varchar(20))) end as hostname,
     case when log_source = 'netflow' then concat('198.51.100.', cast(u % 4 as varchar(20)))
-         when log_source in ('firewall','ids_ips') then (case when u % 3 = 0 then concat('198.51.100.', cast(u % 2 as varchar(20))) when u % 3 = 1 then '10.0.0.9' else concat('192.168.1.', cast(u % 20 as varchar(20))) end) end as dest_ip,
-    case when log_source = 'firewall' then cast(k * 10 + log_id % 10 as int) when log_source = 'netflow' then 443 end as dest_port,
+         when log_source in ('firewall','ids_ips') then (case u % 3 when 0 then concat('198.51.100.', cast(u % 2 as varchar(20))) when 1 then '10.0.0.9' else concat('192.168.1.', cast(u % 20 as varchar(20))) end) end as dest_ip,
+    case when log_source = 'firewall' then cast(k * 10 + log_id % 10 as int) when log_source = 'netflow' then 8443 end as dest_port,
     case when log_source = 'netflow' then cast(floor(v * 250000.0) as bigint) end as bytes_out
   from s left join win on wi = k % 12 and log_source = 'windows_event' left join ids on ii = k % 10 and log_source = 'ids_ips')
 select log_id, {mk} as created_at, log_source, w_id as event_id,
-  case log_source when 'windows_event' then w_type when 'linux_syslog' then (case when k < 40 then 'ssh_failed_login' else 'syslog_event' end)
-    when 'firewall' then concat('firewall_', lower(action)) when 'ids_ips' then (case when k % 10 = 2 then 'reverse_shell' else 'ids_alert' end)
+  case log_source when 'windows_event' then w_type when 'linux_syslog' then (case when k < 45 then 'ssh_failed_login' else 'syslog_event' end)
+    when 'firewall' then concat('firewall_', lower(action)) when 'ids_ips' then (case when k % 10 = 4 then 'reverse_shell' else 'ids_alert' end)
     when 'web_server' then (case when status_code = 503 then 'http_flood' else 'http_request' end)
-    when 'netflow' then (case when k % 4 = 0 then 'data_exfiltration' else 'flow' end) else (case when k % 2 = 0 then 'impossible_travel' else 'vpn_logon' end) end as event_type,
-  case log_source when 'windows_event' then w_sev when 'ids_ips' then i_sev when 'firewall' then (case when action = 'ALLOW' then 'low' when k % 2 = 0 then 'medium' else 'high' end)
+    when 'netflow' then (case when k % 5 = 0 then 'data_exfiltration' else 'flow' end) else (case when k % 2 = 0 then 'impossible_travel' else 'vpn_logon' end) end as event_type,
+  case log_source when 'windows_event' then w_sev when 'ids_ips' then i_sev when 'firewall' then (case when action = 'ALLOW' then 'low' when k % 3 = 0 then 'high' else 'medium' end)
     when 'web_server' then (case when status_code < 400 then 'info' when status_code < 500 then 'medium' else 'high' end)
-    when 'linux_syslog' then (case when k < 60 then 'info' when k < 80 then 'low' else 'medium' end) when 'netflow' then 'critical' else 'high' end as severity,
+    when 'linux_syslog' then (case when k < 50 then 'low' when k < 75 then 'info' else 'medium' end) when 'netflow' then 'critical' else 'high' end as severity,
   hostname, username, source_ip, dest_ip, dest_port, action, process, i_sig as signature, status_code, bytes_out,
-  case log_source when 'windows_event' then concat('[Windows] ', w_type, ' | User: ', coalesce(username, 'unknown'), ' | Host: ', hostname, case when k % 30 = 0 then ' added to Domain Admins' when k % 30 = 10 then ' PowerShell -NoP session' else '' end)
-    when 'linux_syslog' then (case when k < 50 then concat('[Linux] sshd: Failed password for ', coalesce(username, 'root'), ' from ', source_ip) else concat('[Linux] cron: New session ', cast(k as varchar(20))) end)
-    when 'firewall' then concat('[Firewall] ', action, ' TCP ', source_ip, '->', dest_ip, ':', cast(dest_port as varchar(20)))
-    when 'ids_ips' then concat('[IDS/IPS] ', i_sig, ' | ', source_ip, ' -> ', dest_ip)
-    when 'web_server' then concat('[Web] GET / HTTP ', cast(status_code as varchar(20)), ' from ', source_ip)
-    when 'netflow' then concat(case when k % 8 = 1 then '[EXFIL] ' else '[Flow] ' end, hostname, ' to ', dest_ip) else concat('[Auth] login ', coalesce(username, 'unknown'), ' from ', source_ip) end as message,
-  concat('src=', source_ip, ' host=', hostname, case when process = 'powershell.exe' and k % 20 = 0 then ' CommandLine=powershell -Enc JAB IEX(New-Object Net.WebClient)' else '' end) as raw_log,
-  case when process = 'powershell.exe' and k % 40 = 10 then 'powershell.exe -NoP -W Hidden' end as powershell_payload,
+  case log_source when 'windows_event' then concat(w_type, ' at ', hostname, ' by ', coalesce(username, 'nobody'), case k % 32 when 0 then ', added to Domain Admins' when 11 then ', PowerShell -NoP session' else '' end)
+    when 'linux_syslog' then (case when k < 55 then concat('Failed password for ', coalesce(username, 'root'), ', peer ', source_ip) else concat('cron job ', cast(k as varchar(20)), ' done') end)
+    when 'firewall' then concat(lower(action), ' tcp to ', dest_ip, ' port ', cast(dest_port as varchar(20)))
+    when 'ids_ips' then concat('matched ', i_sig, ' towards ', dest_ip)
+    when 'web_server' then concat('Web answer ', cast(status_code as varchar(20)), ' to ', source_ip)
+    when 'netflow' then concat(case when k % 7 = 1 then 'exfil suspected: ' else '' end, cast(bytes_out as varchar(20)), ' bytes to ', dest_ip) else concat('sign-in of ', coalesce(username, 'nobody'), ' over ', source_ip) end as message,
+  concat('host=', hostname, ' peer=', source_ip, case when process = 'powershell.exe' and k % 18 = 0 then ' run: powershell -Enc JAB IEX(New-Object Net.WebClient)' else '' end) as raw_log,
+  case when process = 'powershell.exe' and k % 36 = 9 then 'powershell.exe -NoP -W Hidden' end as powershell_payload,
   coalesce(w_mitre, i_mitre, case when action = 'ALLOW' then 'T1071' when log_source = 'netflow' then 'T1041,T1048' else '' end) as mitre_csv,
-  case when log_id % 3 = 0 then null else (case k % 6 when 0 then 'Russia' when 1 then 'China' when 2 then 'Iran' when 3 then 'Germany' when 4 then 'Brazil' else 'India' end) end as country,
-  case when log_id % 3 = 0 then null else 10.0e0 + k / 4.0e0 end as geo_lat,
-  case when log_id % 3 = 0 then null else 20.0e0 + k / 2.0e0 end as geo_lon,
-  cast(case log_source when 'ids_ips' then 40 + k % 56 when 'netflow' then 90 + k % 11 when 'windows_event' then 10 + (u * 7 + k) % 80 else 5 + k % 50 end as int) as risk_score,
-  case log_source when 'ids_ips' then 0.3e0 + (k % 60) / 100.0e0 when 'netflow' then 0.88e0 + (k % 11) / 100.0e0 else k / 250.0e0 end as anomaly_score
+  case when log_id % 3 <> 0 then (case k % 6 """ + " ".join(f"when {i} then '{c}'" for i, c in enumerate(_COUNTRIES)) + """ end) end as country,
+  case when log_id % 3 <> 0 then 10.0e0 + k / 4.0e0 end as geo_lat,
+  case when log_id % 3 <> 0 then 20.0e0 + k / 2.0e0 end as geo_lon,
+  cast(case when log_id % 61 = 7 then 94 + k % 7 when log_source = 'ids_ips' then 30 + k % 50 when log_source = 'windows_event' then 10 + (u * 7 + k) % 70 else 5 + k % 40 end as int) as risk_score,
+  case when log_id % 61 = 7 then 0.9e0 + (k % 10) / 100.0e0 when log_source = 'ids_ips' then 0.2e0 + (k % 50) / 100.0e0 else k / 250.0e0 end as anomaly_score
 from f
 """
 

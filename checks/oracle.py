@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from checks.registry import TEST_FEED_HASHES, TEST_FEED_IPS
 from watchkeep import constants as C
-from watchkeep.sources.derived import duckdb_sql
+from checks.derived import duckdb_sql
 
 ORACLE: dict[str, str] = {}
 
@@ -319,6 +319,49 @@ sql("ueba_radar", " union all ".join(f"select username, '{n}' as subject, {e} as
     "Login Freq": "least(100.0::double, current_hour_events * 5.0::double)", "Risk Score": "avg_risk_score", "Peak Risk": "cast(peak_risk as double)",
     "Hourly Vol": "least(100.0::double, avg_hourly_events * 3.0::double)", "Anomaly": "case when anomaly_flag then 80.0::double else 20.0::double end"}.items()), "logs", extra=PROFILES)
 sql("entity_risk", "select username as entity, 'user' as type, cast(least(100, floor(avg_risk_score)) as int) as risk_score, avg_hourly_events, current_hour_events, avg_risk_score, peak_risk, total_events, anomaly_flag from profiles union all select distinct hostname, 'host', 50, null, null, null, null, null, cast(null as boolean) from logs", "logs", extra=PROFILES)
+
+# The forest, grown again: samples by places on a circle, all trees level by level, then every distinct point walks down.
+def _usual(n):
+    return f"case when {n} <= 1 then 0.0::double when {n} = 2 then 1.0::double else 2.0::double * (ln({n} - 1.0::double) + 0.5772156649015329::double) - 2.0::double * ({n} - 1.0::double) / {n} end"
+
+
+def _draw(what):
+    return f"('0x' || substr(md5('42:' || tree || ':' || node || ':{what}'), 1, 8))::bigint"
+
+
+_SPLIT = f"""case when n <= 1 or depth >= (select deepest from size) or (lo0 = hi0 and lo1 = hi1) then -1
+    when lo0 = hi0 then 1 when lo1 = hi1 then 0 else {_draw("f")} % 2 end"""
+_CUT = f"""(case feature when 0 then lo0 else lo1 end + (case feature when 0 then hi0 - lo0 else hi1 - lo1 end) * ({_draw("c")} / 4294967296.0::double))"""
+_SPANS = "count(*) over w, min(f0) over w, max(f0) over w, min(f1) over w, max(f1) over w"
+FOREST = f"""points as materialized (select log_id, risk_score, anomaly_score, coalesce(risk_score::double, 20.0::double) as f0, coalesce(anomaly_score, 0.1::double) as f1,
+    ('0x' || substr(md5('42:' || log_id), 1, 8))::bigint // 2 as place from logs),
+drawn as materialized (select tree, log_id, f0, f1 from (
+    select *, row_number() over (partition by tree order by (place - tree * (2147483648 // 100) + 2147483648) % 2147483648, log_id) as nth
+    from points, range(100) r(tree)) where nth <= 256),
+size as materialized (select max(n) as n, ceil(log2(greatest(max(n), 2)::double)) as deepest, {_usual("max(n)")} as usual from (select tree, count(*) as n from drawn group by tree)),
+grown(tree, node, depth, f0, f1, n, lo0, hi0, lo1, hi1) as (
+  select tree, node, depth, f0, f1, {_SPANS} from (select tree, 1::bigint as node, 0 as depth, f0, f1 from drawn) window w as (partition by tree, node)
+  union all
+  select tree, node, depth, f0, f1, {_SPANS} from (
+    select tree, 2 * node + case when (case feature when 0 then f0 else f1 end) <= {_CUT} then 0 else 1 end as node, depth + 1 as depth, f0, f1
+    from (select *, {_SPLIT} as feature from grown) where feature >= 0) window w as (partition by tree, node)),
+nodes as materialized (select *, {_CUT} as threshold, depth + {_usual("n")} as path
+  from (select distinct tree, node, depth, n, lo0, hi0, lo1, hi1, {_SPLIT} as feature from grown)),
+walk(f0, f1, tree, node) as (
+  select f0, f1, tree, 1::bigint from (select distinct f0, f1 from points), range(100) r(tree)
+  union all
+  select w.f0, w.f1, w.tree, 2 * w.node + case when (case feature when 0 then w.f0 else w.f1 end) <= threshold then 0 else 1 end
+  from walk w join nodes d on d.tree = w.tree and d.node = w.node where feature >= 0),
+raws as materialized (select f0, f1, -pow(2.0::double, -sum(path) / 100.0::double / (select usual from size)) as raw
+  from walk w join nodes d on d.tree = w.tree and d.node = w.node where feature < 0 group by f0, f1),
+cutoff as (select raw as least_usual from (select raw, row_number() over (order by raw) as nth, count(*) over () as m
+  from (select distinct log_id, f0, f1 from drawn) join raws using (f0, f1)) where nth = ceil(0.05::double * m)),
+scored as (select log_id, risk_score, anomaly_score, round(greatest(0.0::double, least(1.0::double, 0.5::double - (raw - least_usual))), 6) as forest_score
+  from points join raws using (f0, f1), cutoff)"""
+sql("iforest_train", "select tree::int as tree, count(*) as nodes, round(max(case when feature < 0 then path else 0.0 end), 6) as longest_path from nodes group by tree", "logs", extra=FOREST, recursive=True)
+sql("anomaly_scores", "select *, forest_score >= 0.6 as is_anomalous from scored", "logs", extra=FOREST, recursive=True)
+sql("anomalous_logs", "select *, true as is_anomalous from scored where forest_score >= 0.6", "logs", extra=FOREST, recursive=True)
+sql("log_risk", "select *, forest_score >= 0.6 as is_anomalous, cast(least(100, coalesce(risk_score, 20) + floor(forest_score * 40)) as int) as log_risk from scored", "logs", extra=FOREST, recursive=True)
 sql("risk_bands", "select case when risk_score >= 80 then 'critical' when risk_score >= 60 then 'high' when risk_score >= 40 then 'medium' when risk_score >= 20 then 'low' else 'info' end as risk_band, case when risk_score >= 75 then 'critical' when risk_score >= 50 then 'medium' when risk_score >= 25 then 'low' else 'clean' end as indicator_band, count(*) as n from logs group by 1, 2", "logs")
 
 # Table changes

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from checks import derived as D
 from watchkeep import constants as C
 from watchkeep.functions import text as T
 from watchkeep.operators import behaviour, cases, filters, forest, intel, metrics, pages, updates
@@ -15,7 +16,7 @@ from watchkeep.operators.keyword_index import KeywordIndex
 from watchkeep.plans import detection, rules
 from watchkeep.schemas import EVENTS_INPUT
 from watchkeep.session import checkpoint_folder, tune
-from watchkeep.sources import derived as D, tables
+from watchkeep.sources import tables
 from watchkeep.streaming.ingest import Ingest, read_stream
 from watchkeep.streaming.publish import envelope, opened, to_notify, unread
 from watchkeep.streaming.rates import events_per_hour, events_per_second, merge_history, risk_history, to_files
@@ -553,8 +554,8 @@ def risk_bands(spark, folder):
 @query
 def iforest_train(spark, folder):
     """Trees grown on samples of the logs: one row per tree."""
-    nodes = forest.grow_trees(D.derived(spark, folder, "logs"), "log_id")
-    return nodes.groupBy("tree").agg(F.count("*").alias("nodes"), F.max("path").alias("longest_path"))
+    nodes = forest.grow_trees(forest.samples(D.derived(spark, folder, "logs"), "log_id"))
+    return nodes.groupBy("tree").agg(F.count("*").alias("nodes"), F.round(F.max("path"), 6).alias("longest_path"))
 
 
 def _scored(spark, folder):

@@ -1,5 +1,6 @@
 """Filters, sources, forest and plan shapes."""
 
+import hashlib
 import random
 import tempfile
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from watchkeep.operators import behaviour, filters, forest, intel, metrics, updates
 from watchkeep.plans.detection import stateless_alerts
 from watchkeep.sources import tables
-from watchkeep.sources.derived import derived
+from checks.derived import derived
 
 
 def keep(row, condition):
@@ -161,11 +162,23 @@ def test_forest_separates_loud_points(spark):
 
 def test_forest_is_the_same_on_every_run_and_partitioning(spark):
     points = points_of(spark)
-    one = forest.grow_trees(points, "point_id", trees=5).orderBy("tree", "node").collect()
-    two = forest.grow_trees(points.repartition(9), "point_id", trees=5).orderBy("tree", "node").collect()
+    one = forest.grow_trees(forest.samples(points, "point_id", trees=5)).orderBy("tree", "node").collect()
+    two = forest.grow_trees(forest.samples(points.repartition(9), "point_id", trees=5)).orderBy("tree", "node").collect()
     assert one == two
 
 
+def test_samples_are_the_rows_behind_each_trees_point(spark):
+    """Of 40,000 rows a few candidates per tree are looked at, and every sample is full."""
+    many = spark.range(40_000).select(F.col("id").alias("point_id"), (F.col("id") % 91).alias("risk_score"), (F.col("id") % 7 / 10.0).alias("anomaly_score"))
+    found = forest.samples(many, "point_id", trees=20).toPandas()
+    assert found.groupby("tree").size().tolist() == [forest.SAMPLE] * 20
+    place = lambda i: int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:8], 16) // 2
+    step = forest.CIRCLE // 20
+    for tree in (0, 7, 19):
+        behind = sorted((((place(i) - tree * step) % forest.CIRCLE), i) for i in range(40_000))[: forest.SAMPLE]
+        assert sorted(found[found.tree == tree].id) == sorted(i for _, i in behind)
+
+
 def test_forest_defaults_for_missing_features(spark):
     model = forest.fit(points_of(spark), "point_id", trees=20)
     rows = spark.createDataFrame([(None, None), (20, 0.1)], "risk_score int, anomaly_score double")

@@ -108,7 +108,7 @@ def test_one_log_may_raise_several_alerts(spark):
 
 @pytest.mark.parametrize("partitions", [2, 5])
 def test_alerts_do_not_depend_on_partitions(spark, small, partitions):
-    from watchkeep.sources.derived import derived
+    from checks.derived import derived
 
     logs = derived(spark, small, "burst")
     ids = lambda df: sorted(r.alert_id for r in df.select("alert_id").collect())
@@ -117,12 +117,12 @@ def test_alerts_do_not_depend_on_partitions(spark, small, partitions):
 
 def test_golden_counts(spark):
     """Counted by a sequential loop over the derived tables."""
-    from watchkeep.sources.derived import derived
+    from checks.derived import derived
 
     counts = all_alerts(derived(spark, "/root/testdata/sf0.01", "burst")).groupBy("rule_name").count().collect()
     assert dict(map(tuple, counts)) == {
-        "brute_force": 89, "port_scan": 76, "beaconing": 79, "privilege_escalation": 908, "data_exfiltration": 205,
-        "impossible_travel": 97, "malware_indicators": 645, "suspicious_powershell": 322,
+        "brute_force": 71, "port_scan": 84, "beaconing": 115, "privilege_escalation": 794, "data_exfiltration": 265,
+        "impossible_travel": 215, "malware_indicators": 575, "suspicious_powershell": 324,
     }
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchkeep.plans.detection import all_alerts
-from watchkeep.sources.derived import derive, derived
+from checks.derived import derive, derived
 from watchkeep.schemas import EVENTS_INPUT
 from watchkeep.streaming.ingest import Ingest, read_stream, user_hours
 from watchkeep.streaming.publish import envelope, opened

@@ -1,26 +1,33 @@
 """Isolation forest (Liu, Ting, Zhou 2008): anomaly scores for log events.
 
-A tree sees at most 256 rows, so growing trees is small work on any table; the
-samples are drawn by a distributed top-k over row hashes, the trees grow in
-parallel, and scoring runs over Arrow batches.  A fitted forest holds at most
-trees x 511 nodes and is broadcast.
+Everything drawn comes from hashes, so a forest can be grown again by any
+engine.  Rows have a place on a circle; a tree's sample is the 256 rows that
+follow its own point there.  One comparison of a row's place leaves a few
+thousand candidates for all trees together, however many rows there are.  The
+trees grow in parallel, and scoring runs over Arrow batches.  A fitted forest
+holds at most trees x 511 nodes and is broadcast.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchkeep import constants as C
+from watchkeep.session import materialise
 
 FEATURES = ["risk_score", "anomaly_score"]
 DEFAULTS = [float(C.DEFAULT_RISK), C.DEFAULT_ANOMALY]
 SAMPLE = 256
 EULER = 0.5772156649015329
-TREE = "tree int, node int, feature int, threshold double, left int, right int, path double"
+TREE = "tree int, node int, feature int, threshold double, path double"
+CIRCLE = 1 << 31
+SPARE = 4  # candidates for each place in a sample
+DIGITS = 6  # decimals of a score
 
 
 def features(df: DataFrame) -> list[Column]:
@@ -36,91 +43,98 @@ def expected_path(size: int) -> float:
     return 2.0 * (np.log(size - 1.0) + EULER) - 2.0 * (size - 1.0) / size
 
 
+def _drawn(seed: int, tree: int, node: int, what: str) -> int:
+    return int(hashlib.md5(f"{seed}:{tree}:{node}:{what}".encode()).hexdigest()[:8], 16)
+
+
 def _grow(tree: int, points: np.ndarray, seed: int) -> pd.DataFrame:
-    rng = np.random.default_rng([seed, tree])
-    limit = int(np.ceil(np.log2(max(len(points), 2))))
-    nodes, pending = [[-1, 0.0, -1, -1, 0.0]], [(0, points, 0)]
+    """Nodes are numbered as in a heap: the children of n are 2n and 2n + 1."""
+    limit = depth_limit(len(points))
+    nodes, pending = [], [(1, points, 0)]
     while pending:
-        place, rows, depth = pending.pop()
+        node, rows, depth = pending.pop()
         spread = [f for f in range(rows.shape[1]) if len(rows) and rows[:, f].min() < rows[:, f].max()]
         if depth >= limit or len(rows) <= 1 or not spread:
-            nodes[place][4] = depth + expected_path(len(rows))
+            nodes.append((tree, node, -1, 0.0, depth + expected_path(len(rows))))
             continue
-        feature = spread[rng.integers(len(spread))]
-        cut = rng.uniform(rows[:, feature].min(), rows[:, feature].max())
-        nodes[place][:4] = [feature, cut, len(nodes), len(nodes) + 1]
+        feature = spread[_drawn(seed, tree, node, "f") % len(spread)]
+        low, high = rows[:, feature].min(), rows[:, feature].max()
+        cut = low + (high - low) * (_drawn(seed, tree, node, "c") / 4294967296.0)
+        nodes.append((tree, node, feature, cut, 0.0))
         goes_left = rows[:, feature] <= cut
-        for child in (rows[goes_left], rows[~goes_left]):
-            pending.append((len(nodes), child, depth + 1))
-            nodes.append([-1, 0.0, -1, -1, 0.0])
-    out = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "path"])
-    out.insert(0, "node", range(len(out)))
-    out.insert(0, "tree", tree)
-    return out
+        pending += [(2 * node, rows[goes_left], depth + 1), (2 * node + 1, rows[~goes_left], depth + 1)]
+    return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "path"])
 
 
-def grow_trees(rows: DataFrame, key: str, trees: int = C.FOREST_TREES, seed: int = C.FOREST_SEED) -> DataFrame:
-    """The nodes of all trees.
+def depth_limit(size: int) -> int:
+    return int(np.ceil(np.log2(max(size, 2))))
 
-    The pool is the trees x 256 rows of lowest hash, each tree's sample the 256
-    rows of the pool with the lowest hash for that tree: sampling without
-    replacement, the same on every run.
-    """
-    pool = (
-        rows.select(F.col(key).alias("id"), *features(rows))
-        .orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id")
-        .limit(trees * SAMPLE)
-    )
-    dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "draw", F.xxhash64("id", "tree", F.lit(seed)))
-    names = FEATURES
 
+def samples(rows: DataFrame, key: str, trees: int = C.FOREST_TREES, seed: int = C.FOREST_SEED) -> DataFrame:
+    """(tree, id, features): the rows each tree grows from, at most 256, stored.
+
+    ``key`` tells rows apart; equal keys share a place.
+    """
+    step = CIRCLE // trees
+    count = rows.count()
+    near = min(CIRCLE, -(-SPARE * SAMPLE * CIRCLE // max(1, count)))
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10)
+    placed = rows.select(F.col(key).alias("id"), *features(rows), place.cast("bigint").alias("hash")).select(
+        "id", *FEATURES, F.expr("hash div 2").alias("at"))
+    if near < step:
+        placed = placed.where(F.col("at") % step < near)
+    behind = lambda t: F.pmod(F.col("at") - t * step, F.lit(CIRCLE))
+    dealt = placed.withColumn("tree", F.explode(F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: behind(t) < near))).withColumn("behind", behind(F.col("tree")))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("behind", "id"))
+    return materialise(dealt.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("tree", "id", *FEATURES))
+
+
+def grow_trees(sampled: DataFrame, seed: int = C.FOREST_SEED) -> DataFrame:
+    """The nodes of all trees, from ``samples``."""
     def grow(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sample = pdf.nsmallest(SAMPLE, ["draw", "id"]).sort_values("id")
-        return _grow(int(group[0]), sample[names].to_numpy(float), seed)
+        return _grow(int(group[0]), pdf[FEATURES].to_numpy(float), seed)
 
-    return dealt.groupBy("tree").applyInPandas(grow, TREE)
+    return sampled.groupBy("tree").applyInPandas(grow, TREE)
 
 
 @dataclass
 class Forest:
-    """Node arrays of all trees, plus the score that separates the outliers."""
+    """Node arrays of all trees by heap number, plus the score that separates the outliers."""
 
     feature: np.ndarray
     threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
     path: np.ndarray
     sample: int
     offset: float = -0.5
 
     def raw(self, points: np.ndarray) -> np.ndarray:
-        """Negated anomaly score: lower is more anomalous."""
+        """Negated anomaly score: lower is more anomalous.  Equal points are scored once."""
+        points, back = np.unique(points, axis=0, return_inverse=True)
         depth = np.zeros(len(points))
-        for tree in range(len(self.feature)):
-            at = np.zeros(len(points), dtype=np.int64)
-            feature, left, right = self.feature[tree], self.left[tree], self.right[tree]
-            while True:
+        for feature, threshold, path in zip(self.feature, self.threshold, self.path):
+            at = np.ones(len(points), dtype=np.int64)
+            for _ in range(depth_limit(self.sample)):
                 split = feature[at]
-                inner = split >= 0
-                if not inner.any():
-                    break
                 value = points[np.arange(len(points)), np.maximum(split, 0)]
-                at = np.where(inner, np.where(value <= self.threshold[tree][at], left[at], right[at]), at)
-            depth += self.path[tree][at]
-        return -np.exp2(-depth / len(self.feature) / max(expected_path(self.sample), 1e-9))
+                at = np.where(split >= 0, 2 * at + (value > threshold[at]), at)
+            depth += path[at]
+        return -np.exp2(-depth / max(len(self.feature), 1) / max(expected_path(self.sample), 1e-9))[back.reshape(-1)]
 
 
 def fit(rows: DataFrame, key: str, trees: int = C.FOREST_TREES, contamination: float = C.FOREST_CONTAMINATION,
         seed: int = C.FOREST_SEED) -> Forest:
-    """Fit on ``rows``; the offset is the ``contamination`` quantile of their scores."""
-    nodes = grow_trees(rows, key, trees, seed).toPandas().sort_values(["tree", "node"])
-    size = rows.limit(SAMPLE).count()
-    grouped = [g for _, g in nodes.groupby("tree")]
-    columns = {c: [g[c].to_numpy() for g in grouped] for c in ("feature", "threshold", "left", "right", "path")}
-    forest = Forest(**columns, sample=size)
-    raw = rows.select(_raw_score(forest)(*features(rows)).alias("raw"))
-    forest.offset = raw.agg(F.percentile_approx("raw", contamination, 10000)).first()[0]
+    """Fit on ``rows``; the offset is the ``contamination`` quantile of the scores of all sampled rows."""
+    sampled = samples(rows, key, trees, seed)
+    nodes = grow_trees(sampled, seed).toPandas()  # at most trees x 511 rows
+    points = sampled.select("id", *FEATURES).distinct().toPandas()[FEATURES].to_numpy(float)  # at most trees x 256
+    size = min(SAMPLE, int(sampled.groupBy("tree").count().agg(F.max("count")).head()[0] or 0))
+    shape = (trees, 2 << depth_limit(size))
+    forest = Forest(np.full(shape, -1), np.zeros(shape), np.zeros(shape), size)
+    at = (nodes["tree"].to_numpy(int), nodes["node"].to_numpy(int))
+    forest.feature[at], forest.threshold[at], forest.path[at] = nodes["feature"], nodes["threshold"], nodes["path"]
+    if len(points):
+        forest.offset = float(np.sort(forest.raw(points))[max(0, int(np.ceil(contamination * len(points))) - 1)])
     return forest
 
 
@@ -133,9 +147,9 @@ def _raw_score(forest: Forest):
 
 
 def score(df: DataFrame, forest: Forest) -> DataFrame:
-    """Adds ``forest_score`` in [0, 1]; higher is more anomalous."""
+    """Adds ``forest_score`` in [0, 1], to six decimals; higher is more anomalous."""
     decision = _raw_score(forest)(*features(df)) - F.lit(forest.offset)
-    return df.withColumn("forest_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) - decision)))
+    return df.withColumn("forest_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) - decision)), DIGITS))
 
 
 def flag(scored: DataFrame, threshold: float = C.ANOMALY_THRESHOLD) -> DataFrame:
