@@ -8,11 +8,12 @@ from watchkeep.llm.common import store
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+WORD_CHARACTER = r"[^\x20\x09-\x0D]"
 WINDOW = 8
 LEAST_WORDS = 20
 REPEAT_PERCENT = 30
 # A line is above its limit in more distinct documents of a host than both.
-LINE_DOCS = 100
+LINE_DOCS = 5
 LINE_SHARE = 0.01
 # What must be left of a document: words, and percent of its words.
 LEFT_PERCENT = 30
@@ -22,6 +23,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def line_hash(line: Column) -> Column:
+    """Lines are equal in any case and with any spaces."""
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, SPACE, " "))))
+
+
 def bound(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -60,10 +66,10 @@ def _measured(docs: DataFrame) -> DataFrame:
     split = docs.select(
         "doc_id", _host().alias("host"), F.xxhash64(text).alias("content"),
         F.monotonically_increasing_id().alias("row"), text.alias("text"),
-        words_of(text).alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        words_of(text).alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CHARACTER)).alias("lines"),
     )
     line = lambda x: F.struct(
-        F.xxhash64(F.lower(F.trim(F.regexp_replace(x, SPACE, " ")))).alias("line"),
+        line_hash(x).alias("line"),
         F.size(words_of(x)).cast("long").alias("words"))
     return split.select(
         "doc_id", "host", "content", "row", F.size("words").cast("long").alias("n_words"),
@@ -87,55 +93,81 @@ def _frequent(measured: DataFrame) -> DataFrame:
     return per_line.join(per_host, "host").where(F.col("docs") > F.col("host_docs") * LINE_SHARE).select("host", "line")
 
 
-def line_rules(docs: DataFrame) -> DataFrame:
-    """The measures of every row of ``docs`` (doc_id, text, source), and whether it is kept.
-
-    ``base_failed``: fewer than 20 words, or over 30 percent of them in 8-word
-    windows that occur twice.  Lines are lower-cased with single spaces; a line
-    in more than 100 distinct documents of its host and more than one percent
-    of them is removed.  A document is depleted with fewer than 20 words or
-    less than 30 percent of its words left.
-
-    Null texts are empty and fail; null hosts are one host; repeated rows give
-    repeated results; an empty table gives no rows; other columns are not read.
-    """
+def _judged(docs: DataFrame) -> DataFrame:
+    """Measures and verdict of every row, and the hashes of the lines to remove."""
     measured = store(_measured(docs), "quality")
     frequent = store(_frequent(measured), "frequent-lines")
     lines = measured.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.line", "x.words")
-    removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
+    removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(
+        F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))  # lines of one row
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     gone = F.coalesce("removed_words", F.lit(0)).cast("long")
     left = F.col("n_words") - gone
     depleted = (left < LEAST_WORDS) | (100 * left < LEFT_PERCENT * F.col("n_words"))
     return measured.drop("lines").join(removed, "row", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), gone.alias("removed_words"), "host", "content",
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), gone.alias("removed_words"), "host", "content", "removed_lines",
     )
 
 
-def passing(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``line_rules`` keeps, all columns as they are.
+def line_rules(docs: DataFrame) -> DataFrame:
+    """The measures of every row of ``docs`` (doc_id, text, source), and whether it is kept.
+
+    ``base_failed``: fewer than 20 words, or over 30 percent of them in 8-word
+    windows that occur twice.  Lines are lower-cased with single spaces; a line
+    in more than five distinct documents of its host and more than one percent
+    of them is removed.  A document is depleted with fewer than 20 words or
+    less than 30 percent of its words left.
 
-    A verdict depends on a row's text and host only, so rejected pairs of their
-    values are taken away.
+    Null texts are empty and fail; null hosts are one host; repeated rows give
+    repeated results; a very long text is one row, its lines are counted apart;
+    an empty table gives no rows; other columns are not read.
     """
-    rejected = line_rules(docs).where("not kept").select(F.col("host").alias("_watchkeep_host"), F.col("content").alias("_watchkeep_content")).distinct()
+    return _judged(docs).drop("removed_lines")
+
+
+def _with_verdicts(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns _watchkeep_kept and _watchkeep_lines.
+
+    A verdict depends on a row's text and host only, so one row per such pair
+    that is rejected or loses lines is joined back.  That table is stored, so
+    that adaptive execution can split a large group of copies.
+    """
+    told = _judged(docs).where("not kept or removed_words > 0").select(
+        F.col("host").alias("_watchkeep_host"), F.col("content").alias("_watchkeep_content"),
+        F.col("kept").alias("_watchkeep_kept"), F.col("removed_lines").alias("_watchkeep_lines"))
+    told = store(told.dropDuplicates(["_watchkeep_host", "_watchkeep_content"]), "verdicts")
     host, content = _host(), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(rejected, (host == rejected["_watchkeep_host"]) & (content == rejected["_watchkeep_content"]), "left_anti")
+    return docs.join(told, (host == told["_watchkeep_host"]) & (content == told["_watchkeep_content"]), "left")
+
+
+def _kept() -> Column:
+    return F.coalesce(F.col("_watchkeep_kept"), F.lit(True))
+
+
+def _left_text() -> Column:
+    stays = lambda x: ~F.array_contains("_watchkeep_lines", line_hash(x)) | ~x.rlike(WORD_CHARACTER)
+    text = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
+    return F.when(F.col("_watchkeep_lines").isNotNull(), text).otherwise(F.col("text")).alias("text")
+
+
+def _columns(docs: DataFrame, text: Column) -> list[Column]:
+    return [text if c == "text" else F.col(c) for c in docs.columns]
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``line_rules`` keeps, all columns as they are."""
+    return _with_verdicts(docs).where(_kept()).select(*docs.columns)
 
 
 def without_frequent_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines above their host's limit taken out of the text.
 
-    Other columns stay; null texts stay null; a text may become empty.
+    Lines without a word, null texts and other columns stay; a text may become empty.
     """
-    frequent = _frequent(store(_measured(docs), "quality"))
-    # One row per document: what a host repeats is joined to lines, not gathered per host.
-    numbered = store(docs.withColumn("_watchkeep_row", F.monotonically_increasing_id()).withColumn("_watchkeep_host", _host()), "numbered")
-    split = numbered.select("_watchkeep_row", "_watchkeep_host", F.posexplode(F.split("text", "\n")).alias("at", "x"))
-    hashed = split.withColumn("line", F.xxhash64(F.lower(F.trim(F.regexp_replace("x", SPACE, " ")))))
-    kept = hashed.join(frequent.withColumnRenamed("host", "_watchkeep_host"), ["_watchkeep_host", "line"], "left_anti")
-    texts = kept.groupBy("_watchkeep_row").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("xs")).select(
-        "_watchkeep_row", F.array_join(F.transform("xs", lambda e: e["x"]), "\n").alias("_watchkeep_text"))
-    empty = F.when(F.col("text").isNotNull(), F.lit(""))
-    return numbered.join(texts, "_watchkeep_row", "left").withColumn("text", F.coalesce("_watchkeep_text", empty)).select(*docs.columns)
+    return _with_verdicts(docs).select(*_columns(docs, _left_text()))
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``line_rules`` keeps, without frequent lines: both at once."""
+    return _with_verdicts(docs).where(_kept()).select(*_columns(docs, _left_text()))

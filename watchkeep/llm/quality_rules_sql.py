@@ -19,7 +19,7 @@ rep as (
   from (select row, i, lead(i) over (partition by row order by i) as nxt from twice) group by row),
 per_line as (select host, norm, count(distinct text) as docs from real group by host, norm),
 per_host as (select host, count(distinct text) as host_docs from base group by host),
-frequent as (select host, norm from per_line join per_host using (host) where docs > 100 and docs > host_docs * 0.01),
+frequent as (select host, norm from per_line join per_host using (host) where docs > 5 and docs > host_docs * 0.01),
 gone as (select row, sum(len(ws)) as n_gone from real join frequent using (host, norm) group by row),
 m as (
   select doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
