@@ -14,6 +14,7 @@ from watchkeep.llm.common import U64, Words, arrow, held_out, store, text_chunks
 END = U64(0x0123456789ABCDEF)
 # Words whose counts every task holds (bounded), and those with outputs of their own.
 KNOWN, HEADS = 262_144, 4_096
+BUCKET_BITS = 20
 # Other words fall in classes by length and by how they end.
 LENGTHS = np.array([2, 4, 6, 8, 10, 13, 17])
 ENDINGS = np.zeros(256, np.int64)
@@ -21,11 +22,11 @@ ENDINGS[ord(".")], ENDINGS[ord(",")] = 1, 2
 ENDINGS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,"]] = 3
 TAILS = 4 * (len(LENGTHS) + 1)
 # Training: rounds, and the shares of the training documents that they take in turn.
-ROUNDS, SHARE, RATE = 4, 4, 0.01
+ROUNDS, SHARE, RATE = 4, 4, 0.015
 SLICE = 2_048
 STREAM_TOKENS = 200_000
 # Text scored together: the more documents, the fewer steps are taken for the longest alone.
-SCORE_BYTES = 8_000_000
+SCORE_BYTES = 16_000_000
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,10 +90,7 @@ class Vocabulary:
         frame = kept.toPandas().sort_values(["n", "word"], ascending=[False, True])
         heads = min(heads, len(frame))
         hashes = frame["word"].to_numpy(np.int64).view(U64)
-        order = np.argsort(hashes)
-        self.hashes, self.rank = hashes[order], np.arange(len(frame))[order]
-        self.n = frame["n"].to_numpy(np.int64)[order]
-        self.tail = frame["tail"].to_numpy(np.int64)[order]
+        self.index(hashes, np.arange(len(frame)), frame["n"].to_numpy(np.int64), frame["tail"].to_numpy(np.int64))
         self.shape = gru.Shape(heads, TAILS)
         self.head_counts = frame["n"].to_numpy(np.float64)[:heads]
         # Tail classes hold all words but the heads: their tokens and single words.
@@ -108,6 +106,14 @@ class Vocabulary:
         self.log_unseen = np.log10(unseen)
         self.log_seen = np.log10(np.maximum(1 - unseen, 1e-12)) - np.log10(np.maximum(self.tail_tokens, 1))
 
+    def index(self, hashes: np.ndarray, rank: np.ndarray, n: np.ndarray, tail: np.ndarray) -> None:
+        """Words by hash; ``buckets`` tells where each value of the leading bits begins."""
+        order = np.argsort(hashes)
+        self.hashes, self.rank, self.n, self.tail = hashes[order], rank[order], n[order], tail[order]
+        begins = np.searchsorted(self.hashes, np.arange(1 << BUCKET_BITS, dtype=U64) << U64(64 - BUCKET_BITS))
+        self.buckets = begins.astype(np.int32)
+        self.most = int(np.diff(np.append(begins, len(hashes))).max())
+
     def light(self) -> Vocabulary:
         """A copy that can be sent to the tasks."""
         other = object.__new__(Vocabulary)
@@ -118,9 +124,15 @@ class Vocabulary:
         """(token number, count; 0 if the word is not held)."""
         if not len(self.hashes):
             return self.shape.heads + tail, np.zeros(len(hashes), np.int64)
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
+        bucket = (hashes >> U64(64 - BUCKET_BITS)).astype(np.int64)
+        at, last = self.buckets[bucket], len(self.hashes) - 1
+        np.minimum(at, last, out=at)
         hit = self.hashes[at] == hashes
+        for _ in range(self.most - 1):
+            # A place past its bucket holds another hash.
+            missing = np.flatnonzero(~hit)
+            at[missing] = np.minimum(at[missing] + 1, last)
+            hit[missing] = self.hashes[at[missing]] == hashes[missing]
         rank = self.rank[at]
         return np.where(hit & (rank < self.shape.heads), rank, self.shape.heads + tail), np.where(hit, self.n[at], 0)
 
