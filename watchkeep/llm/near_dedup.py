@@ -146,13 +146,14 @@ def _inside_mixed(buckets: DataFrame, roots: DataFrame, signed: DataFrame, texts
     """
     labelled = buckets.join(roots, "id").join(roots.select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub")
     labelled = store(labelled.select("key", "hub", "id", "root", (F.col("root") != F.col("hub_root")).alias("guest")), "labelled")
-    mixed = labelled.where("guest").select("key").distinct()
+    mixed = store(labelled.where("guest").select("key").distinct(), "mixed-keys")
     rows = labelled.join(mixed, "key", "left_semi").groupBy("hub", "id", "root").agg(F.max("guest").alias("guest"))
     rows = store(rows.join(signed.select("id", "n_shingles"), "id"), "mixed")
     sets = store(_shingle_sets(texts.join(rows.select("id").distinct(), "id", "left_semi"), words), "sets")
     count = lambda c: F.ceil(F.sum(c) / BLOCK_SHINGLES).cast("int")
-    sizes = rows.groupBy("hub").agg(
-        count("n_shingles").alias("blocks"), count(F.when(F.col("guest"), F.col("n_shingles"))).alias("guest_blocks"))
+    # Stored, so that the join with it can be split where a hub has very many rows.
+    sizes = store(rows.groupBy("hub").agg(
+        count("n_shingles").alias("blocks"), count(F.when(F.col("guest"), F.col("n_shingles"))).alias("guest_blocks")), "hub-sizes")
     dealt = store(rows.join(sizes, "hub").join(sets, "id").select(
         "hub", "id", "root", "guest", "shingles", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"),
         F.pmod(F.xxhash64("id"), "guest_blocks").cast("int").alias("guest_block")), "dealt")
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 
     # Buckets with two ids at least, and the smallest of each.
     keys = index_keys(signed)
-    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
+    shared = store(keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub"), "shared-keys")
     buckets = store(keys.join(shared, "key").select("key", "id", "hub").distinct(), "buckets")
 
     def near(pairs: DataFrame) -> DataFrame:
