@@ -5,25 +5,32 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchkeep.llm.common import text_or_empty
+from watchkeep.llm.common import store, text_or_empty
 
 _SPAN = 1 << 20
+MOST_CHARS = 100_000_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, unseen: Column, rows: int) -> DataFrame:
-    """(key, text, label) of about ``rows`` labelled documents at most.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, unseen: Column, rows: int, chars: int = MOST_CHARS) -> DataFrame:
+    """(key, text, label) of at most about ``rows`` labelled documents and ``chars`` characters.
 
     ``unseen`` marks ids that must not be learned from.  The share is chosen by
-    a hash of the id, so a larger table gives other rows but not more.  Ids
+    a hash of the id, so a larger table gives other rows but not more.  An id
+    has one text in the sample, the smallest, however many rows it has.  Ids
     with contradicting labels, and null ids or labels, are left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~unseen).groupBy(
         F.col("doc_id").cast("long").alias("key")).agg(
         F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other")).where("label = other").drop("other")
     share = min(1.0, rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(_SPAN)) < int(share * _SPAN))
-    texts = docs.select(F.col("doc_id").cast("long").alias("key"), text_or_empty())
-    return texts.join(chosen, "key")
+    place = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(_SPAN))
+    chosen = store(known.where(place < int(share * _SPAN)), "labelled-ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("key"), text_or_empty()).join(chosen, "key")
+    sample = store(texts.groupBy("key", "label").agg(F.min("text").alias("text")), "labelled")
+    held = sample.agg(F.sum(F.length("text").cast("long")).alias("n")).head()["n"] or 0
+    if held > chars:
+        sample = sample.where((place < int(share * _SPAN * chars / held)) & (F.length("text") <= chars))
+    return sample.select("key", "text", "label")
 
 
 class Adam:

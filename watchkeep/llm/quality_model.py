@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchkeep.llm.common import Words, arrow, held_out, store, text_chunks, text_or_empty
+from watchkeep.llm.common import Words, arrow, held_out, text_chunks, text_or_empty
 from watchkeep.llm.labelled import Adam, labelled_sample, sigmoid
 
 PASSAGE_WORDS = 64
@@ -163,7 +163,7 @@ def quality(docs: DataFrame, labels: DataFrame, unseen: Column | None = None, sa
     side; an empty table gives no rows; other columns are not read.
     """
     unseen = held_out(F.col("doc_id"), 4, 2) if unseen is None else unseen
-    parameters = fit(store(labelled_sample(docs, labels, "quality", unseen, sample_rows), "labelled"))
+    parameters = fit(labelled_sample(docs, labels, "quality", unseen, sample_rows))
     return score(docs, parameters).select(
         "doc_id", unseen.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
         "passages", "attention")
@@ -175,7 +175,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_
     The model is that of ``quality``; rows are judged one by one, unshuffled.
     """
     unseen = held_out(F.col("doc_id"), 4, 2)
-    parameters = fit(store(labelled_sample(docs, labels, "quality", unseen, sample_rows), "labelled"))
+    parameters = fit(labelled_sample(docs, labels, "quality", unseen, sample_rows))
     shared = docs.sparkSession.sparkContext.broadcast(parameters)
 
     def run(batches):
