@@ -51,9 +51,9 @@ def logs(spark, folder, name="logs"):
     return intel.with_technique_list(D.derived(spark, folder, name)).drop("mitre_csv")
 
 
-def alerts(spark, folder):
+def alerts(spark, folder, texts=True):
     """Alerts of all rules; every third log's are acknowledged."""
-    found = detection.all_alerts(D.derived(spark, folder, "burst"))
+    found = detection.all_alerts(D.derived(spark, folder, "burst"), texts=texts)
     return found.withColumn("acknowledged", F.col("log_id") % 3 == 0)
 
 
@@ -90,7 +90,7 @@ def read_logs(spark, folder):
 @query
 def backfill_alerts(spark, folder):
     """A bulk load through the same detection as live events, per rule and severity."""
-    found = detection.all_alerts(D.derived(spark, folder, "burst"))
+    found = detection.all_alerts(D.derived(spark, folder, "burst"), texts=False)
     return found.groupBy("rule_name", "severity").agg(F.count("*").alias("n"))
 
 
@@ -301,12 +301,12 @@ def alerts_with_logs(spark, folder):
 
 @query
 def tactic_counts(spark, folder):
-    return intel.tactic_counts(alerts(spark, folder))
+    return intel.tactic_counts(alerts(spark, folder, texts=False))
 
 
 @query
 def tactic_counts_by_parent(spark, folder):
-    return intel.tactic_counts(alerts(spark, folder), by_parent=True)
+    return intel.tactic_counts(alerts(spark, folder, texts=False), by_parent=True)
 
 
 @query
@@ -391,23 +391,23 @@ def top_targets_recent(spark, folder):
 
 @query
 def mitre_coverage(spark, folder):
-    return metrics.technique_coverage(alerts(spark, folder))
+    return metrics.technique_coverage(alerts(spark, folder, texts=False))
 
 
 @query
 def mitre_coverage_recent(spark, folder):
     """Over the newest 1,000 alerts, as the live page shows."""
-    return metrics.technique_coverage(alerts(spark, folder), cap=1000)
+    return metrics.technique_coverage(alerts(spark, folder, texts=False), cap=1000)
 
 
 @query
 def dashboard_stats(spark, folder):
-    return metrics.dashboard_stats(D.derived(spark, folder, "logs"), alerts(spark, folder), incidents(spark, folder))
+    return metrics.dashboard_stats(D.derived(spark, folder, "logs"), alerts(spark, folder, texts=False), incidents(spark, folder))
 
 
 @query
 def alert_summary(spark, folder):
-    return metrics.alert_summary(alerts(spark, folder))
+    return metrics.alert_summary(alerts(spark, folder, texts=False))
 
 
 @query
@@ -417,12 +417,12 @@ def incident_stats(spark, folder):
 
 @query
 def report_summary(spark, folder):
-    return metrics.report_summary(D.derived(spark, folder, "logs"), alerts(spark, folder), incidents(spark, folder))
+    return metrics.report_summary(D.derived(spark, folder, "logs"), alerts(spark, folder, texts=False), incidents(spark, folder))
 
 
 @query
 def severity_share(spark, folder):
-    return metrics.severity_share(alerts(spark, folder))
+    return metrics.severity_share(alerts(spark, folder, texts=False))
 
 
 @query

@@ -19,11 +19,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType, StringType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from watchkeep.operators.ordered_fold import KEY, Fold, ordered_fold
+from watchkeep.session import materialise
 
-TIME, ORDER_ID, VALUE = "fold_time", "fold_id", "fold_value"
+TIME, ORDER_ID, VALUE, ROW = "fold_time", "fold_id", "fold_value", "fold_row"
+MOST_BROADCAST = 1_000_000  # numbers of firing rows
 
 
 @dataclass(frozen=True)
@@ -202,7 +204,7 @@ def dense(rows: DataFrame, rules: dict[str, Threshold], rule: str, key: str, tim
     these hold fewer rows, or distinct values, than the threshold, none of their
     windows fires, and rows in no such pair change nothing.  Counts combine
     before the shuffle; rows are found by (rule, key, bucket), so a hot key is
-    spread over its buckets.  Rows without a key or a time are in no bucket.
+    spread over its buckets, and adaptive execution splits a hot bucket.  Rows without a key or a time are in no bucket.
     """
     of = lambda pick: F.coalesce(*[F.when(F.col("r") == n, F.lit(pick(t))) for n, t in rules.items()])
     width = F.coalesce(*[F.when(F.col(rule) == n, F.lit(t.micros)) for n, t in rules.items()])
@@ -215,7 +217,8 @@ def dense(rows: DataFrame, rules: dict[str, Threshold], rule: str, key: str, tim
     # A pair is named by its later bucket.
     pairs = counted.select("r", "k", "n", F.explode(F.array("b", F.col("b") + 1)).alias("p"))
     full = pairs.groupBy("r", "k", "p").agg(F.sum("n").alias("n")).where(F.col("n") >= of(lambda t: t.count))
-    wanted = full.select("r", "k", F.explode(F.array(F.col("p") - 1, F.col("p"))).alias("b")).distinct()
+    # Stored, so that the join with it can be split where a bucket has very many rows.
+    wanted = materialise(full.select("r", "k", F.explode(F.array(F.col("p") - 1, F.col("p"))).alias("b")).distinct())
     found = rows.withColumn("fold_bucket", bucket)
     same = (found[rule] == wanted["r"]) & (found[key] == wanted["k"]) & (found["fold_bucket"] == wanted["b"])
     return found.join(wanted, same, "left_semi").drop("fold_bucket")
@@ -235,15 +238,23 @@ def threshold_firings(
 
     ``rows`` holds the qualifying rows of all ``rules``: column ``rule`` names
     the rule, ``key`` the group, ``value`` the counted value of distinct rules.
-    Only rows in dense buckets are sorted; all rules share one shuffle.  Rows
-    without a key or a time never fire.  ``rows`` is read twice.
+    They are numbered and stored once.  What is sorted are their numbers, keys,
+    times, ids and values, of dense buckets only, in one shuffle for all rules;
+    the rows that fire are then found by number.  Rows without a key or a time
+    never fire.
     """
-    distinct = F.col(value).cast("string") if value else F.lit(None).cast("string")
+    numbered = materialise(rows.withColumn(ROW, F.monotonically_increasing_id()))
+    narrow = numbered.select(
+        ROW, F.col(rule).alias("rule"), F.col(key).alias("key"), F.col(time).alias("time"), F.col(order_id).alias(ORDER_ID),
+        (F.col(value).cast("string") if value else F.lit(None).cast("string")).alias(VALUE))
     prepared = (
-        dense(rows, rules, rule, key, time, value)
-        .withColumn(KEY, F.concat(F.length(rule), F.lit(":"), F.col(rule), F.lit(":"), F.col(key)))
-        .withColumn(TIME, F.unix_micros(F.col(time)))
-        .withColumn(ORDER_ID, F.col(order_id))
-        .withColumn(VALUE, distinct)
+        dense(narrow, rules, "rule", "key", "time", VALUE)
+        .withColumn(KEY, F.concat(F.length("rule"), F.lit(":"), F.col("rule"), F.lit(":"), F.col("key")))
+        .withColumn(TIME, F.unix_micros("time"))
+        .select(ROW, KEY, TIME, ORDER_ID, VALUE)
     )
-    return ordered_fold(prepared, ThresholdFold(rules, rows.columns), [TIME, ORDER_ID], rows.schema, partitions)
+    schema = StructType([StructField(ROW, LongType())])
+    fired = materialise(ordered_fold(prepared, ThresholdFold(rules, [ROW]), [TIME, ORDER_ID], schema, partitions))
+    if fired.count() <= MOST_BROADCAST:
+        fired = F.broadcast(fired)
+    return numbered.join(fired, ROW, "left_semi").drop(ROW)

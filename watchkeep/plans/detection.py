@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from watchkeep.functions.text import stable_id, text
 from watchkeep.operators.thresholds import threshold_firings
 from watchkeep.plans.rules import CARRIED, Rule, default_rules, readable
-from watchkeep.session import materialise
 
 SNIPPET = 200  # characters of the raw log kept in an alert
+NAMES = ["log_id", "created_at", "source_ip", "hostname", "username"]
 
 
 def checked(rules: list[Rule] | None) -> list[Rule]:
@@ -23,9 +23,10 @@ def checked(rules: list[Rule] | None) -> list[Rule]:
     return chosen
 
 
-def _match(place: int, rule: Rule) -> Column:
+def _match(place: int, rule: Rule, texts: bool = True) -> Column:
     """What a matching rule adds to a log; its constants are looked up later."""
-    return F.struct(F.lit(place).alias("place"), rule.title.alias("title"), rule.description.alias("description"))
+    shown = lambda c: c if texts else F.lit(None).cast("string")
+    return F.struct(F.lit(place).alias("place"), shown(rule.title).alias("title"), shown(rule.description).alias("description"))
 
 
 def _constant(rules: list[Rule], value) -> Column:
@@ -56,14 +57,15 @@ def _alerts(hits: DataFrame, rules: list[Rule]) -> DataFrame:
         F.lit(False).alias("acknowledged"),
         F.lit(None).cast("string").alias("acknowledged_by"),
         F.lit(None).cast("string").alias("incident_id"),
-        F.substring(text("raw_log"), 1, SNIPPET).alias("raw_log_snippet"),
+        (F.substring(text("raw_log"), 1, SNIPPET) if "raw_log" in hits.columns else F.lit(None).cast("string")).alias("raw_log_snippet"),
     )
 
 
-def stateless_alerts(logs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def stateless_alerts(logs: DataFrame, rules: list[Rule] | None = None, texts: bool = True) -> DataFrame:
     """Alerts of the rules that look at one log at a time: one pass, no shuffle."""
     active = [r for r in checked(rules) if r.threshold is None]
-    return _alerts(_matched(logs, active, {r.name: _match(i, r) for i, r in enumerate(active)}, "hit"), active)
+    hits = _matched(logs, active, {r.name: _match(i, r, texts) for i, r in enumerate(active)}, "hit")
+    return _alerts(hits if texts else hits.drop("raw_log"), active)
 
 
 def _matched(logs: DataFrame, rules: list[Rule], entries: dict[str, Column], name: str) -> DataFrame:
@@ -87,7 +89,7 @@ def _matched(logs: DataFrame, rules: list[Rule], entries: dict[str, Column], nam
     )
 
 
-def qualifying(logs: DataFrame, rules: list[Rule]) -> DataFrame:
+def qualifying(logs: DataFrame, rules: list[Rule], texts: bool = True) -> DataFrame:
     """Narrow rows for the threshold rules: one per (log, rule)."""
     extra = [c for r in rules for c in r.carry if c not in CARRIED]
     entry = lambda r: F.struct(
@@ -96,40 +98,47 @@ def qualifying(logs: DataFrame, rules: list[Rule]) -> DataFrame:
         (r.distinct_value if r.distinct_value is not None else F.lit(None)).cast("string").alias("value"),
     )
     # Texts stay whole: a rule's title and description may read any of them.
-    kept = [F.col(c) for c in [*CARRIED, *extra]]
+    kept = [F.col(c) for c in ([*CARRIED, *extra] if texts else NAMES)]
     return _matched(logs, rules, {r.name: entry(r) for r in rules}, "q").select(*kept, "q.*")
 
 
-def threshold_alerts(logs: DataFrame, rules: list[Rule] | None = None, partitions: int | None = None) -> DataFrame:
+def threshold_alerts(
+    logs: DataFrame, rules: list[Rule] | None = None, partitions: int | None = None, texts: bool = True,
+) -> DataFrame:
     """Alerts of the rules that count over time; all of them share one shuffle.
 
-    The narrow qualifying rows are stored first: a range partitioning reads its
-    input twice, and the logs should be read once.
+    The logs are read once: the qualifying rows are stored.
     """
     active = [r for r in checked(rules) if r.threshold is not None]
     if not active:
-        return stateless_alerts(logs.limit(0), [])
+        return stateless_alerts(logs.limit(0), [], texts)
     fired = threshold_firings(
-        materialise(qualifying(logs, active)), {r.name: r.threshold for r in active},
+        qualifying(logs, active, texts), {r.name: r.threshold for r in active},
         "rule", "key", "created_at", "log_id", "value", partitions,
     )
-    return with_matches(fired, active)
+    return with_matches(fired, active, texts)
 
 
-def with_matches(fired: DataFrame, rules: list[Rule]) -> DataFrame:
+def with_matches(fired: DataFrame, rules: list[Rule], texts: bool = True) -> DataFrame:
     """Alerts from rows that fired, by the name in their ``rule`` column."""
-    hit = F.coalesce(*[F.when(F.col("rule") == r.name, _match(i, r)) for i, r in enumerate(rules)])
+    hit = F.coalesce(*[F.when(F.col("rule") == r.name, _match(i, r, texts)) for i, r in enumerate(rules)])
     return _alerts(fired.withColumn("hit", hit), rules)
 
 
-def all_alerts(logs: DataFrame, rules: list[Rule] | None = None, partitions: int | None = None) -> DataFrame:
-    """Every alert of every rule; one log may cause several."""
+def all_alerts(
+    logs: DataFrame, rules: list[Rule] | None = None, partitions: int | None = None, texts: bool = True,
+) -> DataFrame:
+    """Every alert of every rule; one log may cause several.
+
+    Without ``texts``, for counts and links, title, description and snippet
+    stay null and the logs' texts are not carried along.
+    """
     chosen = checked(rules)
     parts = []
     if not chosen or any(r.threshold is None for r in chosen):
-        parts.append(stateless_alerts(logs, chosen))
+        parts.append(stateless_alerts(logs, chosen, texts))
     if any(r.threshold is not None for r in chosen):
-        parts.append(threshold_alerts(logs, chosen, partitions))
+        parts.append(threshold_alerts(logs, chosen, partitions, texts))
     return reduce(DataFrame.unionByName, parts)
 
 
