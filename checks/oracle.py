@@ -427,3 +427,5 @@ sql("stream_user_hours", "select username, h * 3600000000 as hour, count(*) as e
 ORACLE["stream_alerts"] = ORACLE["all_alerts"]
 sql("stream_messages", f"select 'log' as type, severity, count(*) as n from burst group by 2 union all select 'alert', severity, count(*) from ({_ALL}) group by 2", "burst", extra=_CTES, recursive=True)
 sql("stream_risk_history", "select username, rs as risk_sum, rn as risk_n, peak_risk from risks", "logs", extra=RISKS)
+sql("stream_unread", "select count(*) as unread from alerts where rule_name not in ('brute_force', 'port_scan', 'beaconing') and created_at > (select max(created_at) from burst where log_id % 1000 = 999)", "burst", "alerts")
+sql("stream_buffer", f"select log_id, epoch_us(created_at) as created_at, severity, message from (select * from logs {NEWEST} limit 500)", "logs")

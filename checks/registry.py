@@ -19,7 +19,8 @@ from watchkeep.session import checkpoint_folder, tune
 from watchkeep.sources import tables
 from watchkeep.streaming.ingest import Ingest, read_stream
 from watchkeep.streaming.publish import envelope, opened, to_notify, unread
-from watchkeep.streaming.rates import events_per_hour, events_per_second, merge_history, risk_history, to_files
+from watchkeep.streaming.rates import LiveBuffer, events_per_hour, events_per_second, to_files
+from watchkeep.streaming.unread import unread_counts, unread_now
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -754,10 +755,26 @@ def stream_messages(spark, folder):
 @query
 def stream_risk_history(spark, folder):
     place = _place(spark)
-    writer = risk_history(_stream(spark, folder, "logs")).writeStream.outputMode("update").trigger(availableNow=True)
-    save = lambda df, batch: df.write.mode("overwrite").parquet(f"{place}/shares/batch={batch}")
-    writer.foreachBatch(save).option("checkpointLocation", f"{place}/checkpoint").start().awaitTermination()
-    rows = spark.read.parquet(f"{place}/shares")
-    names = [c for c in rows.columns if c not in ("username", "share", "batch")]
-    latest = rows.groupBy("username", "share").agg(F.max_by(F.struct(*names), "batch").alias("row")).select("username", "share", "row.*")
-    return merge_history(latest)
+    job = Ingest(spark, f"{place}/tables")
+    job.start_profiles(_stream(spark, folder, "logs"), f"{place}/checkpoint", available_now=True).awaitTermination()
+    return job.risk_profiles()
+
+
+@query
+def stream_unread(spark, folder):
+    """Alerts of the stateless rules since the last mark, every thousandth log being a read mark."""
+    place, live = _place(spark), _stream(spark, folder, "burst")
+    counts = unread_counts(detection.stateless_alerts(live, texts=False), live.where("log_id % 1000 = 999"))
+    save = lambda df, batch: df.write.mode("overwrite").parquet(f"{place}/counts/batch={batch}")
+    writer = counts.writeStream.outputMode("update").trigger(availableNow=True).foreachBatch(save)
+    writer.option("checkpointLocation", f"{place}/checkpoint").start().awaitTermination()
+    return unread_now(spark.read.parquet(f"{place}/counts"))
+
+
+@query
+def stream_buffer(spark, folder):
+    place = _place(spark)
+    buffer = LiveBuffer(spark, f"{place}/buffer", 500)
+    live = _stream(spark, folder, "logs").select("log_id", "created_at", "severity", "message")
+    buffer.start(live, f"{place}/checkpoint", available_now=True).awaitTermination()
+    return buffer.table()

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from watchkeep.operators.behaviour import hourly_counts
 from watchkeep.plans.detection import stateless_alerts
 from watchkeep.plans.rules import Rule, default_rules
+from watchkeep.streaming.profiles import risk_changes, risk_profiles
 from watchkeep.streaming.publish import envelope, to_notify
 from watchkeep.streaming.thresholds import ThresholdState, settle
 
@@ -68,6 +69,16 @@ class Ingest:
         writer = writer.option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
+    def start_profiles(self, stream: DataFrame, checkpoint: str, available_now: bool = False, **settings) -> StreamingQuery:
+        """Keep the table ``risk_changes`` next to the others, by a query of its own; see ``risk_changes``."""
+        writer = risk_changes(stream, **settings).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        writer = writer.foreachBatch(lambda df, batch: self._write(df, "risk_changes", batch))
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+    def risk_profiles(self) -> DataFrame:
+        """Every user's newest risk scores so far, as sum, number and peak."""
+        return risk_profiles(self.table("risk_changes"))
+
     def finish(self, schema) -> None:
         """Settle what is still pending, once the stream has ended for good."""
         last = self.table("logs").agg(F.max(F.col("batch").cast("long"))).first()[0]

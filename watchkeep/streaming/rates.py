@@ -1,19 +1,14 @@
-"""Streaming aggregates: events per second, user hours, newest risk scores."""
+"""Streaming aggregates: events per second, user hours, live buffers."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from watchkeep import constants as C
 from watchkeep.operators.behaviour import active
 
-SHARES = 16  # parts a user's history is kept in, so that a busy user has many tasks
-
 
 def events_per_second(stream: DataFrame, delay: str = "10 seconds") -> DataFrame:
     window = F.window("created_at", "1 second")
@@ -27,50 +22,6 @@ def events_per_hour(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return counted.select("username", F.col("window.start").alias("hour"), "events")
 
 
-def risk_history(stream: DataFrame, keep: int = C.RISK_HISTORY) -> DataFrame:
-    """The newest ``keep`` risk scores of each user's shares, as they change.
-
-    Every share keeps the newest rows by (time, id) whatever order they arrive
-    in; ``merge_history`` picks a user's newest from all shares.
-    """
-    rows = active(stream).select(
-        "username", F.pmod(F.xxhash64("log_id"), F.lit(SHARES)).cast("int").alias("share"),
-        F.unix_micros("created_at").alias("us"), F.col("log_id").cast("string").alias("log_id"),
-        F.coalesce("risk_score", F.lit(C.DEFAULT_RISK)).cast("int").alias("risk"))
-
-    def keep_newest(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = ["us", "log_id", "risk"]
-        kept = pd.DataFrame(dict(zip(names, state.get)) if state.exists else {n: [] for n in names})
-        for chunk in chunks:
-            kept = pd.concat([kept, chunk[names]]) if len(kept) else chunk[names]
-            kept = kept.sort_values(["us", "log_id"]).tail(keep)
-        state.update(tuple(kept[n].tolist() for n in names))
-        yield pd.DataFrame({"username": [key[0]], "share": [key[1]], **{n: [kept[n].tolist()] for n in names}})
-
-    return rows.groupBy("username", "share").applyInPandasWithState(
-        keep_newest,
-        "username string, share int, us array<long>, log_id array<string>, risk array<int>",
-        "us array<long>, log_id array<string>, risk array<int>",
-        "update", GroupStateTimeout.NoTimeout,
-    )
-
-
-def merge_history(shares: DataFrame, keep: int = C.RISK_HISTORY) -> DataFrame:
-    """Sum, number and peak of each user's newest scores from its shares.
-
-    At most ``SHARES`` x ``keep`` scores per user exist, so sorting them as one
-    list is bounded.
-    """
-    scores = F.flatten(F.collect_list(F.arrays_zip("us", "log_id", "risk")))
-    newest = F.slice(F.sort_array(scores, asc=False), 1, keep)
-    return shares.groupBy("username").agg(newest.alias("kept")).select(
-        "username",
-        F.aggregate("kept", F.lit(0).cast("bigint"), lambda total, x: total + x["risk"]).alias("risk_sum"),
-        F.size("kept").cast("bigint").alias("risk_n"),
-        F.array_max(F.transform("kept", lambda x: x["risk"])).alias("peak_risk"),
-    )
-
-
 def to_files(stream: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append a stream to parquet files, exactly once."""
     writer = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
@@ -80,3 +31,33 @@ def to_files(stream: DataFrame, folder: str, checkpoint: str, available_now: boo
 def trimmed(feed: DataFrame, batch: DataFrame, limit: int, tiebreak: str = "log_id") -> DataFrame:
     """A live buffer after one more batch: the newest ``limit`` rows of both."""
     return feed.unionByName(batch).orderBy(F.desc("created_at"), F.desc(tiebreak)).limit(limit)
+
+
+@dataclass
+class LiveBuffer:
+    """The newest ``limit`` rows of a stream, as a table that every batch renews.
+
+    Versions alternate between two slots, so a repeated batch finds what it
+    found the first time.  A buffer has at most ``limit`` rows.
+    """
+
+    spark: SparkSession
+    folder: str
+    limit: int
+    tiebreak: str = "log_id"
+
+    def _path(self, batch: int) -> str:
+        return f"{self.folder}/buffer-{batch % 2}"
+
+    def process(self, rows: DataFrame, batch: int) -> None:
+        held = self.spark.read.schema(rows.schema).parquet(self._path(batch - 1)) if batch else rows.limit(0)
+        trimmed(held, rows, self.limit, self.tiebreak).write.mode("overwrite").parquet(self._path(batch))
+        self.spark.createDataFrame([(batch,)], "batch long").write.mode("overwrite").parquet(f"{self.folder}/last")
+
+    def start(self, stream: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+        writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+    def table(self) -> DataFrame:
+        last = self.spark.read.parquet(f"{self.folder}/last").first()["batch"]
+        return self.spark.read.parquet(self._path(last))
