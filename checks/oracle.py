@@ -198,6 +198,11 @@ sql("logs_equality_filter", f"select {LOG_COLUMNS} from logs where severity = 'h
 ORACLE["filter_language"] = """select * from orders where o_orderstatus in ('F', 'O') and o_totalprice >= 1000.5 and o_totalprice <= 400000.0
   and o_custkey > 10 and (o_orderpriority is null or o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM')) and o_orderpriority is distinct from '2-HIGH'"""
 sql("logs_keyword", f"select {LOG_COLUMNS} from logs where {KEYWORD.format(w='powershell')}", "logs")
+ORACLE["variant_filter"] = """select event_id as id, case event_id % 5 when 0 then k else k || '.5' end as level,
+    case event_id % 5 when 0 then event_type else '["' || event_type || '"]' end as kind
+  from (select *, json_extract_string(props, '$.k') as k from events)
+  where (event_id % 5 = 0 and cast(k as int) >= 40 and event_type <> 'view') or (event_id % 5 = 2 and cast(k as int) >= 40)"""
+ORACLE["corrupt_lines"] = """select '{"id": ' || event_id || ', "kind": "' || event_type as value from events where event_id % 5 = 4"""
 ORACLE["logs_keyword_indexed"] = ORACLE["logs_keyword"]
 sql("log_search_page", f"select {LOG_COLUMNS}, total from (select *, (select count(*) from logs where log_source = 'windows_event') as total from logs where log_source = 'windows_event' {NEWEST} limit 100 offset 20) where {KEYWORD.format(w='host-1')}", "logs")
 sql("log_search_all", f"select {LOG_COLUMNS}, total from (select *, count(*) over () as total from logs where log_source = 'windows_event' and {KEYWORD.format(w='host-1')} {NEWEST} limit 100 offset 20)", "logs")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import derived as D
 from watchkeep import constants as C
 from watchkeep.functions import text as T
-from watchkeep.operators import behaviour, cases, filters, forest, intel, metrics, pages, updates
+from watchkeep.operators import behaviour, cases, documents, filters, forest, intel, metrics, pages, updates
 from watchkeep.operators.keyword_index import KeywordIndex
 from watchkeep.plans import detection, rules
 from watchkeep.schemas import EVENTS_INPUT
@@ -148,6 +148,32 @@ def logs_keyword_indexed(spark, folder):
     return index.search("POWERSHELL")
 
 
+# JSON lines of events whose fields have other types from row to row; every fifth line is broken.
+EVENT_LINE = """case event_id % 5 when 0 then concat('{"id": ', id, ', "kind": "', event_type, '", "level": ', k, '}')
+  when 1 then concat('{"id": ', id, ', "kind": "', event_type, '", "level": "', k, '"}')
+  when 2 then concat('{"id": ', id, ', "kind": ["', event_type, '"], "level": ', k, '.5}')
+  when 3 then concat('{"id": ', id, ', "level": null, "kind": "', event_type, '", "tag": {"user": ', user_id, '}}')
+  else concat('{"id": ', id, ', "kind": "', event_type) end as value"""
+
+
+def event_lines(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    return events.selectExpr("*", "cast(event_id as string) as id", "get_json_object(props, '$.k') as k").selectExpr(EVENT_LINE)
+
+
+@query
+def variant_filter(spark, folder):
+    """Documents without a schema: numbers compare with numbers only, a missing tag is not equal to one."""
+    found = documents.find(
+        documents.documents(event_lines(spark, folder)), {"level": {"$gte": 40}, "kind": {"$ne": "view"}, "tag": None})
+    return found.select(documents.field("id", "bigint").alias("id"), documents.shown("level").alias("level"), documents.shown("kind").alias("kind"))
+
+
+@query
+def corrupt_lines(spark, folder):
+    return documents.corrupt(event_lines(spark, folder))
+
+
 @query
 def log_search_page(spark, folder):
     return filters.search_logs(logs(spark, folder), word="host-1", skip=20, limit=100, log_source="windows_event")
