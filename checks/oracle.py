@@ -302,6 +302,7 @@ for _name, (_ctes, _texts) in THRESHOLD.items():
 
 sql("all_alerts", f"select {ALERT_ID} as alert_id, log_id, rule_name, severity, title, description from ({_ALL})", "burst", extra=_CTES, recursive=True)
 sql("backfill_alerts", f"select rule_name, severity, count(*) as n from ({_ALL}) group by 1, 2", "burst", extra=_CTES, recursive=True)
+sql("user_rule_alerts", f"select rule_name, severity, count(*) as n, count(*) as titles from ({_ALL}) group by 1, 2 union all select 'high_number', 'low', count(*), count(*) from burst where try_cast(substr(hostname, 6) as int) >= 8 having count(*) > 0", "burst", extra=_CTES, recursive=True)
 sql("alert_records", f"select {ALERT_COLUMNS.replace('acknowledged,', 'false as acknowledged,', 1)} from alerts", "alerts")
 
 # Behaviour

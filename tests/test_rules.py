@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from watchkeep.plans.detection import all_alerts, qualifying, stateless_alerts, threshold_alerts
+from watchkeep.plans.detection import all_alerts, qualifying, stateless_alerts, threshold_alerts, undecided
 from watchkeep.plans.rules import Rule, beaconing, brute_force, default_rules, port_scan
 from watchkeep.schemas import LOGS
 
@@ -138,3 +138,25 @@ def test_user_rule(spark):
     alerts = all_alerts(make(spark, rows), [mine]).collect()
     assert [(a.rule_name, a.title, a.log_id) for a in alerts] == [("many_errors", "Errors on /a", "000002")]
     assert len(all_alerts(make(spark, rows), [*default_rules(), mine]).collect()) == 1
+
+
+def test_a_rule_that_meets_an_error_is_skipped_for_that_log(spark):
+    from pyspark.sql import functions as F
+
+    def rule(name, when, title=None):
+        return Rule(name=name, severity="low", techniques=[], tags=[], when=when, title=F.lit(name) if title is None else title, description=F.lit("d"))
+
+    number = F.col("message").cast("int")
+    mine = [
+        rule("number", number > 5), rule("share", F.lit(10) / number > 1), rule("piece", F.element_at(F.split("message", ","), 2) == "b"),
+        rule("named", F.col("message").isNotNull(), F.concat(F.lit("n"), number.cast("string"))), rule("plain", F.col("message").contains("7")),
+    ]
+    rows = [{"message": m} for m in ("7", "text", "0", "a,b", None, "3")]
+    logs = make(spark, rows)
+    ids = {r["log_id"]: r["message"] for r in logs.select("log_id", "message").collect()}
+    found = sorted((a["rule_name"], str(ids[a["log_id"]])) for a in all_alerts(logs, mine).select("rule_name", "log_id").collect())
+    assert found == sorted([("number", "7"), ("share", "7"), ("share", "3"), ("piece", "a,b"), ("plain", "7"),
+                            *[("named", m) for m in ("7", "text", "0", "a,b", "3")]])
+    told = {(r["rule_name"], str(ids[r["log_id"]])) for r in undecided(logs, mine).collect()}
+    assert ("number", "text") in told and ("share", "0") in told and ("number", "3") not in told and ("named", "text") not in told
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"

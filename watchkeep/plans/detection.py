@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from watchkeep.functions.text import stable_id, text
 from watchkeep.operators.thresholds import threshold_firings
@@ -23,6 +25,21 @@ def checked(rules: list[Rule] | None) -> list[Rule]:
     return chosen
 
 
+@contextmanager
+def error_free(spark: SparkSession) -> Iterator[None]:
+    """Expressions put into a plan in here give null where they would raise an error.
+
+    Casts, divisions and look-ups take the session's ANSI setting when they
+    are resolved, which is when a DataFrame is made.
+    """
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def _match(place: int, rule: Rule, texts: bool = True) -> Column:
     """What a matching rule adds to a log; its constants are looked up later."""
     shown = lambda c: c if texts else F.lit(None).cast("string")
@@ -76,14 +93,18 @@ def _matched(logs: DataFrame, rules: list[Rule], entries: dict[str, Column], nam
     predicates first, or exploding a ready-made array column, makes the
     optimizer push copies of them below ``readable`` and repeat its texts in
     every test.
+
+    A rule that meets an error in a log, say a text that is no number, is
+    skipped for that log.
     """
     if not rules:
         nothing = F.lit(None).cast("struct<place: int, title: string, description: string>")
         return readable(logs).where("false").withColumn(name, nothing)
     columns = {f"{name}_{i}": F.when(r.when, entries[r.name]) for i, r in enumerate(rules)}
+    with error_free(logs.sparkSession):
+        tested = readable(logs).withColumns(columns)
     return (
-        readable(logs)
-        .withColumns(columns)
+        tested
         .withColumn(name, F.explode(F.filter(F.array(*columns), lambda entry: entry.isNotNull())))
         .drop(*columns)
     )
@@ -122,7 +143,19 @@ def threshold_alerts(
 def with_matches(fired: DataFrame, rules: list[Rule], texts: bool = True) -> DataFrame:
     """Alerts from rows that fired, by the name in their ``rule`` column."""
     hit = F.coalesce(*[F.when(F.col("rule") == r.name, _match(i, r, texts)) for i, r in enumerate(rules)])
-    return _alerts(fired.withColumn("hit", hit), rules)
+    with error_free(fired.sparkSession):
+        fired = fired.withColumn("hit", hit)
+    return _alerts(fired, rules)
+
+
+def undecided(logs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """(log_id, rule_name) where a rule came to no verdict: an input is missing, or its test met an error."""
+    chosen = checked(rules)
+    with error_free(logs.sparkSession):
+        tested = readable(logs).select("log_id", *[r.when.alias(f"t{i}") for i, r in enumerate(chosen)])
+    names = [F.when(F.col(f"t{i}").isNull(), F.lit(r.name)) for i, r in enumerate(chosen)]
+    listed = F.array(*names) if names else F.array().cast("array<string>")
+    return tested.select("log_id", F.explode(F.array_compact(listed)).alias("rule_name"))
 
 
 def all_alerts(
