@@ -32,3 +32,9 @@ def test_ids_equal_the_library(monkeypatch, most):
         assert encoded(work, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
         assert work.known.count <= most
     assert encoded(work, []) == []
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).tokenizer

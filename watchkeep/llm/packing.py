@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
 
@@ -67,6 +68,17 @@ class Known:
             entries, at = entries[left], (at[left] + 1) & (len(self.places) - 1)
 
 
+def fits(stated: dict) -> bool:
+    """Whether a tokenizer file encodes chunks between white space apart, and letters in any case alike."""
+    steps = lambda part, names: (part or {}).get(names) or [part or {}]
+    lowers = any(n.get("type") == "Lowercase" for n in steps(stated["normalizer"], "normalizers"))
+    cuts = any(
+        p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert") and "[^\\s" in p["pattern"].get("Regex", "")
+        for p in steps(stated["pre_tokenizer"], "pretokenizers"))
+    whole = stated["model"].get("end_of_word_suffix") == "</w>" and not stated["truncation"] and not stated["padding"]
+    return lowers and cuts and whole and all(t["content"].startswith("<|") for t in stated["added_tokens"])
+
+
 class Encoder:
     """Ids of texts by a tokenizer whose pre-tokens never hold white space.
 
@@ -79,6 +91,10 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            stated = json.load(file)
+        if not fits(stated):
+            raise ValueError("packing needs a lower-casing BPE of words without white space, and added tokens that begin with <|")
         self.tokenizer = Tokenizer.from_file(path)
         ends = [n for t, n in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
