@@ -337,7 +337,9 @@ def _draw(what):
 
 _SPLIT = f"""case when n <= 1 or depth >= (select deepest from size) or (lo0 = hi0 and lo1 = hi1) then -1
     when lo0 = hi0 then 1 when lo1 = hi1 then 0 else {_draw("f")} % 2 end"""
-_CUT = f"""(case feature when 0 then lo0 else lo1 end + (case feature when 0 then hi0 - lo0 else hi1 - lo1 end) * ({_draw("c")} / 4294967296.0::double))"""
+_LOW, _HIGH = "(case feature when 0 then lo0 else lo1 end)", "(case feature when 0 then hi0 else hi1 end)"
+_DRAWN = f"({_LOW} + ({_HIGH} - {_LOW}) * ({_draw('c')} / 4294967296.0::double))"
+_CUT = f"(case when {_DRAWN} >= {_HIGH} then {_LOW} else {_DRAWN} end)"
 _SPANS = "count(*) over w, min(f0) over w, max(f0) over w, min(f1) over w, max(f1) over w"
 FOREST = f"""points as materialized (select log_id, risk_score, anomaly_score, coalesce(risk_score::double, 20.0::double) as f0, coalesce(anomaly_score, 0.1::double) as f1,
     ('0x' || substr(md5('42:' || log_id), 1, 8))::bigint // 2 as place from logs),

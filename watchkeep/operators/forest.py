@@ -60,6 +60,7 @@ def _grow(tree: int, points: np.ndarray, seed: int) -> pd.DataFrame:
         feature = spread[_drawn(seed, tree, node, "f") % len(spread)]
         low, high = rows[:, feature].min(), rows[:, feature].max()
         cut = low + (high - low) * (_drawn(seed, tree, node, "c") / 4294967296.0)
+        cut = low if cut >= high else cut  # rounded up: both sides must have rows
         nodes.append((tree, node, feature, cut, 0.0))
         goes_left = rows[:, feature] <= cut
         pending += [(2 * node, rows[goes_left], depth + 1), (2 * node + 1, rows[~goes_left], depth + 1)]
