@@ -10,13 +10,13 @@ s as (
 w as (
   select *, case number % 3 when 0 then 5 when 1 then 2 else 1 end as weight, 2 * source_size as cap from s),
 l as (
-  select *, cap / weight as full_at,
-    (1.5 * sum(source_size) over () - coalesce(sum(cap) over before, 0))
-      / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
+  select *, cap::double / weight::double as full_at,
+    (1.5::double * (sum(source_size) over ())::double - coalesce(sum(cap) over before, 0)::double)
+      / (sum(weight) over () - coalesce(sum(weight) over before, 0))::double as level
   from w window before as (order by cap / weight, number rows between unbounded preceding and 1 preceding)),
 t as (
-  select number, source, source_size, least(cap::double, weight * (
-    select coalesce(max(level), 1e300) from l where full_at >= level)) as target
+  select number, source, source_size, least(cap::double, weight::double * (
+    select coalesce(max(level), 1e300::double) from l where full_at >= level)) as target
   from l),
 copies as (
   select d.row, d.size, t.number, t.target, epoch, md5(epoch || ':' || coalesce(cast(doc_id as varchar), '')) as dealt
