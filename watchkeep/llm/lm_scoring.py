@@ -22,7 +22,7 @@ ENDINGS[ord(".")], ENDINGS[ord(",")] = 1, 2
 ENDINGS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,"]] = 3
 TAILS = 4 * (len(LENGTHS) + 1)
 # Training: rounds, and the shares of the training documents that they take in turn.
-ROUNDS, SHARE, RATE = 4, 4, 0.015
+ROUNDS, SHARE, RATE = 4, 4, 0.02
 SLICE = 2_048
 STREAM_TOKENS = 200_000
 # Text scored together: the more documents, the fewer steps are taken for the longest alone.
