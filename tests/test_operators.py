@@ -121,6 +121,14 @@ def test_newest_risks_equal_a_plain_ranking(spark):
         assert got == want
 
 
+def test_techniques_come_by_count_then_newest_alert_then_place(spark):
+    rows = [(1, 10, ["b", "a"]), (2, 30, ["d", "c"]), (3, 20, ["a"]), (4, 5, ["e"]), (5, None, []), (6, None, None)]
+    alerts = spark.createDataFrame(rows, "alert_id long, s long, mitre_techniques array<string>").withColumn("created_at", F.timestamp_seconds("s"))
+    found = metrics.technique_coverage(alerts)
+    assert [tuple(r) for r in found.collect()] == [("a", 2), ("d", 1), ("c", 1), ("b", 1), ("e", 1)]
+    assert "SortAggregate" not in plan_of(found)
+
+
 def test_rankings_are_hash_aggregates(spark, small):
     plan = plan_of(metrics.top_values(derived(spark, small, "logs"), "source_ip"))
     assert "HashAggregate" in plan and "SortAggregate" not in plan

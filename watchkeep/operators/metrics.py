@@ -73,10 +73,14 @@ def top_values(logs: DataFrame, field: str, limit: int = 10, cap: int | None = N
 
 
 def technique_coverage(alerts: DataFrame, cap: int | None = None) -> DataFrame:
+    """Alerts per technique, most frequent first; ties go by the newest alert, then by the place in its list."""
     return (
         _capped(alerts, cap, "alert_id")
-        .select(F.explode("mitre_techniques").alias("technique"))
-        .groupBy("technique").agg(F.count("*").alias("n"))
+        .select("created_at", F.posexplode("mitre_techniques").alias("place", "technique"))
+        .groupBy("technique")
+        .agg(F.count("*").alias("n"), F.max("created_at").alias("latest"), F.max_by("place", "created_at").alias("place"))
+        .orderBy(F.desc("n"), F.desc("latest"), F.asc("place"), F.asc("technique"))
+        .select("technique", "n")
     )
 
 

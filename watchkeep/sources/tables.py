@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from watchkeep.functions.text import text
 from watchkeep.operators.filters import newest
 
+# Columns of the exports, in order.
 LOG_EXPORT = ["created_at", "severity", "event_type", "hostname", "source_ip", "log_source", "message", "raw_log"]
 ALERT_EXPORT = ["created_at", "severity", "title", "rule_name", "source_ip", "hostname", "acknowledged", "mitre_techniques"]
 INCIDENT_EXPORT = ["created_at", "title", "severity", "status", "assigned_to", "source_ip", "hostname", "mitre_techniques"]
