@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from watchkeep.llm.labelled import Adam
@@ -9,6 +11,7 @@ from watchkeep.llm.labelled import Adam
 INPUT, HIDDEN = 16, 24
 WINDOW, LANES = 64, 128
 SCORE_ROWS = 32_768  # tokens scored at once
+NEAR_ROWS = 1_008  # rows whose arrays stay in a core's own cache
 
 
 class Shape:
@@ -57,13 +60,25 @@ def restore(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
+class Room:
+    """Arrays by name that are used again: new ones of this size go back to the system each time, a page fault every 4 KB."""
+
+    def __init__(self, kind: np.dtype):
+        self.kind, self.held = kind, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, self.kind)
+        return self.held[name][:size].reshape(shape)
+
+
 def _squash(x: np.ndarray, scale: float = 1.0) -> None:
-    """The logistic function of ``scale`` times x, in place; exp takes half the time of tanh."""
-    with np.errstate(over="ignore"):
-        np.multiply(x, -scale, out=x)
-        np.exp(x, out=x)
-        x += 1
-        np.reciprocal(x, out=x)
+    """The logistic function of ``scale`` times x, in place; exp takes half the time of tanh and may overflow."""
+    np.multiply(x, -scale, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
 def _squash_signed(x: np.ndarray) -> None:
@@ -73,14 +88,20 @@ def _squash_signed(x: np.ndarray) -> None:
     x -= 1
 
 
-def _step(R: np.ndarray, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a = h @ R
-    gates = x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+def _step(a: np.ndarray, x: np.ndarray, gates: np.ndarray, n: np.ndarray) -> None:
+    """Gates and candidate of a step, in place; ``a`` is the state's part, ``x`` the input's."""
+    np.add(x[:, : 2 * HIDDEN], a[:, : 2 * HIDDEN], out=gates)
     _squash(gates)
-    n = gates[:, HIDDEN:] * a[:, 2 * HIDDEN:]
+    np.multiply(gates[:, HIDDEN:], a[:, 2 * HIDDEN:], out=n)
     n += x[:, 2 * HIDDEN:]
     _squash_signed(n)
-    return n + gates[:, :HIDDEN] * (h - n)
+
+
+def _advance(h: np.ndarray, gates: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+    """The next state; ``out`` may be ``h``."""
+    np.subtract(h, n, out=out)
+    out *= gates[:, :HIDDEN]
+    out += n
 
 
 def _row_sums(x: np.ndarray) -> np.ndarray:
@@ -88,14 +109,36 @@ def _row_sums(x: np.ndarray) -> np.ndarray:
     return x @ np.ones((x.shape[1], 1), x.dtype)
 
 
-def _class_groups(shape: Shape, token: np.ndarray):
-    """(class, rows) of the head words among ``token``."""
-    rows = np.flatnonzero(token < shape.heads)
-    number = token[rows] // shape.size
-    order = np.argsort(number, kind="stable")
-    rows, number = rows[order], number[order]
-    cut = np.flatnonzero(np.diff(number)) + 1
-    return zip(number[np.concatenate([[0], cut])] if len(rows) else [], np.split(rows, cut), strict=False)
+def _near(count: int) -> list[slice]:
+    return [slice(at, min(at + NEAR_ROWS, count)) for at in range(0, count, NEAR_ROWS)]
+
+
+def _rows(table: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    return np.take(table, at, axis=0, out=out, mode="clip")
+
+
+class _Heads:
+    """The head words among ``token``, class by class: ``rows``, their states ``own``, their ``logit``, and the exponentials ``e`` in their class with ``sums``."""
+
+    def __init__(self, p: dict[str, np.ndarray], shape: Shape, token: np.ndarray, s: np.ndarray, room: Room):
+        rows = np.flatnonzero(token < shape.heads)
+        number = token[rows] // shape.size
+        order = np.argsort(number.astype(np.int16 if shape.head_classes < 1 << 15 else np.int64), kind="stable")
+        self.rows, number = rows[order], number[order]
+        self.target = np.arange(len(rows)), token[self.rows] - number * shape.size
+        cut = [0, *(np.flatnonzero(np.diff(number)) + 1), len(number)] if len(number) else []
+        # (class's words, its rows)
+        self.classes = [(slice(number[a] * shape.size, (number[a] + 1) * shape.size), slice(a, b)) for a, b in zip(cut, cut[1:], strict=False)]
+        self.own = _rows(s, self.rows, room("own", len(rows), s.shape[1]))
+        self.e = room("inner", len(rows), shape.size)
+        for block, at in self.classes:
+            np.matmul(self.own[at], p["W"][block].T, out=self.e[at])
+            self.e[at] += p["bw"][block]
+        self.logit = self.e[self.target]
+        np.exp(self.e, out=self.e)
+        self.sums = room("sums", len(rows), 1)
+        for _, at in self.classes:
+            np.matmul(self.e[at], np.ones((shape.size, 1), room.kind), out=self.sums[at])
 
 
 def log_likelihood(p: dict[str, np.ndarray], shape: Shape, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -110,28 +153,39 @@ def log_likelihood(p: dict[str, np.ndarray], shape: Shape, tokens: np.ndarray, f
     begin, length = first[:-1][order], length[order]
     out = np.zeros(len(order))
     table = p["E"] @ p["X"] + p["bx"]
-    h = np.zeros((int((length > 0).sum()), HIDDEN), np.float32)
-    ascending = length[::-1]
-    t, longest = 0, int(length[0]) if len(length) else 0
+    room = Room(p["R"].dtype)
+    h = np.zeros((int((length > 0).sum()), HIDDEN), room.kind)
+    ends, active, blocks = length.tolist(), len(h), []
+    t, longest = 0, ends[0] if ends else 0
     while t < longest:
-        states, targets, owner = [], [], []
-        held = 0
-        while t < longest and held < SCORE_ROWS:
-            active = len(length) - int(np.searchsorted(ascending, t, "right"))
-            h = h[:active]
-            token = tokens[begin[:active] + t]
-            states.append(h)
-            targets.append(token)
-            owner.append(np.arange(active))
-            h = _step(p["R"], table[token], h)
-            held, t = held + active, t + 1
-        s, token, who = np.concatenate(states), np.concatenate(targets), np.concatenate(owner)
-        logits = s @ p["C"] + p["bc"]
-        score = logits[np.arange(len(token)), shape.target_class(token)] - np.log(_row_sums(np.exp(logits))[:, 0])
-        for c, rows in _class_groups(shape, token):
-            low = c * shape.size
-            inner = s[rows] @ p["W"][low: low + shape.size].T + p["bw"][low: low + shape.size]
-            score[rows] += inner[np.arange(len(rows)), token[rows] - low] - np.log(_row_sums(np.exp(inner))[:, 0])
+        targets = []
+        held, most = 0, SCORE_ROWS + len(h)
+        s, who = room("states", most, HIDDEN), np.empty(most, np.int64)
+        with np.errstate(over="ignore"):
+            while t < longest and held < SCORE_ROWS:
+                while ends[active - 1] <= t:
+                    active -= 1
+                if active < len(h) or not blocks:
+                    h = h[:active]
+                    blocks = [(near, h[near], *(room(k, near.stop - near.start, w * HIDDEN) for k, w in (("a", 3), ("x", 3), ("gates", 2), ("n", 1))))
+                              for near in _near(active)]
+                token = tokens[begin[:active] + t]
+                s[held: held + active] = h
+                who[held: held + active] = np.arange(active)
+                targets.append(token)
+                for near, some, a, x, gates, n in blocks:
+                    _step(np.matmul(some, p["R"], out=a), _rows(table, token[near], x), gates, n)
+                    _advance(some, gates, n, some)
+                held, t = held + active, t + 1
+        s, token, who = s[:held], np.concatenate(targets), who[:held]
+        score = np.empty(held, room.kind)
+        for near in _near(held):
+            logits = np.matmul(s[near], p["C"], out=room("classes", len(s[near]), shape.classes))
+            logits += p["bc"]
+            own = logits[np.arange(len(logits)), shape.target_class(token[near])]
+            np.subtract(own, np.log(_row_sums(np.exp(logits, out=logits))[:, 0]), out=score[near])
+        heads = _Heads(p, shape, token, s, room)
+        score[heads.rows] += heads.logit - np.log(heads.sums[:, 0])
         out += np.bincount(who, score, minlength=len(out))
     result = np.empty(len(out))
     result[order] = out
@@ -144,6 +198,7 @@ class Trainer:
     def __init__(self, p: dict[str, np.ndarray], shape: Shape, rate: float):
         self.p = {k: v.copy() for k, v in p.items()}
         self.shape, self.adam, self.seen = shape, Adam(self.p, rate), 0
+        self.room = Room(self.p["R"].dtype)
 
     def train(self, tokens: np.ndarray, fresh: np.ndarray) -> None:
         """``fresh`` marks the first token of each sequence, where the state is emptied."""
@@ -161,70 +216,91 @@ class Trainer:
 
     def _window(self, token: np.ndarray, new: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
         """One update; arrays are by step, then lane.  Tokens that are not ``live`` have no part in it."""
-        p, shape = self.p, self.shape
+        p, shape, room = self.p, self.shape, self.room
         lanes, steps = token.shape
         flat = token.T.reshape(-1)
-        by_step = lambda width: np.empty((steps, lanes, width), p["R"].dtype)
-        x = (p["E"][flat] @ p["X"] + p["bx"]).reshape(steps, lanes, 3 * HIDDEN)
+        by_step = lambda name, width: room(name, steps, lanes, width)
+        embedded = _rows(p["E"], flat, room("embedded", len(flat), INPUT))
+        x = np.matmul(embedded, p["X"], out=room("x", len(flat), 3 * HIDDEN))
+        x += p["bx"]
+        x = x.reshape(steps, lanes, 3 * HIDDEN)
         kept = (~new.T).astype(np.float32)[:, :, None]
-        states, gates, q, n = by_step(HIDDEN), by_step(2 * HIDDEN), by_step(HIDDEN), by_step(HIDDEN)
-        for t in range(steps):
-            np.multiply(h, kept[t], out=states[t])
-            h, gate, inner = states[t], gates[t], n[t]
-            a = h @ p["R"]
-            q[t] = a[:, 2 * HIDDEN:]
-            np.add(x[t, :, : 2 * HIDDEN], a[:, : 2 * HIDDEN], out=gate)
-            _squash(gate)
-            np.multiply(gate[:, HIDDEN:], q[t], out=inner)
-            inner += x[t, :, 2 * HIDDEN:]
-            _squash_signed(inner)
-            h = inner + gate[:, :HIDDEN] * (h - inner)
+        states, gates, parts, n = by_step("states", HIDDEN), by_step("gates", 2 * HIDDEN), by_step("parts", 3 * HIDDEN), by_step("n", HIDDEN)
+        after = room("after", lanes, HIDDEN)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                h = np.multiply(h, kept[t], out=states[t])
+                _step(np.matmul(h, p["R"], out=parts[t]), x[t], gates[t], n[t])
+                _advance(h, gates[t], n[t], after)
+                h = after
         s = states.reshape(-1, HIDDEN)
         scale = np.full((len(flat), 1), 1 / len(flat), np.float32)
         if live is not None:
             scale[:, 0] = live.T.reshape(-1) / np.float32(live.sum())
-        g = {k: np.zeros_like(p[k]) for k in ("W", "bw", "E")}
-        d = s @ p["C"] + p["bc"]
-        np.exp(d, out=d)
-        d /= _row_sums(d)
-        d[np.arange(len(flat)), shape.target_class(flat)] -= 1
-        d *= scale
-        g["C"], g["bc"] = s.T @ d, d.sum(axis=0)
-        ds = d @ p["C"].T
-        for c, rows in _class_groups(shape, flat):
-            low = c * shape.size
-            block = slice(low, low + shape.size)
-            own = s[rows]
-            e = np.exp(own @ p["W"][block].T + p["bw"][block])
-            e /= _row_sums(e)
-            e[np.arange(len(rows)), flat[rows] - low] -= 1
-            e *= scale[rows]
-            g["W"][block], g["bw"][block] = e.T @ own, e.sum(axis=0)
-            ds[rows] += e @ p["W"][block]
+        g = {k: room("g" + k, *p[k].shape) for k in ("W", "bw", "E")}
+        for v in g.values():
+            v.fill(0)
+        every, ds = room("classes", len(flat), shape.classes), room("ds", len(flat), HIDDEN)
+        target = shape.target_class(flat)
+        for near in _near(len(flat)):
+            d = np.matmul(s[near], p["C"], out=every[near])
+            d += p["bc"]
+            np.exp(d, out=d)
+            d /= _row_sums(d)
+            d[np.arange(len(d)), target[near]] -= 1
+            d *= scale[near]
+            np.matmul(d, p["C"].T, out=ds[near])
+        g["C"], g["bc"] = s.T @ every, every.sum(axis=0)
+        heads = _Heads(p, shape, flat, s, room)
+        e = heads.e
+        e /= heads.sums
+        e[heads.target] -= 1
+        e *= scale[heads.rows]
+        passed = room("passed", len(e), HIDDEN)
+        for block, at in heads.classes:
+            np.matmul(e[at].T, heads.own[at], out=g["W"][block])
+            np.sum(e[at], axis=0, out=g["bw"][block])
+            np.matmul(e[at], p["W"][block], out=passed[at])
+        ds[heads.rows] += passed
         ds = ds.reshape(steps, lanes, HIDDEN)
         # What a step passes back is linear in its own gradient; the factors are made for all steps at once.
-        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
-        new_state = (1 - z) * (1 - n * n)
-        factor = np.stack([(states - n) * z * (1 - z), new_state * q * r * (1 - r), new_state * r], axis=2)
-        back, dx = np.ascontiguousarray(p["R"].T), by_step(3 * HIDDEN)
-        dh, at = by_step(HIDDEN), np.zeros((lanes, HIDDEN), p["R"].dtype)
+        z, r, q = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:], parts[:, :, 2 * HIDDEN:]
+        new_state, one = by_step("new_state", HIDDEN), by_step("one", HIDDEN)
+        np.multiply(n, n, out=one)
+        np.subtract(1, one, out=one)
+        np.multiply(np.subtract(1, z, out=new_state), one, out=new_state)
+        factor = room("factor", steps, lanes, 3, HIDDEN)
+        for_z, for_r, for_q = factor[:, :, 0], factor[:, :, 1], factor[:, :, 2]
+        np.subtract(states, n, out=for_z)
+        for_z *= z
+        for_z *= np.subtract(1, z, out=one)
+        np.multiply(new_state, q, out=for_r)
+        for_r *= r
+        for_r *= np.subtract(1, r, out=one)
+        np.multiply(new_state, r, out=for_q)
+        back, dx = np.ascontiguousarray(p["R"].T), by_step("dx", 3 * HIDDEN)
+        dh, at, held = by_step("dh", HIDDEN), room("at", lanes, HIDDEN), room("held", lanes, HIDDEN)
+        at.fill(0)
         for t in reversed(range(steps)):
             dh[t] = at
             np.multiply(at[:, None, :], factor[t], out=dx[t].reshape(lanes, 3, HIDDEN))
-            at = dx[t] @ back
-            at += dh[t] * z[t]
+            np.multiply(at, z[t], out=held)
+            np.matmul(dx[t], back, out=at)
+            at += held
             at += ds[t]
             at *= kept[t]
         g["R"] = s.T @ dx.reshape(-1, 3 * HIDDEN)
         np.multiply(dh, new_state, out=dx[:, :, 2 * HIDDEN:])
         dx = dx.reshape(-1, 3 * HIDDEN)
-        g["X"], g["bx"] = p["E"][flat].T @ dx, dx.sum(axis=0)
-        de = dx @ p["X"].T
+        g["X"], g["bx"] = embedded.T @ dx, dx.sum(axis=0)
+        de = np.matmul(dx, p["X"].T, out=room("de", len(flat), INPUT))
         order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
-        g["E"][flat[order][first]] = np.add.reduceat(de[order], first, axis=0)
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        ordered = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(ordered) > 0]))
+        g["E"][ordered[first]] = np.add.reduceat(_rows(de, order, room("ordered", len(flat), INPUT)), first, axis=0)
+        norm = np.sqrt(sum(float(np.multiply(v, v, out=room("square", *v.shape)).sum()) for v in g.values()))
         if norm > 1:
-            g = {k: v / np.float32(norm) for k, v in g.items()}
+            for v in g.values():
+                v /= np.float32(norm)
         self.adam.update(g)
         return h

@@ -34,21 +34,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, unseen: Colu
 
 
 class Adam:
-    """Adam steps over a dictionary of arrays, with the usual constants."""
+    """Adam steps over a dictionary of arrays, with the usual constants; in place, as new arrays cost more than the steps."""
 
     def __init__(self, parameters: dict[str, np.ndarray], rate: float):
         self.parameters, self.rate, self.step = parameters, rate, 0
-        self.first = {k: np.zeros_like(v) for k, v in parameters.items()}
-        self.second = {k: np.zeros_like(v) for k, v in parameters.items()}
+        zeros = lambda: {k: np.zeros_like(v) for k, v in parameters.items()}
+        self.first, self.second, self.change, self.spread = zeros(), zeros(), zeros(), zeros()
 
     def update(self, gradients: dict[str, np.ndarray]) -> None:
         self.step += 1
         for k, g in gradients.items():
-            self.first[k] += 0.1 * (g - self.first[k])
-            self.second[k] += 0.001 * (g * g - self.second[k])
-            m = self.first[k] / (1 - 0.9 ** self.step)
-            v = self.second[k] / (1 - 0.999 ** self.step)
-            self.parameters[k] -= self.rate * m / (np.sqrt(v) + 1e-8)
+            first, second, change, spread = self.first[k], self.second[k], self.change[k], self.spread[k]
+            np.subtract(g, first, out=change)
+            change *= 0.1
+            first += change
+            np.multiply(g, g, out=spread)
+            spread -= second
+            spread *= 0.001
+            second += spread
+            np.divide(first, 1 - 0.9 ** self.step, out=change)
+            np.divide(second, 1 - 0.999 ** self.step, out=spread)
+            np.sqrt(spread, out=spread)
+            spread += 1e-8
+            change *= self.rate
+            change /= spread
+            self.parameters[k] -= change
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

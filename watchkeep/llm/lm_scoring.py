@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -138,14 +137,35 @@ class Vocabulary:
 
 
 def _averaged(rows: DataFrame) -> DataFrame:
-    """Weighted means of the parameter slices, first in shares and then together."""
-    def mean(key, frame):
-        weight = frame["weight"].to_numpy()
-        values = np.average(np.stack(frame["slice"].to_numpy()), axis=0, weights=weight)
-        return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "share": [0], "weight": [weight.sum()], "slice": [values.astype(np.float32)]})
+    """Weighted means of the parameter slices, first in shares and then together.
+
+    Groups are runs of sorted rows: most have few rows, and a pandas frame for each would cost more than its mean.
+    """
+    def mean(batches):
+        at, held = None, []
+
+        def row():
+            weights, slices = (np.array(x) for x in zip(*held, strict=True))
+            values = np.average(slices, axis=0, weights=weights).astype(np.float32)
+            return pa.RecordBatch.from_arrays([
+                pa.array([at[0]], pa.int32()), pa.array([0], pa.int32()), pa.array([weights.sum()]), pa.array([values], pa.list_(pa.float32()))],
+                names=["part", "share", "weight", "slice"])
+
+        for batch in batches:
+            slices, weights = batch.column("slice"), batch.column("weight").to_numpy()
+            for i, key in enumerate(zip(batch.column("part").to_pylist(), batch.column("share").to_pylist(), strict=True)):
+                if held and key != at:
+                    yield row()
+                    held = []
+                at = key
+                held.append((weights[i], slices[i].values.to_numpy()))
+        if held:
+            yield row()
 
     kind = "part int, share int, weight double, slice array<float>"
-    return rows.groupBy("part", "share").applyInPandas(mean, kind).groupBy("part").applyInPandas(mean, kind)
+    for keys in (["part", "share"], ["part"]):
+        rows = rows.repartition(*keys).sortWithinPartitions("part", "share").mapInArrow(mean, kind)
+    return rows
 
 
 def dealt(docs: DataFrame, share: int) -> DataFrame:
