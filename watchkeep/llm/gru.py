@@ -136,9 +136,9 @@ class _Heads:
             self.e[at] += p["bw"][block]
         self.logit = self.e[self.target]
         np.exp(self.e, out=self.e)
-        self.sums = room("sums", len(rows), 1)
+        self.sums, ones = room("sums", len(rows), 1), np.ones((shape.size, 1), room.kind)
         for _, at in self.classes:
-            np.matmul(self.e[at], np.ones((shape.size, 1), room.kind), out=self.sums[at])
+            np.matmul(self.e[at], ones, out=self.sums[at])
 
 
 def log_likelihood(p: dict[str, np.ndarray], shape: Shape, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -294,7 +294,7 @@ class Trainer:
         dx = dx.reshape(-1, 3 * HIDDEN)
         g["X"], g["bx"] = embedded.T @ dx, dx.sum(axis=0)
         de = np.matmul(dx, p["X"].T, out=room("de", len(flat), INPUT))
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.int16 if len(p["E"]) < 1 << 15 else np.int64), kind="stable")
         ordered = flat[order]
         first = np.flatnonzero(np.concatenate([[True], np.diff(ordered) > 0]))
         g["E"][ordered[first]] = np.add.reduceat(_rows(de, order, room("ordered", len(flat), INPUT)), first, axis=0)
